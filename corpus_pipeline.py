@@ -1,8 +1,60 @@
-"""Placeholder until the stages exist."""
+"""Training-corpus pipeline: five stages over ``documents``, each written as Parquet before the next reads it.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last
+return the columns of ``documents``; the last returns the packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import exact_dedup as exact
+from marlstone.llm import ngram_join, packing, quality_classifier, quality_rules
+from marlstone.llm.common import small, table, written
+
+#: SQL can't express the trained classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier, fitted on those of ``docs`` that have labels, doesn't reject."""
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).where("kept").select(docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the quality rules, without their failing lines; ``n_chars`` follows the text."""
+    found = quality_rules.quality_rules(docs).where("kept")
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
+    return found.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts: that of the largest id."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = exact.exact_dedup(docs.select("doc_id", "text", mark.alias("_mark"))).where("NOT kept")
+    gone = small(found.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_gone")).distinct())
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (mark == F.col("_gone")), "left_anti")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that of the largest id."""
+    found = written(ngram_join.ngram_join(docs), "joined").where("doc_id <> class_id")
+    return docs.join(small(found.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' pieces packed into sequences."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality classifier", classify), ("quality rules", clean), ("exact dedup", unique), ("n-gram Jaccard join", distinct), ("best-fit packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)
