@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokenise import Pieces, blocks, by_size, encode_block
+from .tokenise import Pieces, atoms, blocks, by_size, encode_block
 
 CAPACITY = 2048
 #: Knapsack programs solved, and fillings taken from each.
@@ -170,9 +171,16 @@ def _encoder(vocabulary: str):
         found = Tokenizer.from_file(vocabulary)
 
         def many(texts: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for part in by_size(texts, 1 << 20) for x in found.encode_batch_fast(part, add_special_tokens=False)]
+            return [array("I", x.ids).tobytes() for part in by_size(texts, 1 << 20) for x in found.encode_batch_fast(part, add_special_tokens=False)]
 
-        _ENCODERS[vocabulary] = (Pieces(lambda pieces: many([" " + x for x in pieces])), lambda text: many([text])[0] if text else b"")
+        words = Pieces(many)
+
+        def pieces(texts: list[str]) -> list[bytes]:
+            parts = [atoms(" " + x) for x in texts]
+            words.fill({w for x in parts for w in x})
+            return [b"".join(map(words.__getitem__, x)) for x in parts]
+
+        _ENCODERS[vocabulary] = (Pieces(pieces), lambda text: many([text])[0] if text else b"")
     return _ENCODERS[vocabulary]
 
 

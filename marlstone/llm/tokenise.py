@@ -80,3 +80,23 @@ def encode_block(texts: list[str], pieces: Pieces, whole: Callable[[str], bytes]
             yield b"".join((whole(head), *map(pieces.__getitem__, rest)))
         except KeyError:  # a piece that isn't apart
             yield whole(text)
+
+
+def atoms(text: str) -> list[str]:
+    """Parts of a piece between which every split pattern here ends a token.
+
+    Those are single line feeds between other characters, and the full stops and commas that follow
+    a (Latin) letter at the end of a line. Words then share one entry whatever follows them.
+    """
+    out: list[str] = []
+    for line in text.split("\n"):
+        if not line or line[-1].isspace() or (out and line[0].isspace()):
+            return [text]
+        bare = line.rstrip(".,")
+        if out:
+            out.append("\n")
+        if bare and bare is not line and bare != line and bare[-1].isalpha() and ord(bare[-1]) < 0x250:
+            out += [bare, line[len(bare) :]]
+        else:
+            out.append(line)
+    return out

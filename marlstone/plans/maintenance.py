@@ -157,3 +157,38 @@ def index_drift(spark, sf) -> DataFrame:
     j = d.withColumn("d", F.lit(1)).join(l.withColumn("l", F.lit(1)), "doc_id", "full_outer")
     orphan = F.count_if(F.col("d").isNull())
     return j.agg(F.count_if(F.col("l").isNull()).alias("missing"), orphan.alias("orphans"), (orphan >= 0.05 * F.count("l")).alias("rebuild"))
+
+
+@query("source_schemes", "SELECT page_id, CASE WHEN lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) IN ('http', 'https') THEN 'http' WHEN starts_with(u, '/') OR starts_with(u, 'file:') THEN 'file' WHEN starts_with(u, 's3') THEN 's3' ELSE 'unknown' END AS scheme FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN '/data/' || page_id WHEN 2 THEN replace(replace(url, 'https', 's3'), 'http', 's3a') ELSE 'odd' END AS u FROM pages)")
+def source_schemes(spark, sf) -> DataFrame:
+    from marlstone.sources.files import scheme
+
+    k = F.col("page_id") % 4
+    u = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("/data/"), F.col("page_id").cast("string"))).when(k == 2, F.replace(F.replace("url", F.lit("https"), F.lit("s3")), F.lit("http"), F.lit("s3a"))).otherwise("odd")
+    return m.table(spark, sf, "pages").select("page_id", u.alias("u")).select("page_id", scheme(F.col("u")).alias("scheme"))
+
+
+@query("folder_sync_diff", "SELECT coalesce(a.source_id, b.source_id) AS source_id, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT 'f' || doc_id AS source_id, sha256(text) AS h FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (SELECT 'f' || doc_id AS source_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 4 <> 0) b ON a.source_id = b.source_id")
+def folder_sync_diff(spark, sf) -> DataFrame:
+    from marlstone.sources.files import sync_diff
+
+    d = m.table(spark, sf, "documents").withColumn("source_id", F.concat(F.lit("f"), F.col("doc_id").cast("string")))
+    now = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return sync_diff(d.where("doc_id % 5 <> 0").select("source_id", F.sha2("text", 256).alias("content_hash")), d.where("doc_id % 4 <> 0").select("source_id", F.sha2(now, 256).alias("content_hash")))
+
+
+@query("cache_validity", f"WITH {m.DOCS} SELECT doc_id, {m.NOW} - created_at <= CASE doc_id % 3 WHEN 0 THEN 604800 WHEN 1 THEN 43200 ELSE 900 END AS valid FROM d")
+def cache_validity(spark, sf) -> DataFrame:
+    from marlstone.sources.files import cache_state
+
+    kind = F.element_at(F.array(F.lit("stable"), F.lit("medium"), F.lit("hot")), (F.col("doc_id") % 3 + 1).cast("int"))
+    return cache_state(m.documents(spark, sf).select("doc_id", kind.alias("volatility"), F.col("created_at").alias("cached_at")), m.NOW).select("doc_id", "valid")
+
+
+@query("source_revalidation", f"WITH {m.DOCS} SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'missing' WHEN verified_at IS NULL THEN 'unknown' WHEN created_at + 86400 * (doc_id % 5) > verified_at THEN 'stale' ELSE 'fresh' END AS state FROM d")
+def source_revalidation(spark, sf) -> DataFrame:
+    from marlstone.sources.files import revalidate
+
+    d = m.documents(spark, sf)
+    files = d.where("doc_id % 9 <> 0").select("source_id", (F.col("created_at") + 86400 * (F.col("doc_id") % 5)).alias("mtime"))
+    return revalidate(d.select("doc_id", "source_id", F.col("verified_at").alias("observed_at")), files)
