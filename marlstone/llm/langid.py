@@ -74,6 +74,8 @@ class Model:
 
     def __init__(self, langs: np.ndarray, grams: np.ndarray, counts: np.ndarray):
         self.langs = sorted(set(langs.tolist()))
+        if not self.langs:
+            return
         g = [(grams >> s) & 255 for s in (24, 16, 8, 0)]
         seen = np.unique(np.concatenate([*g, np.frombuffer(_START, np.uint8).astype(np.int64)])) if len(grams) else np.array([32])
         self.symbols = size = len(seen) + 1  # the last is any unseen byte

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small, written
 
-#: Pages that must agree before a common text counts as part of the template.
+#: Different pages that must agree before a common text counts as part of the template.
 TEMPLATE_PAGES = 8
 #: Wrappers a task holds before it sends them on, and rules that may be broadcast.
 TASK_HOSTS, BROADCAST_RULES = 2000, 20_000
@@ -123,8 +123,20 @@ def clean(text: str) -> str:
 # slot characters, link characters, children]. Texts have the label "#", groups "(...)".
 
 
+def wrapper_of(html: str) -> list:
+    """The wrapper of one page; its root keeps a hash of the page's text outside furniture."""
+    root = parse(html)
+    found = fold(root)
+    found[4] = [crc32(_plain(root).encode())]
+    return found
+
+
+def _plain(node: Node) -> str:
+    return "\n".join(x if isinstance(x, str) else _plain(x) for x in node.kids if isinstance(x, str) or not x.furniture)
+
+
 def fold(node: Node, linked: bool = False) -> list:
-    """The wrapper of one page."""
+    """A page's tree as wrapper nodes."""
     kids = []
     for x in node.kids:
         if isinstance(x, str):
@@ -155,7 +167,8 @@ def _repeats(kids: list) -> list:
 
 def merge(a: list, b: list, pages: bool = True) -> list:
     """The wrapper of all that ``a`` and ``b`` stand for; both have the same label."""
-    common = a[4] if a[4] == b[4] else None
+    # of a root the smallest hashes of its pages, enough of them to know that so many pages differ
+    common = sorted({*a[4], *b[4]})[:TEMPLATE_PAGES] if isinstance(a[4], list) else a[4] if a[4] == b[4] else None
     return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3] if pages else max(a[3], b[3]), common, a[5] + b[5], a[6] + b[6], _align(a[7], b[7], pages)]
 
 
@@ -241,7 +254,8 @@ def rule(w: list) -> dict:
                 slots += y[5]
 
     walk(w, "")
-    return {"main": "/".join(["", *main]) if main else None, "fixed": fixed if slots > 0 else {}}
+    differ = len(w[4] or ()) >= TEMPLATE_PAGES  # else copies of a page would make its own text template
+    return {"main": "/".join(["", *main]) if main else None, "fixed": fixed if slots > 0 and differ else {}}
 
 
 def extract(html: str, rules: dict | None) -> str:
@@ -306,7 +320,7 @@ def infer(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
         out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(w) for w in held.values()], pa.string())], names=["host", "wrapper"])
         for batch in batches:
             for host, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                w = fold(parse(x.as_py() or ""))
+                w = wrapper_of(x.as_py() or "")
                 held[host] = merge(held[host], w) if host in held else w
                 if len(held) >= TASK_HOSTS:
                     yield out()
