@@ -12,12 +12,10 @@
 
 from __future__ import annotations
 
-import os
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokenise import Pieces, atoms, blocks, by_size, encode_block
+from .tokenise import LibraryIds, Pieces, blocks, encode_block
 
 CAPACITY = 2048
 #: Knapsack programs solved, and fillings taken from each.
@@ -163,24 +161,11 @@ def slots(groups: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
 _ENCODERS: dict[str, tuple] = {}
 
 
-def _encoder(vocabulary: str):
+def _encoder(vocabulary: str) -> tuple[Pieces, Callable[[str], bytes]]:
+    """The worker's dictionary of pieces, and a function for whole texts."""
     if vocabulary not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        found = Tokenizer.from_file(vocabulary)
-
-        def many(texts: list[str]) -> list[bytes]:
-            return [array("I", x.ids).tobytes() for part in by_size(texts, 1 << 20) for x in found.encode_batch_fast(part, add_special_tokens=False)]
-
-        words = Pieces(many)
-
-        def pieces(texts: list[str]) -> list[bytes]:
-            parts = [atoms(" " + x) for x in texts]
-            words.fill({w for x in parts for w in x})
-            return [b"".join(map(words.__getitem__, x)) for x in parts]
-
-        _ENCODERS[vocabulary] = (Pieces(pieces), lambda text: many([text])[0] if text else b"")
+        ids = LibraryIds(vocabulary)
+        _ENCODERS[vocabulary] = (Pieces(lambda pieces: ids.many([" " + x for x in pieces])), lambda text: ids.many([text])[0] if text else b"")
     return _ENCODERS[vocabulary]
 
 
