@@ -26,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import components, small, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-RUNS, POOL, LEAF, DEPTH = 14, 72, 64, 3
+RUNS, POOL, LEAF, DEPTH = 18, 72, 64, 5
 #: Children of a set in a bucket that splits, on average, times the threshold.
-BRANCH = 4.0
+BRANCH = 1.3
 #: Pool estimates that link, and that let a set leave a bucket.
 LOOSE, NEAR = 0.55, 0.9
 #: Sets in a block of the exact comparison.
@@ -140,7 +139,11 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     la, lb = [len(x) for x in a], [len(x) for x in b]
     out = np.zeros((len(a), len(b)), np.float32)
     va, vb = np.concatenate(a), np.concatenate(b)
-    common = np.intersect1d(va, vb)
+    if a is b:  # an element of one set alone matches nothing but itself
+        values, counts = np.unique(va, return_counts=True)
+        common = values[counts > 1]
+    else:
+        common = np.intersect1d(va, vb)
     if not len(common):
         return out
     ra, rb = np.repeat(np.arange(len(a)), la), np.repeat(np.arange(len(b)), lb)
@@ -166,15 +169,17 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
 
 
 def _pool_links(ids: np.ndarray, sizes: np.ndarray, pools: list[np.ndarray], other: tuple | None, threshold: float) -> set[tuple[int, int]]:
-    """A spanning forest of the pairs whose pools estimate at least LOOSE."""
+    """A spanning forest of the pairs whose pools estimate at least LOOSE.
+
+    A pool of a smaller set reaches further than that of a larger one, so its length counts as far as
+    the larger set's cut is expected to leave it.
+    """
     left = (ids, sizes, pools)
     right = other or left
     shared = _overlaps(left[2], right[2])
-    la, lb = np.array([len(x) for x in left[2]], np.float32), np.array([len(x) for x in right[2]], np.float32)
     big = np.maximum(left[1][:, None], right[1][None, :])
-    # a pool of a smaller set reaches further; its expected length at the larger set's cut
-    ea, eb = la[:, None] * np.minimum(1, left[1][:, None] / big), lb[None, :] * np.minimum(1, right[1][None, :] / big)
-    likely = shared >= (LOOSE * 0.75) * (ea + eb) / (1 + LOOSE * 0.75)
+    la = np.array([len(x) for x in left[2]])[:, None] * np.minimum(1, left[1][:, None] / big)
+    lb = np.array([len(x) for x in right[2]])[None, :] * np.minimum(1, right[1][None, :] / big)
     links: set[tuple[int, int]] = set()
     root: dict[int, int] = {}
 
@@ -184,10 +189,10 @@ def _pool_links(ids: np.ndarray, sizes: np.ndarray, pools: list[np.ndarray], oth
             x = root[x]
         return x
 
-    for i, j in zip(*np.nonzero(likely), strict=True):
+    for i, j in zip(*(x.tolist() for x in np.nonzero(shared * (1 + LOOSE) >= LOOSE * (la + lb))), strict=True):
         a, b = int(left[0][i]), int(right[0][j])
-        if a != b and find(a) != find(b) and estimate(left[2][i], int(left[1][i]), right[2][j], int(right[1][j]), threshold) >= LOOSE:
-            root[find(a)] = find(b)
+        if a != b and (x := find(a)) != (y := find(b)):
+            root[x] = y
             links.add((a, b))
     return links
 
@@ -200,27 +205,73 @@ def _blocked(rows: DataFrame, key: str, size: str, each: int) -> DataFrame:
     blocks = F.ceil(F.col(size) / each).cast("int")
     own = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
     rows = rows.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.withColumn("tile", F.struct(F.least("_own", "_with").alias("x"), F.greatest("_own", "_with").alias("y"))).drop("_with")
+    return rows.withColumn("x", F.least("_own", "_with")).withColumn("y", F.greatest("_own", "_with")).drop("_with")
+
+
+def _runs(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
+    """``each(table)`` on the rows of every key, a block of bounded size; yields tuples of ``schema``.
+
+    One shuffle and a sort bring a key's rows together; a task walks its runs without a Python call
+    a group for the rest of the batch.
+    """
+    kinds = pa.schema([(c.split()[0], pa.string() if c.split()[1] == "string" else pa.int64()) for c in schema.split(", ")])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last, out = None, []
+
+        def end() -> None:
+            if held:
+                out.extend(each(pa.Table.from_batches(held).combine_chunks()))
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in keys], 1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                key = tuple(k[a].tolist())
+                if key != last:
+                    end()
+                    last = key
+                held.append(batch.slice(a, b - a))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+                out.clear()
+        end()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(walk, schema)
+
+
+def _sides(found: pa.Table, columns: tuple[str, ...]) -> list[list[np.ndarray]]:
+    """Columns of one or two blocks of a tile, one row an id; binary ones as lists of hashes."""
+    ids, own = found["id"].to_numpy(), found["_own"].to_numpy()
+    keep = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])])
+    out = []
+    for block in np.unique(own[keep]):
+        at = keep[own[keep] == block]
+        part = found.take(pa.array(at))
+        out.append([[np.frombuffer(x.as_py(), np.uint64) for x in part[c]] if pa.types.is_binary(part[c].type) else part[c].to_numpy() for c in columns])
+    return out
 
 
 def _leaf_links(rows: DataFrame, threshold: float) -> DataFrame:
     """Loose links (a, b) inside the buckets of ``rows(path, count, id, n, pool)``."""
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("id").drop_duplicates("id")
-        parts = []
-        for own in sorted(set(found["_own"])):
-            f = found[found["_own"] == own]
-            parts.append((f["id"].to_numpy(), f["n"].to_numpy(), [np.frombuffer(x, np.uint64) for x in f["pool"]]))
-        links: set = set()
-        if len(parts) == 1:
-            if len(parts[0][0]) > 1:
-                links = _pool_links(*parts[0], None, threshold)
-        else:
-            links = _pool_links(*parts[0], parts[1], threshold)
-        return pd.DataFrame(sorted(links), columns=["a", "b"], dtype="int64")
+    def each(found: pa.Table) -> list[tuple[int, int]]:
+        if found.num_rows < 2:
+            return []
+        sides = _sides(found, ("id", "n", "pool"))
+        if len(sides) == 1 and len(sides[0][0]) <= 3:
+            ids, sizes, pools = sides[0]
+            pairs = [(i, j) for i in range(len(ids)) for j in range(i)]
+            return [(int(ids[i]), int(ids[j])) for i, j in pairs if estimate(pools[i], int(sizes[i]), pools[j], int(sizes[j]), threshold) >= LOOSE]
+        return sorted(_pool_links(*sides[0], sides[1] if len(sides) > 1 else None, threshold))
 
-    return _blocked(rows, "path", "count", BLOCK).groupBy("path", "tile").applyInPandas(run, "a long, b long")
+    return _runs(_blocked(rows, "path", "count", BLOCK), ["path", "x", "y"], each, "a long, b long")
 
 
 def _split(rows: DataFrame, level: int, threshold: float) -> DataFrame:
@@ -287,26 +338,21 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
     spanning forest of the block's pairs.
     """
 
-    def run(found: pd.DataFrame) -> pd.DataFrame:
-        found = found.sort_values("id").drop_duplicates("id")
-        parts = [found[found["_own"] == own] for own in sorted(set(found["_own"]))]
-        x, y = parts[0], parts[-1]
-        alone = len(parts) == 1
-        sx = [np.frombuffer(v, np.uint64) for v in x["shingles"]]
-        sy = sx if alone else [np.frombuffer(v, np.uint64) for v in y["shingles"]]
+    def each(found: pa.Table) -> list[tuple]:
+        sides = _sides(found, ("id", "copies", "shingles"))
+        (ix, cx, sx), (iy, cy, sy) = sides[0], sides[-1]
+        alone = len(sides) == 1
+        if alone and found["x"][0] != found["y"][0]:
+            return []  # the other block is empty; a block's own pairs are counted in its own tile
         shared = _overlaps(sx, sy)
         nx, ny = np.array([len(v) for v in sx]), np.array([len(v) for v in sy])
         union = nx[:, None] + ny[None, :] - shared
         hit = shared >= threshold * union - 1e-6
-        tile = found["tile"].iloc[0]
         if alone:
-            if tile["x"] != tile["y"]:  # the other block is empty; the block's own pairs are counted in its own tile
-                hit[:] = False
             np.fill_diagonal(hit, False)
-        ix, iy = x["id"].to_numpy(), y["id"].to_numpy()
-        rows = [("sum", int(i), int(h.sum()), int((h * y["copies"].to_numpy()).sum())) for i, h in zip(ix, hit, strict=True) if h.any()]
+        rows = [("sum", int(i), int(h.sum()), int((h * cy).sum())) for i, h in zip(ix, hit, strict=True) if h.any()]
         if not alone:
-            rows += [("sum", int(i), int(h.sum()), int((h * x["copies"].to_numpy()).sum())) for i, h in zip(iy, hit.T, strict=True) if h.any()]
+            rows += [("sum", int(i), int(h.sum()), int((h * cx).sum())) for i, h in zip(iy, hit.T, strict=True) if h.any()]
         seen, todo = set(), []
         for start in range(len(ix)):  # breadth first over the block's pairs
             if ("x", start) in seen:
@@ -322,9 +368,9 @@ def _exact(rows: DataFrame, threshold: float) -> DataFrame:
                         seen.add((other, j))
                         todo.append((other, j))
                         rows.append(("link", int((ix if side == "x" else iy)[k]), int((ix if other == "x" else iy)[j]), 0))
-        return pd.DataFrame(rows, columns=["kind", "a", "b", "c"]).astype({"a": "int64", "b": "int64", "c": "int64"})
+        return rows
 
-    return _blocked(rows, "comp", "count", BLOCK).groupBy("comp", "tile").applyInPandas(run, "kind string, a long, b long, c long")
+    return _runs(_blocked(rows, "comp", "count", BLOCK), ["comp", "x", "y"], each, "kind string, a long, b long, c long")
 
 
 def _with_shingles(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
