@@ -39,6 +39,8 @@ RUNS, POOL, LEAF, DEPTH = 18, 72, 64, 5
 BRANCH = 1.3
 #: Pool estimates that link, and that let a set leave a bucket.
 LOOSE, NEAR = 0.55, 0.9
+#: Pivots (of about 700 bytes) that may be broadcast.
+BROADCAST_PIVOTS = 20_000
 #: Sets in a block of the exact comparison.
 BLOCK = 512
 _WORD_CACHE = 400_000
@@ -317,8 +319,11 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if last or not large.limit(1).count():
             break
         pivots = pools.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("pool").alias("pivot_pool"))
-        wanted = large.select("path", "pivot").distinct().join(pivots, "pivot").select("path", "pivot", "pivot_n", "pivot_pool")
-        split = written(_split(large.select("path", "id").join(pools, "id").join(wanted.hint("merge"), "path"), level, threshold), f"split{level}")
+        # one row for each large bucket: few, so its side is broadcast if counted to be, and no hot path gathers its rows
+        wanted = large.select("path", "pivot").distinct()
+        few = wanted.limit(BROADCAST_PIVOTS + 1).count() <= BROADCAST_PIVOTS
+        near = pivots.join(F.broadcast(wanted) if few else wanted, "pivot").select("path", "pivot", "pivot_n", "pivot_pool")
+        split = written(_split(large.select("path", "id").join(pools, "id").join(F.broadcast(near) if few else near, "path"), level, threshold), f"split{level}")
         links.append(split.where("kind = 'link'").select(F.col("id").alias("a"), F.col("path").alias("b")))
         rows = split.where("kind = 'path'").select("path", "id").distinct()
     leaf = leaves[0]
