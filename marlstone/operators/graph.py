@@ -5,13 +5,18 @@ from __future__ import annotations
 import random
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
 
+#: Edges a task of ``levels`` holds.
+BLOCK_EDGES = 250_000
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder and read back, to cut the lineage of a loop."""
@@ -143,35 +148,60 @@ def chain(spark, versions: DataFrame, most: int = 32) -> DataFrame:
     )
 
 
-def clusters(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """Connected components by min-label hooking with pointer jumping: (id, cluster), the smallest id."""
+def clusters(edges: DataFrame) -> DataFrame:
+    """Connected components by min-label hooking with pointer jumping: (id, cluster), the smallest id.
+    Goes on until no label changes."""
     ends = checkpointed(both_ways(edges))
     label = ends.select(F.col("a").alias("id")).distinct().withColumn("cluster", F.col("id"))
-    for _ in range(rounds):
+    while True:
         near = ends.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("cluster").alias("m"))
         new = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("cluster", F.coalesce("m", "cluster")).alias("cluster"), F.col("cluster").alias("old"))
         jump = new.select(F.col("id").alias("j"), F.col("cluster").alias("to"))
         new = checkpointed(new.join(jump, F.col("cluster") == F.col("j"), "left").select("id", F.least("cluster", F.coalesce("to", "cluster")).alias("cluster"), "old"))
         label = new.select("id", "cluster")
         if not new.where("cluster <> old").limit(1).count():
-            break
-    return label
+            return label
 
 
-def levels(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Topological levels of a DAG of edges (a before b): (id, level); ids on a cycle are left out."""
+def levels(edges: DataFrame) -> DataFrame:
+    """Topological levels of a DAG of edges (a before b): (id, level); ids on a cycle or behind one are left out.
+
+    Each round deals the open edges by ranges of b, and each task places all it can by itself; known
+    levels fold into one row a b. It ends when a round places nothing, so depth is not bounded.
+    """
     e = checkpointed(edges.select("a", "b").distinct())
-    left = e.select(F.col("a").alias("id")).union(e.select("b")).distinct()
-    done = None
-    for level in range(rounds):
-        ready = checkpointed(left.join(e.select(F.col("b").alias("id")).distinct(), "id", "left_anti"))
-        if not ready.limit(1).count():
+    placed = checkpointed(e.select(F.col("a").alias("id")).join(e.select(F.col("b").alias("id")), "id", "left_anti").distinct().withColumn("level", F.lit(0)))
+    left, done = e.withColumn("at", F.lit(None).cast("int")), placed
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level, waits, after = {}, {}, {}
+        for batch in batches:
+            for a, b, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                level[b] = max(level.get(b, 0), 0 if at is None else at + 1)
+                if at is None:
+                    waits[b] = waits.get(b, 0) + 1
+                    after.setdefault(a, []).append(b)
+        ready, out = [b for b in level if b not in waits], []
+        while ready:
+            x = ready.pop()
+            out.append(x)
+            for b in after.get(x, ()):
+                level[b] = max(level[b], level[x] + 1)
+                waits[b] -= 1
+                if not waits[b]:
+                    ready.append(b)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out), pa.array([level[x] for x in out], pa.int32())], names=["id", "level"])
+
+    while not placed.isEmpty():
+        known = left.join(placed.withColumnRenamed("id", "a"), "a", "left").join(placed.select(F.col("id").alias("b")), "b", "left_anti").withColumn("at", F.coalesce("at", "level"))
+        left = checkpointed(known.groupBy(F.when(F.col("at").isNull(), F.col("a")).alias("a"), "b").agg(F.max("at").alias("at")))
+        blocks = -(-left.count() // BLOCK_EDGES)
+        if not blocks:
             break
-        placed = ready.withColumn("level", F.lit(level))
-        done = placed if done is None else done.union(placed)
-        left = checkpointed(left.join(ready, "id", "left_anti"))
-        e = checkpointed(e.join(ready.withColumnRenamed("id", "a"), "a", "left_anti"))
-    return done if done is not None else left.withColumn("level", F.lit(0)).limit(0)
+        placed = checkpointed(left.repartitionByRange(blocks, "b").mapInArrow(place, f"id {e.schema['b'].dataType.simpleString()}, level int"))
+        done = done.union(placed)
+    return done
 
 
 def evidence_rays(seeds: DataFrame, adjacency: DataFrame, rays: int = 200, bounces: int = 3, decay: float = 0.7, absorb: float = 0.01, seed: int = 0) -> DataFrame:

@@ -56,7 +56,7 @@ def successor_representation(spark, sf) -> DataFrame:
 def personalised_pagerank(spark, sf) -> DataFrame:
     """Parts linked from a dearer to a cheaper one bought with it; iterative, so tested against brute force."""
     restart = _seeds(spark, sf).select("node", F.lit(10.0).alias("weight"))
-    return graph.pagerank(m.edges(spark, sf).where("weight >= 2"), restart, rounds=12)
+    return graph.pagerank(m.edges(spark, sf), restart, rounds=50)
 
 
 ENT = f"{m.POSTINGS}, ent AS (SELECT DISTINCT doc_id, term AS entity FROM post WHERE length(term) BETWEEN 10 AND 13), ok AS (SELECT entity FROM ent GROUP BY 1 HAVING count(*) <= 30), pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM ent x JOIN ent y USING (entity) WHERE entity IN (SELECT entity FROM ok) AND x.doc_id < y.doc_id GROUP BY 1, 2 HAVING count(*) >= 3)"
@@ -145,16 +145,18 @@ def claim_clusters(spark, sf) -> DataFrame:
 
 @query("topological_levels")
 def topological_levels(spark, sf) -> DataFrame:
-    return graph.levels(m.edges(spark, sf).where("weight >= 3"))
+    return graph.levels(m.edges(spark, sf))
 
 
 @query("evidence_rays")
 def evidence_rays(spark, sf) -> DataFrame:
-    """Seeded rays over each seed's two-step neighbourhood: a random walk, which SQL can't express."""
-    e = m.edges(spark, sf).where("weight >= 2")
+    """Seeded rays over each seed's neighbourhood of as many steps as a ray has bounces: a random walk, which SQL can't express."""
+    e = graph.checkpointed(m.edges(spark, sf))
     seeds = _seeds(spark, sf).select(F.col("node").alias("query_id"), "node")
-    first = graph.neighbours(_seeds(spark, sf), e, 10).select(F.col("a").alias("query_id"), "b")
-    second = graph.neighbours(first.select(F.col("b").alias("node")).distinct(), e, 10).select("a", F.col("b").alias("c"), "weight")
-    one = graph.neighbours(_seeds(spark, sf), e, 10).select(F.col("a").alias("query_id"), "a", "b", "weight")
-    two = first.join(second, F.col("b") == F.col("a")).select("query_id", "a", F.col("c").alias("b"), "weight")
-    return graph.evidence_rays(seeds, one.union(two).distinct())
+    front, near = seeds, None
+    for _ in range(3):
+        ways = graph.neighbours(front.select("node").distinct(), e, 10).select("a", "b", "weight")
+        step = graph.checkpointed(front.join(ways, F.col("node") == F.col("a")).select("query_id", "a", "b", "weight"))
+        near = step if near is None else near.union(step)
+        front = step.select("query_id", F.col("b").alias("node")).distinct()
+    return graph.evidence_rays(seeds, near.distinct())
