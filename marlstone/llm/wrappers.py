@@ -17,6 +17,7 @@ import json
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import takewhile
 from zlib import crc32
 
 import pandas as pd
@@ -226,20 +227,24 @@ def _content(w: list) -> float:
 
 
 def rule(w: list) -> dict:
-    """{"main": path of the element that holds the text, "fixed": {path: hash of a text all pages have}}."""
-    path, node, total = [], w, _content(w)
-    main = None
+    """{"main": path of the element that holds the text, "fixed": {path: hash of a text all pages have}}.
+
+    Short of an article or main element, the place is only narrowed while all that lies beside it
+    outside furniture is template.
+    """
+    steps, node, total = [], w, _content(w)
     while total > 0:
         kids = [(x, _content(x)) for x in node[7] if x[0] != "#"]
         kid, most = max(kids, key=lambda x: x[1], default=(None, 0))
         tag = kid[0].split(".")[0] if kid else ""
         if most < 0.8 * total or kid[1] and tag not in ("article", "main") or tag in ("p", "li", "ul", "ol", "table", "blockquote", "pre") or tag not in BLOCKS:
             break
-        path.append(kid[0])
-        node, main = kid, list(path)
+        steps.append((node, kid))
+        node = kid
         if tag in ("article", "main"):
             break
     fixed: dict[str, int] = {}
+    template: set[int] = set()
     slots = 0.0
 
     def walk(x: list, at: str) -> None:
@@ -250,12 +255,21 @@ def rule(w: list) -> dict:
                     walk(y, f"{at}/{y[0]}")
             elif y[4] is not None and y[3] >= TEMPLATE_PAGES and y[3] == w[3] and not y[2]:
                 fixed[at] = y[4]
+                template.add(id(y))
             elif y[4] is None:
                 slots += y[5]
 
     walk(w, "")
     differ = len(w[4] or ()) >= TEMPLATE_PAGES  # else copies of a page would make its own text template
-    return {"main": "/".join(["", *main]) if main else None, "fixed": fixed if slots > 0 and differ else {}}
+    if slots <= 0 or not differ:
+        fixed, template = {}, set()
+
+    def holds(x: list) -> bool:
+        return x[5] > 0 and id(x) not in template if x[0] == "#" else not _furniture(x[0]) and any(map(holds, x[7]))
+
+    if not (steps and node[0].split(".")[0] in ("article", "main")):
+        steps = list(takewhile(lambda s: not any(holds(x) for x in s[0][7] if x is not s[1]), steps))
+    return {"main": "/".join(["", *(kid[0] for _, kid in steps)]) if steps else None, "fixed": fixed}
 
 
 def extract(html: str, rules: dict | None) -> str:
