@@ -60,14 +60,24 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
-    """An element: tag, label (tag with its class and id words), children (nodes and strings)."""
+    """An element: tag, label (tag with up to four of its class and id words), children (nodes and strings)."""
 
     __slots__ = ("furniture", "kids", "label", "tag")
 
     def __init__(self, tag: str, names: tuple[str, ...] = ()):
         self.tag, self.kids = tag, []
         self.label = ".".join((tag, *names)) if names else tag
-        self.furniture = tag in FURNITURE or any(w in FURNITURE_NAMES for n in names for w in _SPLIT.split(n))
+        self.furniture = tag in FURNITURE or any(map(_telling, names))
+
+
+def _telling(name: str) -> bool:
+    return any(w in FURNITURE_NAMES for w in _SPLIT.split(name))
+
+
+def _kept(names: set[str]) -> tuple[str, ...]:
+    """Four names for the label, those of furniture first: a label is furniture if any of the names is."""
+    first = sorted(names, key=lambda n: (not _telling(n), n))[:4] if len(names) > 4 else names
+    return tuple(sorted(first))
 
 
 def parse(html: str) -> Node:
@@ -107,7 +117,7 @@ def parse(html: str) -> Node:
                     break
             names = ()
             if m[4]:
-                names = tuple(sorted({w for g in _NAMES.findall(m[4]) for x in g for w in x.lower().split()})[:4])
+                names = _kept({w for g in _NAMES.findall(m[4]) for x in g for w in x.lower().split()})
             node = Node(tag, names)
             stack[-1].kids.append(node)
             if not m[4].endswith("/") or tag in ("p", "div", "article", "a", "b", "span"):
@@ -215,7 +225,7 @@ def expression(w: list) -> str:
 
 def _furniture(label: str) -> bool:
     tag, *names = label.split(".")
-    return tag in FURNITURE or any(x in FURNITURE_NAMES for n in names for x in _SPLIT.split(n))
+    return tag in FURNITURE or any(map(_telling, names))
 
 
 def _content(w: list) -> float:

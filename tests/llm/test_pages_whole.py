@@ -27,3 +27,9 @@ def test_linked_heading_beside_the_body_container():
 def test_an_article_is_still_found_beside_other_text():
     make = lambda i: f"<html><body><div class=top>Line {i}</div><div class=wrap><article><p>{f'long text {i} ' * 30}</p></article></div></body></html>"
     assert host(map(make, range(12)))["main"] == "/html/body/div.wrap/article"
+
+
+def test_furniture_is_told_by_any_of_many_names():
+    for names in ("box col-md-4 d-none grid sidebar", "a b c d e f widget"):
+        html = f"<html><body><article><p>Own text.</p><div class='{names}'>Other</div></article></body></html>"
+        assert w.extract(html, host([html])) == w.extract(html, None) == "Own text."
