@@ -5,7 +5,7 @@ groups. Then streams of one host are aligned two at a time: what both have is me
 has becomes an optional group, and texts that differ become slots. The result, the host's wrapper,
 has one node for each place of the template, with how many pages have it and how much slot text and
 link text it holds. It gives the rule for the host: the place that holds the slot text, and the texts
-that all pages have in common. Each page is then read once more, under its host's rule.
+that nearly all pages with that place have in common. Each page is then read once more, under its host's rule.
 
 All pages of a host are aligned. Each task aligns its own pages first, so a host with a third of all
 pages sends one wrapper a task, and those meet in two steps (host and salt, then host).
@@ -29,6 +29,8 @@ from .common import small, written
 
 #: Different pages that must agree before a common text counts as part of the template.
 TEMPLATE_PAGES = 8
+#: Share of the pages with the host's place by which a text must lead over other texts to be template.
+TEMPLATE_LEAD = 0.8
 #: Wrappers a task holds before it sends them on, and rules that may be broadcast.
 TASK_HOSTS, BROADCAST_RULES = 2000, 20_000
 
@@ -130,15 +132,17 @@ def clean(text: str) -> str:
 
 
 # --- wrappers ---------------------------------------------------------------------------------
-# A wrapper node is [label, repeated, optional, pages, hash of the common text or None for a slot,
-# slot characters, link characters, children]. Texts have the label "#", groups "(...)".
+# A wrapper node is [label, repeated, optional, pages, for texts [hash, lead], slot characters, link
+# characters, children]. Texts have the label "#", groups "(...)". The lead is a majority count: a
+# text on n pages more than all others at its place leads by n at least; a lead of all pages is no slot.
 
 
 def wrapper_of(html: str) -> list:
     """The wrapper of one page; its root keeps a hash of the page's text outside furniture."""
     root = parse(html)
     found = fold(root)
-    found[4] = [crc32(_plain(root).encode())]
+    found[4] = [crc32(_plain(root).encode())] if found[7] else []
+    found[3] = 1 if found[7] else 0  # empty pages don't count
     return found
 
 
@@ -152,7 +156,7 @@ def fold(node: Node, linked: bool = False) -> list:
     for x in node.kids:
         if isinstance(x, str):
             if text := clean(x):
-                kids.append(["#", False, False, 1, crc32(text.encode()), len(text), len(text) if linked else 0, []])
+                kids.append(["#", False, False, 1, [crc32(text.encode()), 1], len(text), len(text) if linked else 0, []])
         elif x.tag != "br":
             kids.append(fold(x, linked or x.tag == "a"))
     return [node.label, False, False, 1, None, 0, 0, _repeats(kids)]
@@ -178,8 +182,11 @@ def _repeats(kids: list) -> list:
 
 def merge(a: list, b: list, pages: bool = True) -> list:
     """The wrapper of all that ``a`` and ``b`` stand for; both have the same label."""
-    # of a root the smallest hashes of its pages, enough of them to know that so many pages differ
-    common = sorted({*a[4], *b[4]})[:TEMPLATE_PAGES] if isinstance(a[4], list) else a[4] if a[4] == b[4] else None
+    if a[0] == "#":
+        (x, m), (y, n) = a[4], b[4]
+        common = [x, m + n if pages else max(m, n)] if x == y else [x if (m, x) > (n, y) else y, abs(m - n)] if pages else [x, 0]
+    else:  # of a root the smallest hashes of its pages, enough of them to know that so many pages differ
+        common = sorted({*a[4], *b[4]})[:TEMPLATE_PAGES] if a[4] is not None else None
     return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3] if pages else max(a[3], b[3]), common, a[5] + b[5], a[6] + b[6], _align(a[7], b[7], pages)]
 
 
@@ -218,7 +225,7 @@ def expression(w: list) -> str:
     """The wrapper as a readable expression: #text slots, fixed texts, + and ? on groups."""
     marks = ("+" if w[1] else "") + ("?" if w[2] else "")
     if w[0] == "#":
-        return ("#text" if w[4] is None else "#fixed") + marks
+        return ("#fixed" if w[4][1] == w[3] else "#text") + marks
     inner = " ".join(map(expression, w[7]))
     return f"<{w[0]}>{inner}</>" + marks if not marks else f"(<{w[0]}>{inner}</>){marks}"
 
@@ -237,7 +244,7 @@ def _content(w: list) -> float:
 
 
 def rule(w: list) -> dict:
-    """{"main": path of the element that holds the text, "fixed": {path: hash of a text all pages have}}.
+    """{"main": path of the element that holds the text, "fixed": {path: hash of a text nearly all pages with that place have}}.
 
     Short of an article or main element, the place is only narrowed while all that lies beside it
     outside furniture is template.
@@ -253,6 +260,8 @@ def rule(w: list) -> dict:
         node = kid
         if tag in ("article", "main"):
             break
+    # pages of other kinds don't count, unless the place is that of a few long pages
+    pages = node[3] if 2 * node[3] >= w[3] else w[3]
     fixed: dict[str, int] = {}
     template: set[int] = set()
     slots = 0.0
@@ -263,11 +272,13 @@ def rule(w: list) -> dict:
             if y[0] != "#":
                 if not _furniture(y[0]):
                     walk(y, f"{at}/{y[0]}")
-            elif y[4] is not None and y[3] >= TEMPLATE_PAGES and y[3] == w[3] and not y[2]:
-                fixed[at] = y[4]
-                template.add(id(y))
-            elif y[4] is None:
-                slots += y[5]
+            else:
+                text, lead = y[4]
+                if lead >= max(TEMPLATE_PAGES, TEMPLATE_LEAD * pages):
+                    fixed[at] = text
+                    template.add(id(y))
+                if lead < y[3]:
+                    slots += y[5]
 
     walk(w, "")
     differ = len(w[4] or ()) >= TEMPLATE_PAGES  # else copies of a page would make its own text template

@@ -33,3 +33,26 @@ def test_furniture_is_told_by_any_of_many_names():
     for names in ("box col-md-4 d-none grid sidebar", "a b c d e f widget"):
         html = f"<html><body><article><p>Own text.</p><div class='{names}'>Other</div></article></body></html>"
         assert w.extract(html, host([html])) == w.extract(html, None) == "Own text."
+
+
+def test_template_text_goes_though_some_pages_are_empty_or_odd():
+    make = lambda i: f"<html><body><article><p>Own text of page {i}.</p><div><span>Follow us everywhere</span></div></article></body></html>"
+    odd = ["", "<html><body><p>odd</p></body></html>", make(90).replace("Follow us everywhere", "Another notice")]
+    for n in (12, 300):
+        for more in (odd[:1], odd[1:2], odd):
+            for pages in ([*map(make, range(n)), *more], [*more, *map(make, range(n))]):
+                rules = host(pages)
+                assert w.extract(make(3), rules) == "Own text of page 3."
+                assert w.extract(odd[2], rules).endswith("Another notice")
+
+
+def test_a_text_that_some_pages_share_stays():
+    make = lambda i: f"<html><body><article><p>Own text of page {i}.</p><h2>{'References' if i % 3 else f'Notes {i}'}</h2></article></body></html>"
+    some = lambda i: make(i) if i % 3 else f"<html><body><article><p>Own text of page {i}.</p></article></body></html>"
+    for page in (make, some):
+        assert w.extract(page(4), host(map(page, range(60)))).endswith("References")
+
+
+def test_few_pages_have_no_template():
+    make = lambda i: f"<html><body><article><p>Own text of page {i}.</p><div><span>Follow us everywhere</span></div></article></body></html>"
+    assert w.extract(make(3), host(map(make, range(7)))).endswith("Follow us everywhere")
