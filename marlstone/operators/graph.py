@@ -16,6 +16,8 @@ from marlstone.functions import text as fx
 
 #: Edges a task of ``levels`` holds.
 BLOCK_EDGES = 250_000
+#: Documents of an entity in a block of ``shared_entities``.
+BLOCK_DOCS = 500
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -81,16 +83,23 @@ def pagerank(edges: DataFrame, restart: DataFrame, damping: float = 0.85, rounds
     return rank.select("node", fx.round6("rank").alias("rank"))
 
 
-def shared_entities(rows: DataFrame, least: int = 2, most_rows: int = 1000) -> DataFrame:
+def shared_entities(rows: DataFrame, least: int = 2, most_rows: int | None = None) -> DataFrame:
     """Pairs (a < b) of documents that share at least ``least`` entities: (a, b, shared).
 
-    Entities of more than ``most_rows`` documents say nothing about a pair and would make a quadratic
-    join; they are counted out by the operator's definition (a stop list), which the caller sets.
+    Documents of an entity are dealt into blocks of about ``BLOCK_DOCS``, and each two blocks meet in
+    one task, so a frequent entity is no hot key. ``most_rows`` leaves out entities of more documents,
+    which loses pairs and lowers counts; without it all count.
     """
     e = rows.select("entity", "doc_id").distinct()
-    e = e.join(e.groupBy("entity").count().where(F.col("count") <= most_rows).select("entity"), "entity", "left_semi")
-    x, y = e.withColumnRenamed("doc_id", "a"), e.withColumnRenamed("doc_id", "b")
-    return x.join(y, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    n = e.groupBy("entity").agg(F.count("*").alias("n"))
+    if most_rows is not None:
+        n = n.where(F.col("n") <= most_rows)
+    blocks = F.ceil(F.col("n") / BLOCK_DOCS).cast("int")
+    e = e.join(n, "entity").withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    e = e.select("entity", F.least("own", "met").alias("p"), F.greatest("own", "met").alias("q"), "own", "doc_id")
+    x, y = e.withColumnsRenamed({"doc_id": "a", "own": "own_a"}), e.withColumnsRenamed({"doc_id": "b", "own": "own_b"})
+    met = x.join(y, ["entity", "p", "q"]).where("a < b AND own_a + own_b = p + q")  # each pair in one pair of blocks
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def auto_links(pairs: DataFrame, sizes: DataFrame, k: int = 10) -> DataFrame:

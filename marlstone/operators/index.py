@@ -35,7 +35,7 @@ def path_keys(docs: DataFrame) -> DataFrame:
 
 
 def compact_path_keys(rows: DataFrame, most: int = 200) -> DataFrame:
-    """Rows of pairs that at most ``most`` documents have; the others can't change a score."""
+    """Rows of pairs that at most ``most`` documents have. Rows of the other pairs are lost to scores, small as their share of one is."""
     return rows.join(rows.groupBy("path_token", "kv_key").count().where(F.col("count") <= most).drop("count"), ["path_token", "kv_key"], "left_semi")
 
 
