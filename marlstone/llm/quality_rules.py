@@ -1,7 +1,7 @@
 """Line-first quality rules in built-in functions only: no Python, no shuffle, no state.
 
-Each line is judged on its own (symbols, pipes, shouting, repeated words, navigation and boilerplate
-phrases, length of its words). Failing lines are removed; a document is rejected when the base
+Each line is judged on its own (symbols, pipes and bullets, shouting, few letters, repeated words,
+boilerplate phrases); its end mark and the lines around it are not looked at. Failing lines are removed; a document is rejected when the base
 rules fail or when too large a share of its characters was removed.
 """
 
@@ -53,7 +53,7 @@ def _repeat_words(words: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """A line of words fails if it is boilerplate, navigation, shouted, symbol-laden or one word again and again."""
+    """A line of words fails if it is boilerplate, full of pipes or bullets, shouted, short of letters, symbol-laden or one word again and again."""
     chars = F.length(line)
     symbols = chars - F.length(F.regexp_replace(line, r"[#*$%&|<>~^_=+]+", ""))
     pipes = chars - F.length(F.regexp_replace(line, r"[|>»•·]+", ""))
