@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +12,10 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``), or a temporary one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -43,24 +42,34 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as no column of ``df`` has (case ignored)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(id, comp)`` with the smallest id of each component.
 
-    Alternates large-star and small-star steps; each round is a shuffle by id and is written to the
-    shared folder. A hub's neighbours are only ever aggregated with ``min`` and joined back, so no
-    group is gathered in one task.
+    Alternates large-star and small-star steps to the fixed point, O(log^2) rounds for any graph; each
+    round is a shuffle by id and is written to the shared folder. A hub's neighbours are only ever
+    aggregated with ``min`` and joined back, so no group is gathered in one task.
     """
-    spark = edges.sparkSession
     cur = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:
         both = cur.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(cur.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         star = large.join(low, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).union(low.select("hi", F.col("m").alias("lo")))
         cur = written(star.where("hi <> lo").distinct(), "edges")
-        sign = tuple(cur.agg(F.count("*"), F.sum("lo"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
+        sign = tuple(cur.agg(F.count("*"), F.sum(F.col("lo").cast("decimal(38,0)")), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         if sign == last:
             break
         last = sign

@@ -12,7 +12,7 @@ from .quality_rules import BOILERPLATE, quality_rules
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(normalised(), 256).alias("text_sha256"))
-    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, digest="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

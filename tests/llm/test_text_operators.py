@@ -34,6 +34,21 @@ def test_exact_dedup_brute_force(spark):
     assert "text" not in out[0].asDict() and out[0].source in ("a", "b", None)
 
 
+def test_exact_dedup_with_digest_and_clashing_names(spark):
+    docs = spark.createDataFrame(ROWS, DOCS).withColumn("sha", F.sha2(normalised(), 256))
+    for c in ("bits", "bucket", "spot", "at", "full", "_full", "length", "start", "most", "many", "count", "FULL_"):
+        docs = docs.withColumn(c, F.lit(7))
+    one, two = exact_dedup(docs), exact_dedup(docs, digest="sha")
+    assert one.columns == two.columns
+    rows = sorted(map(str, one.collect()))
+    assert rows == sorted(map(str, two.collect())) and len(rows) == len(ROWS)
+
+
+def test_exact_dedup_prefix_alone_is_no_copy(spark):
+    docs = spark.createDataFrame([(1, "p" * 500 + "a"), (2, "p" * 500 + "b"), (3, "P" * 500 + "A"), (4, "q")], "doc_id long, text string")
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs).collect()} == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+
+
 def test_exact_dedup_empty(spark):
     assert exact_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
