@@ -5,45 +5,53 @@ represented by one of them, so copies are never joined. Then:
 
 1. Each set keeps a consistent sample of its shingles, its *pool* (about ``POOL / threshold``; small
    sets keep all). A shingle's hash decides, so similar sets sample alike, and pools estimate Jaccard.
-2. Paths of length one: a set chooses a shingle with probability ``RUNS / (threshold * size)``. That
-   is ``RUNS`` repetitions of the chosen-path step at once: a pair at the threshold shares a path but
-   with probability e^-RUNS. Small sets choose all their shingles, which is exact.
+2. Paths of length one: a set chooses a shingle with probability ``RUNS / (threshold * size)``, the
+   ``RUNS`` repetitions of the chosen-path step at once. Small sets choose all their shingles.
 3. A bucket (a path and its sets) of at most ``LEAF`` sets is compared all against all, on pools. In
-   a larger one every set is held against a few pivots. Sets very near a pivot leave the bucket with a link to
-   it: whatever they are similar to is, by the triangle inequality, near that pivot as well and gets
-   its link there. The rest choose again, extending the path, and so split recursively. After
-   ``DEPTH`` levels what is left is compared in square blocks, each a task of its own.
-4. The links so found are loose (well below the threshold), one for each set and bucket at most.
-   Their connected components hold every pair at the threshold. In each component all pairs of
-   whole sets are compared exactly, in blocks; a block returns sums and a spanning forest, never pairs.
-
-No bucket or component is capped; large ones only cost more tasks. The candidate search misses a
-pair only if it shares no path, or if pools estimate it below ``LOOSE``.
+   a larger one every set is held against ``PIVOTS`` pivots and gets a link to each that is loosely
+   near (``LOOSE``). Sets at least ``NEAR`` to one leave the bucket: whatever they are similar to is,
+   by the triangle inequality, loosely near that pivot as well and gets its own link there. The rest
+   choose again, extending the path, and so split recursively. After ``DEPTH`` levels what is left is
+   compared in square blocks, each a task of its own: the exact way for what paths can't split.
+4. The links so found are loose (well below the threshold). Of a block only those are kept that join
+   what the block's halves don't join by themselves, so their number is about that of the sets. Their
+   connected components should hold every pair at the threshold. How many do is measured: a bounded
+   sample of sets is held against all sets, and the chosen-path runs are repeated with other hashes
+   until ``RECALL`` of the sample's pairs lie in one component.
+5. In each component all pairs of whole sets are compared exactly, a task for each block of sets and
+   the rest streaming past it. A task returns one row of counts for each of its sets, and links that
+   join what isn't joined yet; never pairs.
+
+No bucket or component is capped; large ones only cost more tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, small, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-RUNS, POOL, LEAF, DEPTH = 18, 72, 64, 5
+RUNS, POOL, LEAF, DEPTH, PIVOTS = 18, 72, 64, 5, 4
+#: Share of a sample's pairs that the runs must find, sets in the sample, and runs at most (then an error).
+RECALL, SAMPLE, MOST_RUNS = 0.97, 256, 8
 #: Children of a set in a bucket that splits, on average, times the threshold.
 BRANCH = 1.3
 #: Pool estimates that link, and that let a set leave a bucket.
-LOOSE, NEAR = 0.55, 0.9
-#: Pivots (of about 700 bytes) that may be broadcast.
-BROADCAST_PIVOTS = 20_000
-#: Sets in a block of the exact comparison.
-BLOCK = 512
-_WORD_CACHE = 400_000
+LOOSE, NEAR = 0.55, 0.8
+#: Large buckets whose pivots (of about 3 KB) may be broadcast.
+BROADCAST_PIVOTS = 5_000
+#: Sets in a block of the exact comparison, and shingles in one (blocks of long texts hold fewer sets).
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Words a worker keeps the hashes of.
+_WORD_CACHE = 100_000
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -87,40 +95,48 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (_mix(h ^ _M[7]) >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def pool_of(h: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """The pool in order of the unit hash, and how many of its first shingles are paths of length one."""
-    if not len(h):
-        return h, 0
-    u = _unit(h)
-    keep = u < POOL / (threshold * len(h))
-    p, u = h[keep], u[keep]
-    order = np.argsort(u, kind="stable")
-    return p[order], int(np.searchsorted(u[order], RUNS / (threshold * len(h))))
+def pool_of(h: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The pool of a set."""
+    return h[_unit(h) < POOL / (threshold * max(1, len(h)))]
+
+
+def first_paths(pool: np.ndarray, n: int, run: int, threshold: float = THRESHOLD) -> np.ndarray:
+    """The pool's shingles that are paths of length one in a run; other runs choose by other hashes."""
+    reach = min(1.0, POOL / (threshold * max(1, n)))  # the share of the set that is in the pool
+    u = _unit(pool) / reach if run == 0 else _unit(pool + np.uint64(run) * _M[2])
+    return pool[u * reach < RUNS / (threshold * max(1, n))]
 
 
 def _binary(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in arrays], pa.binary())
 
 
+def _fingerprint(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set."""
+    if not len(h):
+        return 0, 0
+    with np.errstate(over="ignore"):
+        return int(_mix(h).sum().astype(np.int64)), int(_mix(h ^ _M[0]).sum().astype(np.int64))
+
+
 def sketch(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
-    """``id, n, f1, f2, pool, paths``: size and 128-bit fingerprint of the set, pool, first paths."""
+    """``id, n, f1, f2, pool``: size and fingerprint of the set, and its pool."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, f1, f2, pools, paths = [], [], [], [], []
+            n, f1, f2, pools = [], [], [], []
             for x in batch.column(1):
                 h = shingles(x.as_py() or "")
-                p, first = pool_of(h, threshold)
+                a, b = _fingerprint(h)
                 n.append(len(h))
-                with np.errstate(over="ignore"):
-                    f1.append(int(_mix(h).sum().astype(np.int64)) if len(h) else 0)
-                    f2.append(int(_mix(h ^ _M[0]).sum().astype(np.int64)) if len(h) else 0)
-                pools.append(p)
-                paths.append(p[:first].astype(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _binary(pools), pa.array(paths, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "pool", "paths"])
+                f1.append(a)
+                f2.append(b)
+                pools.append(pool_of(h, threshold))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _binary(pools)], names=["id", "n", "f1", "f2", "pool"])
+        _WORDS.clear()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, f1 long, f2 long, pool binary, paths array<long>")
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, pool binary")
 
 
 # --- pools ------------------------------------------------------------------------------------
@@ -170,44 +186,77 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _pool_links(ids: np.ndarray, sizes: np.ndarray, pools: list[np.ndarray], other: tuple | None, threshold: float) -> set[tuple[int, int]]:
-    """A spanning forest of the pairs whose pools estimate at least LOOSE.
+def _tree(hit: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Component of each place of a symmetric matrix, and the pairs of a spanning forest."""
+    label, pairs = np.full(len(hit), -1), []
+    for start in range(len(hit)):
+        if label[start] >= 0:
+            continue
+        label[start], todo = start, [start]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(hit[i] & (label < 0)).tolist()
+            label[new] = start
+            pairs += [(i, j) for j in new]
+            todo += new
+    return label, pairs
+
+
+def _bridges(lx: np.ndarray, ly: np.ndarray, hit: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ``hit`` that join components of the rows with components of the columns, no more than it takes."""
+    i, j = np.nonzero(hit)
+    first = np.unique(lx[i] * len(ly) + ly[j], return_index=True)[1]
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for a, b in zip(i[first].tolist(), j[first].tolist(), strict=True):
+        x, y = find(int(lx[a])), find(-1 - int(ly[b]))
+        if x != y:
+            root[x] = y
+            out.append((a, b))
+    return out
+
+
+def _loose(left: tuple, right: tuple) -> np.ndarray:
+    """Which pools of one block (ids, sizes, pools) estimate at least LOOSE with which of another.
 
     A pool of a smaller set reaches further than that of a larger one, so its length counts as far as
     the larger set's cut is expected to leave it.
     """
-    left = (ids, sizes, pools)
-    right = other or left
     shared = _overlaps(left[2], right[2])
     big = np.maximum(left[1][:, None], right[1][None, :])
     la = np.array([len(x) for x in left[2]])[:, None] * np.minimum(1, left[1][:, None] / big)
     lb = np.array([len(x) for x in right[2]])[None, :] * np.minimum(1, right[1][None, :] / big)
-    links: set[tuple[int, int]] = set()
-    root: dict[int, int] = {}
+    return shared * (1 + LOOSE) >= LOOSE * (la + lb)
 
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
 
-    for i, j in zip(*(x.tolist() for x in np.nonzero(shared * (1 + LOOSE) >= LOOSE * (la + lb))), strict=True):
-        a, b = int(left[0][i]), int(right[0][j])
-        if a != b and (x := find(a)) != (y := find(b)):
-            root[x] = y
-            links.add((a, b))
-    return links
+def _joins(x: tuple, y: tuple | None, near) -> list[tuple[int, int]]:
+    """Links of a block, or those between two blocks that join what neither block joins by itself."""
+    label, pairs = _tree(near(x, x))
+    if y is None:
+        return [(int(x[0][i]), int(x[0][j])) for i, j in pairs]
+    return [(int(x[0][i]), int(y[0][j])) for i, j in _bridges(label, _tree(near(y, y))[0], near(x, y))]
 
 
 # --- blocks -----------------------------------------------------------------------------------
 
 
-def _blocked(rows: DataFrame, key: str, size: str, each: int) -> DataFrame:
-    """Rows of each key dealt into blocks of about ``each``, each row sent to every pair of blocks that has its own."""
-    blocks = F.ceil(F.col(size) / each).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit("block")), blocks).cast("int")
-    rows = rows.withColumn("_own", own).withColumn("_with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return rows.withColumn("x", F.least("_own", "_with")).withColumn("y", F.greatest("_own", "_with")).drop("_with")
+def _blocked(rows: DataFrame, key: str, blocks: Column, both: bool) -> DataFrame:
+    """Rows of each key dealt into ``blocks`` blocks, each row sent to the tasks that need it.
+
+    A task is a pair of blocks (x <= y), or with ``both`` one block x that all others pass by.
+    """
+    rows = rows.withColumn("_blocks", blocks.cast("int"))
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("id", F.lit("block")), F.col("_blocks")).cast("int")).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    if both:
+        return rows.withColumn("x", F.col("_with")).withColumn("y", F.when(F.col("_own") == F.col("_with"), -1).otherwise(F.col("_own"))).drop("_with", "_blocks")
+    return rows.withColumn("x", F.least("_own", "_with")).withColumn("y", F.greatest("_own", "_with")).drop("_with", "_blocks")
 
 
 def _runs(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
@@ -248,16 +297,56 @@ def _runs(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(walk, schema)
 
 
-def _sides(found: pa.Table, columns: tuple[str, ...]) -> list[list[np.ndarray]]:
-    """Columns of one or two blocks of a tile, one row an id; binary ones as lists of hashes."""
-    ids, own = found["id"].to_numpy(), found["_own"].to_numpy()
-    keep = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (own[1:] != own[:-1])])
-    out = []
-    for block in np.unique(own[keep]):
-        at = keep[own[keep] == block]
-        part = found.take(pa.array(at))
-        out.append([[np.frombuffer(x.as_py(), np.uint64) for x in part[c]] if pa.types.is_binary(part[c].type) else part[c].to_numpy() for c in columns])
-    return out
+def _streams(rows: DataFrame, keys: list[str], part: str, each, schema: str) -> DataFrame:
+    """As ``_runs``, but ``each`` gets the parts of a key one after another, so a task holds two parts at most."""
+    kinds = pa.schema([(c.split()[0], pa.string() if c.split()[1] == "string" else pa.int64()) for c in schema.split(", ")])
+    columns = [*keys, part]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Table]]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in columns], 1)
+            cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                key = tuple(k[a].tolist())
+                if key != last and held:
+                    yield last[:-1], pa.Table.from_batches(held).combine_chunks()
+                    held.clear()
+                last = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield last[:-1], pa.Table.from_batches(held).combine_chunks()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+        for _, parts in groupby(cut(batches), key=lambda x: x[0]):
+            for row in each(t for _, t in parts):
+                out.append(row)
+                if len(out) >= 10_000:
+                    yield batch()
+                    out.clear()
+        if out:
+            yield batch()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, part, "id").mapInArrow(walk, schema)
+
+
+def _columns(found: pa.Table, columns: tuple[str, ...]) -> tuple:
+    """Columns of a block in order of its ids, one row an id; binary ones as lists of hashes."""
+    ids = found["id"].to_numpy()
+    if len(ids) > 1 and not (ids[1:] != ids[:-1]).all():
+        found = found.take(pa.array(np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])))
+    return tuple([np.frombuffer(x.as_py(), np.uint64) for x in found[c]] if pa.types.is_binary(found[c].type) else found[c].to_numpy() for c in columns)
+
+
+def _sides(found: pa.Table, columns: tuple[str, ...]) -> list[tuple]:
+    """Columns of one or two blocks of a tile."""
+    own = found["_own"].to_numpy()
+    return [_columns(found.filter(pa.array(own == block)), columns) for block in np.unique(own)]
 
 
 def _leaf_links(rows: DataFrame, threshold: float) -> DataFrame:
@@ -271,60 +360,99 @@ def _leaf_links(rows: DataFrame, threshold: float) -> DataFrame:
             ids, sizes, pools = sides[0]
             pairs = [(i, j) for i in range(len(ids)) for j in range(i)]
             return [(int(ids[i]), int(ids[j])) for i, j in pairs if estimate(pools[i], int(sizes[i]), pools[j], int(sizes[j]), threshold) >= LOOSE]
-        return sorted(_pool_links(*sides[0], sides[1] if len(sides) > 1 else None, threshold))
+        if len(sides) == 1 and found["x"][0] != found["y"][0]:
+            return []  # the other block is empty; a block's own pairs are compared in its own tile
+        return _joins(sides[0], sides[1] if len(sides) > 1 else None, _loose)
 
-    return _runs(_blocked(rows, "path", "count", BLOCK), ["path", "x", "y"], each, "a long, b long")
+    return _runs(_blocked(rows, "path", F.ceil(F.col("count") / BLOCK), False), ["path", "x", "y"], each, "a long, b long")
 
 
-def _split(rows: DataFrame, level: int, threshold: float) -> DataFrame:
-    """Large buckets ``(path, id, n, pool, pivot, pivot_n, pivot_pool)`` -> ``(kind, path, id)``: links to pivots (path = pivot) and longer paths."""
+def _flat(arrays: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a column of pools, and the row of each."""
+    sets = [np.frombuffer(x.as_py(), np.uint64) if x.is_valid else np.empty(0, np.uint64) for x in arrays]
+    return np.concatenate([np.empty(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def estimates(p: pa.Array, n: np.ndarray, q: pa.Array, m: np.ndarray, threshold: float) -> np.ndarray:
+    """``estimate`` of whole columns, row by row; a null pool gives 0."""
+    cut = POOL / (threshold * np.maximum(1, np.maximum(n, m)))
+
+    def reached(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h, row = _flat(column)
+        keep = _unit(h) < cut[row]
+        h, row = h[keep], row[keep]
+        return _mix(h ^ (row.astype(np.uint64) * _M[1])), np.bincount(row, minlength=len(n))
+
+    (a, la), (b, lb) = reached(p), reached(q)
+    h, row = _flat(p)
+    keep = _unit(h) < cut[row]
+    both = np.bincount(row[keep][np.isin(a, b)], minlength=len(n))
+    return both / np.maximum(1, la + lb - both)
+
+
+def _split(rows: DataFrame, level: int, threshold: float, run: int) -> DataFrame:
+    """Large buckets ``(path, id, n, pool, pivots)`` -> ``(kind, path, id)``: links to pivots (path = pivot) and longer paths."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            path, ids, sizes, pools = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
+            links, stay = [], np.ones(len(ids), bool)
+            for k in range(PIVOTS):
+                slot = batch.column(4 + 3 * k)
+                pivot = slot.fill_null(-1).to_numpy()
+                near = estimates(pools, sizes, batch.column(6 + 3 * k), batch.column(5 + 3 * k).fill_null(0).to_numpy(), threshold)
+                own = slot.is_valid().to_numpy(zero_copy_only=False) & (pivot == ids)
+                hit = (near >= LOOSE) & ~own & slot.is_valid().to_numpy(zero_copy_only=False)
+                links.append((pivot[hit], ids[hit]))
+                stay &= ~((near >= NEAR) & slot.is_valid().to_numpy(zero_copy_only=False)) & ~own
+            h, row = _flat(pools)
+            count = np.maximum(1, np.bincount(row, minlength=len(ids)))
+            seed = _mix(path.astype(np.uint64) * _M[3] + np.uint64(level + 64 * run) * _M[4])
+            u = _mix(h ^ seed[row])
+            pick = stay[row] & ((u >> np.uint64(11)).astype(np.float64) * 2.0**-53 < (BRANCH / (threshold * count))[row])
+            longer = _mix(u[pick] + seed[row[pick]]).astype(np.int64)
+            linked = sum(len(x) for x, _ in links)
+            kind = pa.array(["link"] * linked + ["path"] * len(longer), pa.string())
+            yield pa.RecordBatch.from_arrays([kind, pa.array(np.concatenate([*(x for x, _ in links), longer])), pa.array(np.concatenate([*(x for _, x in links), ids[row[pick]]]))], names=["kind", "path", "id"])
+
+    slots = [F.get("pivots", k)[c].alias(f"{c}{k}") for k in range(PIVOTS) for c in ("pivot", "m", "q")]
+    return rows.select("path", "id", "n", "pool", *slots).mapInArrow(go, "kind string, path long, id long")
+
+
+def _paths(sets: DataFrame, run: int, threshold: float) -> DataFrame:
+    """(path, id): the paths of length one of a run."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            path, ids, sizes, pools, pivots, pivot_sizes, pivot_pools = (batch.column(i).to_pylist() for i in range(7))
-            kind, out, who = [], [], []
-            for p, i, n, q, v, m, w in zip(path, ids, sizes, pools, pivots, pivot_sizes, pivot_pools, strict=True):
-                if i == v:
-                    continue
-                pool = np.frombuffer(q, np.uint64)
-                near = estimate(pool, n, np.frombuffer(w, np.uint64), m, threshold)
-                if near >= LOOSE:
-                    kind.append("link")
-                    out.append(v)
-                    who.append(i)
-                if near < NEAR:
-                    seed = np.uint64((p * 2862933555777941757 + level * 3037000493 + 1) & ((1 << 64) - 1))
-                    h = _mix(pool ^ _mix(np.array([seed]))[0])
-                    chosen = h[(h >> np.uint64(11)).astype(np.float64) * 2.0**-53 < BRANCH / (threshold * max(1, len(pool)))]
-                    for c in _mix(chosen + seed).astype(np.int64).tolist():
-                        kind.append("path")
-                        out.append(c)
-                        who.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(out, pa.int64()), pa.array(who, pa.int64())], names=["kind", "path", "id"])
-
-    return rows.select("path", "id", "n", "pool", "pivot", "pivot_n", "pivot_pool").mapInArrow(run, "kind string, path long, id long")
-
-
-def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Loose links (a, b) between the rows of ``sets(id, n, pool, paths)``, ids unique."""
+            found = [first_paths(np.frombuffer(x.as_py(), np.uint64), n, run, threshold) for n, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).astype(np.int64)), batch.column(0).take(pa.array(at))], names=["path", "id"])
+
+    return sets.select("id", "n", "pool").mapInArrow(go, "path long, id long")
+
+
+def candidates(sets: DataFrame, threshold: float = THRESHOLD, run: int = 0) -> DataFrame:
+    """Loose links (a, b) between the rows of ``sets(id, n, pool)``, ids unique, by one run."""
     pools = sets.select("id", "n", "pool")
-    rows = sets.select(F.explode("paths").alias("path"), "id")
+    rows = _paths(sets, run, threshold)
     links, leaves = [], []
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("count"), F.min("id").alias("pivot")).where("count > 1")
+        rows = written(rows, f"paths{level}") if level == 1 else rows
+        sizes = rows.groupBy("path").agg(F.count("*").alias("count")).where("count > 1")
         held = written(rows.join(sizes.hint("merge"), "path"), f"level{level}")
         last = level == DEPTH
         leaves.append(held if last else held.where(F.col("count") <= LEAF))
         large = held.where(F.col("count") > LEAF)
         if last or not large.limit(1).count():
             break
-        pivots = pools.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("pool").alias("pivot_pool"))
-        # one row for each large bucket: few, so its side is broadcast if counted to be, and no hot path gathers its rows
-        wanted = large.select("path", "pivot").distinct()
-        few = wanted.limit(BROADCAST_PIVOTS + 1).count() <= BROADCAST_PIVOTS
-        near = pivots.join(F.broadcast(wanted) if few else wanted, "pivot").select("path", "pivot", "pivot_n", "pivot_pool")
-        split = written(_split(large.select("path", "id").join(pools, "id").join(F.broadcast(near) if few else near, "path"), level, threshold), f"split{level}")
-        links.append(split.where("kind = 'link'").select(F.col("id").alias("a"), F.col("path").alias("b")))
+        # up to PIVOTS sets a large bucket, the smallest id of each share of its sets: aggregated, never gathered
+        wanted = written(large.groupBy("path", F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(PIVOTS)).alias("share")).agg(F.min("id").alias("pivot")).select("path", "pivot"), "pivots")
+        few = wanted.count() <= PIVOTS * BROADCAST_PIVOTS
+        found = pools.select(F.col("id").alias("pivot"), F.col("n").alias("m"), F.col("pool").alias("q")).join(F.broadcast(wanted) if few else wanted, "pivot")
+        found = found.groupBy("path").agg(F.collect_list(F.struct("pivot", "m", "q")).alias("pivots"))
+        near = large.select("path", "id").join(pools, "id").join(F.broadcast(found) if few else found.hint("merge"), "path")
+        split = written(_split(near, level, threshold, run), f"split{level}")
+        links.append(split.where("kind = 'link'").select(F.col("id").alias("a"), F.col("path").alias("b")).distinct())
         rows = split.where("kind = 'path'").select("path", "id").distinct()
     leaf = leaves[0]
     for x in leaves[1:]:
@@ -333,93 +461,144 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     out = links[0]
     for x in links[1:]:
         out = out.union(x)
-    return out.distinct()
+    return out
+
+
+def sample_pairs(sets: DataFrame, threshold: float = THRESHOLD, most: int = SAMPLE) -> DataFrame:
+    """(a, b): pairs of a sampled set a and any set b whose pools estimate the threshold, by brute force.
+
+    The sample, ``most`` sets by a hash of the id, is the bound of what every task gets; all sets pass by it.
+    """
+    spark = sets.sparkSession
+    some = sets.orderBy(F.xxhash64("id", F.lit("sample")), "id").limit(most).select("id", "n", "pool").toArrow()
+    ids, sizes = some["id"].to_numpy(), some["n"].to_numpy()
+    pools = [np.frombuffer(x.as_py(), np.uint64) for x in some["pool"]]
+    shared = spark.sparkContext.broadcast((ids, sizes, pools))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, pools = shared.value
+        flat = np.concatenate([np.empty(0, np.uint64), *pools])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(pools)), [len(x) for x in pools])[order]
+        for batch in batches:
+            h, row = _flat(batch.column(2))
+            low, high = np.searchsorted(flat, h), np.searchsorted(flat, h, side="right")
+            hits = high - low
+            at = np.repeat(low - np.r_[0, np.cumsum(hits)[:-1]], hits) + np.arange(hits.sum())
+            pair, count = np.unique(np.repeat(row, hits) * len(pools) + owner[at], return_counts=True) if hits.sum() else (np.empty(0, np.int64), np.empty(0, np.int64))
+            a, b = [], []
+            n, own, sets_ = batch.column(1).to_numpy(), batch.column(0).to_numpy(), batch.column(2)
+            for p, c in zip(pair.tolist(), count.tolist(), strict=True):
+                j, k = divmod(p, len(pools))
+                # a pool shares at most as much as it reaches: far pairs need no estimate
+                if own[j] != ids[k] and 4 * c >= min(len(pools[k]), 8) and estimate(pools[k], int(sizes[k]), np.frombuffer(sets_[j].as_py(), np.uint64), int(n[j]), threshold) >= threshold:
+                    a.append(int(ids[k]))
+                    b.append(int(own[j]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return sets.select("id", "n", "pool").mapInArrow(go, "a long, b long")
+
+
+def loose_components(sets: DataFrame, threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
+    """(id, comp) of the loose links, from as many runs as it takes to find ``target`` of the sample's pairs."""
+    pairs = written(sample_pairs(sets, threshold), "sampled")
+    total, links = pairs.count(), None
+    for run in range(MOST_RUNS):
+        more = written(candidates(sets, threshold, run), f"links{run}")
+        links = more if links is None else links.union(more)
+        comps = written(components(links), "loose")
+        if not total:
+            return comps
+        a, b = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+        found = pairs.join(a, "a").join(b, "b").where("ca = cb").count()
+        if found >= target * total:
+            return comps
+    raise RuntimeError(f"{MOST_RUNS} runs found {found} of {total} sampled pairs; the target is {target}")
 
 
 def _exact(rows: DataFrame, threshold: float) -> DataFrame:
-    """Sums and forests of the blocks of ``rows(comp, count, id, copies, text)``.
+    """Counts and links of the components of ``rows(comp, count, total, id, copies, shingles)``.
 
-    Returns (kind, a, b, c): ``sum`` a = id, b = linked sets, c = documents in them; ``link`` a-b of a
-    spanning forest of the block's pairs.
+    Returns (kind, a, b, c): ``sum`` a = id, b = linked sets, c = documents in them, one row a linked
+    set; ``link`` a-b, which together join what the pairs at the threshold join.
     """
 
-    def each(found: pa.Table) -> list[tuple]:
-        sides = _sides(found, ("id", "copies", "shingles"))
-        (ix, cx, sx), (iy, cy, sy) = sides[0], sides[-1]
-        alone = len(sides) == 1
-        if alone and found["x"][0] != found["y"][0]:
-            return []  # the other block is empty; a block's own pairs are counted in its own tile
-        shared = _overlaps(sx, sy)
-        nx, ny = np.array([len(v) for v in sx]), np.array([len(v) for v in sy])
-        union = nx[:, None] + ny[None, :] - shared
-        hit = shared >= threshold * union - 1e-6
-        if alone:
-            np.fill_diagonal(hit, False)
-        rows = [("sum", int(i), int(h.sum()), int((h * cy).sum())) for i, h in zip(ix, hit, strict=True) if h.any()]
-        if not alone:
-            rows += [("sum", int(i), int(h.sum()), int((h * cx).sum())) for i, h in zip(iy, hit.T, strict=True) if h.any()]
-        seen, todo = set(), []
-        for start in range(len(ix)):  # breadth first over the block's pairs
-            if ("x", start) in seen:
+    def near(x: tuple, y: tuple) -> np.ndarray:
+        shared = _overlaps(x[2], y[2])
+        union = np.array([len(v) for v in x[2]])[:, None] + np.array([len(v) for v in y[2]])[None, :] - shared
+        return shared >= threshold * union - 1e-6
+
+    def each(parts: Iterator[pa.Table]) -> Iterator[tuple]:
+        held = None
+        for found in parts:  # the block itself comes first (y = -1), then the others in order
+            at = _columns(found, ("id", "copies", "shingles"))
+            if held is None:
+                if found["y"][0].as_py() >= 0:
+                    return  # no set of its own
+                held, own = at, found["x"][0].as_py()
+                hit = near(held, held)
+                np.fill_diagonal(hit, False)
+                sets, docs = hit.sum(1), (hit * held[1]).sum(1)
+                label, pairs = _tree(hit)
+                yield from (("link", int(held[0][i]), int(held[0][j]), 0) for i, j in pairs)
                 continue
-            seen.add(("x", start))
-            todo.append(("x", start))
-            while todo:
-                side, k = todo.pop()
-                near = np.flatnonzero(hit[k] if side == "x" else hit[:, k])
-                other = "y" if side == "x" and not alone else "x"
-                for j in near.tolist():
-                    if (other, j) not in seen:
-                        seen.add((other, j))
-                        todo.append((other, j))
-                        rows.append(("link", int((ix if side == "x" else iy)[k]), int((ix if other == "x" else iy)[j]), 0))
-        return rows
-
-    return _runs(_blocked(rows, "comp", "count", BLOCK), ["comp", "x", "y"], each, "kind string, a long, b long, c long")
-
-
-def _with_shingles(docs: DataFrame, ids: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """The rows of ``ids(id, ...)`` with the whole shingle set of their document."""
-    extra = [c for c in ids.columns if c != "id"]
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(small(ids), "id")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids.schema if f.name != "id")
+            hit = near(held, at)
+            sets, docs = sets + hit.sum(1), docs + (hit * at[1]).sum(1)
+            if found["y"][0].as_py() > own and hit.any():
+                bridges = _bridges(label, _tree(near(at, at))[0], hit)
+                yield from (("link", int(held[0][i]), int(at[0][j]), 0) for i, j in bridges)
+        if held is not None:
+            yield from (("sum", int(i), int(n), int(c)) for i, n, c in zip(held[0], sets, docs, strict=True) if n)
+
+    blocks = F.greatest(F.ceil(F.col("count") / BLOCK), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    return _streams(_blocked(rows, "comp", blocks, True), ["comp", "x"], "y", each, "kind string, a long, b long, c long")
+
+
+def _with_shingles(docs: DataFrame, members: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """The rows of ``members(id, rep, n, f1, f2, ...)`` with the whole shingle set of their document."""
+    extra = [f for f in members.schema if f.name not in ("rep", "n", "f1", "f2")]
+    rows = docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text")).join(small(members), "rep")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py() or "") for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], _binary(sets)], names=["id", *extra, "shingles"])
+            sets = [shingles(x.as_py() or "") for x in batch.column(0)]
+            marks = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)
+            own = pa.array([(len(h), *_fingerprint(h)) == m for h, m in zip(sets, marks, strict=True)], pa.bool_())  # another row of the id may hold another text
+            yield pa.RecordBatch.from_arrays([*batch.columns[4:], _binary(sets)], names=[*(f.name for f in extra), "shingles"]).filter(own)
 
-    return rows.select("id", "text", *extra).mapInArrow(run, f"id long, {kinds}, shingles binary")
+    return rows.select("text", "n", "f1", "f2", *(f.name for f in extra)).mapInArrow(run, f"{kinds}, shingles binary")
 
 
 def ngram_join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each document: ``doc_id, class_id, n_links, n_text_links, class_size``.
 
     Two documents are linked if the Jaccard similarity of their sets of five-word shingles is at
-    least ``threshold``. ``n_links`` counts the other documents a document is linked to,
-    ``n_text_links`` those sets of shingles other than its own. ``class_id`` is the largest id of its
-    connected component, ``class_size`` the component's documents. A null text counts as empty;
-    texts without a word have no shingles and are linked to nothing. Rows of one id count as one
-    document if their sets are equal, else the id's first set stands for it; rows with a null id are
-    left out. An empty table gives an empty result; other columns are dropped.
+    least ``threshold``. ``n_links`` counts the other documents a document is linked to (rows of one
+    text count once an id), ``n_text_links`` those sets of shingles other than its own. ``class_id``
+    is the largest id of its connected component, ``class_size`` the documents in it. Ids may be of
+    any type that has an order. A null text counts as empty; texts without a word have no shingles
+    and are linked to nothing. Repeated rows of an id give one row for each of its different sets;
+    rows with a null id are left out. An empty table gives an empty result; other columns are dropped.
     """
     docs = docs.where(F.col(doc_id).isNotNull())
     rows = written(sketch(docs, text, doc_id, threshold), "sketch")
-    groups = rows.where("n > 0").select("id", "n", "f1", "f2").distinct().groupBy("n", "f1", "f2").agg(F.max("id").alias("rep"), F.count("*").alias("copies"))
-    groups = written(groups, "groups")
-    sets = written(rows.join(groups.select(F.col("rep").alias("id"), "n", "f1", "f2"), ["id", "n", "f1", "f2"]).select("id", "n", "pool", "paths").dropDuplicates(["id"]), "sets")
-    comps = written(components(candidates(sets, threshold)), "loose")
-    counts = comps.groupBy("comp").agg(F.count("*").alias("count"))
-    copies = groups.groupBy(F.col("rep").alias("id")).agg(F.max("copies").alias("copies"))
-    members = written(comps.join(counts.hint("merge"), "comp").join(copies, "id").select("id", "comp", "count", "copies"), "members")
-    found = written(_exact(_with_shingles(docs, members, text, doc_id), threshold), "exact")
-    classes = components(found.where("kind = 'link'").select("a", "b"))
-    sums = found.where("kind = 'sum'").groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("texts"), F.sum("c").alias("linked"))
-    reps = groups.join(classes.withColumnRenamed("id", "rep"), "rep", "left").join(sums.withColumnRenamed("id", "rep"), "rep", "left")
-    reps = reps.withColumn("comp", F.coalesce("comp", "rep"))
+    once = rows.select("id", "n", "f1", "f2").distinct()
+    groups = once.where("n > 0").groupBy("n", "f1", "f2").agg(F.max("id").alias("rep"), F.count("*").alias("copies"))
+    groups = written(groups.withColumn("set", F.monotonically_increasing_id()), "groups")
+    sets = rows.join(groups.withColumnRenamed("rep", "id"), ["id", "n", "f1", "f2"]).select(F.col("set").alias("id"), "n", "pool").dropDuplicates(["id"])
+    comps = loose_components(written(sets, "sets"), threshold).withColumnRenamed("id", "set")
+    totals = written(comps.join(groups, "set"), "found").select("comp", "n")
+    counts = totals.groupBy("comp").agg(F.count("*").alias("count"), F.sum("n").alias("total"))
+    members = comps.join(counts.hint("merge"), "comp").join(groups, "set").select(F.col("set").alias("id"), "comp", "count", "total", "copies", "rep", "n", "f1", "f2")
+    found = written(_exact(_with_shingles(docs, written(members, "members"), text, doc_id), threshold), "exact")
+    classes = components(found.where("kind = 'link'").select("a", "b")).withColumnRenamed("id", "set")
+    sums = found.where("kind = 'sum'").select(F.col("a").alias("set"), F.col("b").alias("texts"), F.col("c").alias("linked"))
+    reps = groups.join(classes, "set", "left").join(sums, "set", "left").withColumn("comp", F.coalesce("comp", "set"))
     sizes = reps.groupBy("comp").agg(F.sum("copies").alias("class_size"), F.max("rep").alias("class_id"))
-    reps = written(reps.join(sizes.hint("merge"), "comp").select("n", "f1", "f2", "class_id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"), "class_size"), "classes")
-    some, none = rows.where("n > 0").select("id", "n", "f1", "f2").distinct(), rows.where("n = 0").select("id").distinct()
-    out = some.join(reps.hint("merge"), ["n", "f1", "f2"]).select("id", "class_id", "n_links", "n_text_links", "class_size")
-    lone = none.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"), F.lit(1).cast("long").alias("class_size"))
+    counted = (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    reps = written(reps.join(sizes.hint("merge"), "comp").select("n", "f1", "f2", "class_id", counted, F.coalesce("texts", F.lit(0)).alias("n_text_links"), "class_size"), "classes")
+    out = once.where("n > 0").join(reps.hint("merge"), ["n", "f1", "f2"]).select("id", "class_id", "n_links", "n_text_links", "class_size")
+    zero = F.lit(0).cast("long")
+    lone = once.where("n = 0").select("id", F.col("id").alias("class_id"), zero.alias("n_links"), zero.alias("n_text_links"), F.lit(1).cast("long").alias("class_size"))
     return out.union(lone).withColumnRenamed("id", doc_id)

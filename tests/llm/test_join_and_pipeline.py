@@ -10,11 +10,16 @@ from marlstone.llm import ngram_join as nj
 SF = "/root/testdata/sf0.001"
 
 
+def word_shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute(rows, threshold=0.8):
     sets = {}
     for i, t in rows:
         if i is not None and i not in sets:
-            sets[i] = set(nj.shingles(t or "").tolist())
+            sets[i] = word_shingles(t)
     ids, links, root = sorted(sets), dict.fromkeys(sets, 0), {i: i for i in sets}
 
     def find(x):
@@ -54,12 +59,35 @@ def corpus(seed=1):
 
 def test_join_equals_brute_force(spark, monkeypatch):
     rows = corpus()
-    monkeypatch.setattr(nj, "BLOCK", 64)  # several blocks to a component
+    monkeypatch.setattr(nj, "BLOCK", 20)  # several blocks to a component
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.class_id, r.n_links, r.class_size) for r in nj.ngram_join(docs).collect()}
     assert got == brute(rows)
 
 
+def test_more_runs_until_the_sample_is_found(spark, monkeypatch):
+    """With hardly any paths a run, one run finds too little; repeated runs reach the target."""
+    rows = [(i, " ".join(t.split()[:60])) for i, t in corpus(2) if i is not None and 2000 <= i < 2060]  # sets small enough for pools to hold them whole
+    monkeypatch.setattr(nj, "RUNS", 1)
+    monkeypatch.setattr(nj, "MOST_RUNS", 30)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = nj.written(nj.sketch(docs, "text", "doc_id", 0.8).dropDuplicates(["n", "f1", "f2"]).select("id", "n", "pool"), "sets")
+    kept = {i for i, in sets.select("id").collect()}
+    own = {i: word_shingles(t) for i, t in rows if i in kept}
+    near = lambda a, b: len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b])
+    want = {(a, b) for a in own for b in own if a != b and near(a, b)}
+    assert {(r.a, r.b) for r in nj.sample_pairs(sets).collect()} == want
+    comp = {r.id: r.comp for r in nj.loose_components(sets, target=1.0).collect()}
+    assert all(comp[a] == comp[b] for a, b in want)
+
+
+def test_join_string_ids_and_ids_with_several_texts(spark):
+    base = "one two three four five six seven eight nine ten"
+    rows = [("a", base), ("b", base.upper()), ("c", "other words stand here and not there"), ("c", base), ("c", base), (None, base), ("d", None)]
+    got = sorted((r.doc_id, r.class_id, r.n_links, r.class_size) for r in nj.ngram_join(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == [("a", "c", 2, 3), ("b", "c", 2, 3), ("c", "c", 0, 1), ("c", "c", 2, 3), ("d", "d", 0, 1)]
+
+
 def test_join_empty_and_all_unlike(spark):
     assert nj.ngram_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c d e f"), (2, "g h i j k l")]
