@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import LOWER, UPPER, exact_dedup, normalised
-from .quality_rules import BOILERPLATE, quality_rules
+from .quality_rules import BOILERPLATE, ENDED, MARKED, quality_rules
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,14 +32,18 @@ win AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(w
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS h FROM win)),
 spans AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice WHERE c > 1),
 rep AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS r FROM spans GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w),
-m AS (SELECT doc_id, l, length(l) AS chars, length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
+lines AS (SELECT doc_id, i, a[i] AS l FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS a FROM w))),
+m AS (SELECT doc_id, i, l, length(l) AS chars, length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
   length(l) - length(regexp_replace(l, '[#*$%&|<>~^_=+]+', '', 'g')) AS sym,
   length(l) - length(regexp_replace(l, '[|>»•·]+', '', 'g')) AS pipes,
   length(regexp_replace(l, '\P{{L}}+', '', 'g')) AS letters, length(regexp_replace(l, '\P{{Lu}}+', '', 'g')) AS up,
-  regexp_split_to_array(l, '[\x20\x09-\x0D]+') AS lw FROM lines),
+  len(regexp_extract_all(l, '{BOILERPLATE}')) AS phrases, regexp_matches(l, '{MARKED.replace(chr(39), chr(39) * 2)}') AS marked,
+  len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words, regexp_split_to_array(l, '[\x20\x09-\x0D]+') AS lw FROM lines),
+item AS (SELECT *, solid > 0 AND words <= 4 AND NOT regexp_matches(l, '{ENDED.replace(chr(39), chr(39) * 2)}') AS item FROM m),
+menu AS (SELECT *, item AND ((lag(item, 1, false) OVER o AND lag(item, 2, false) OVER o) OR (lag(item, 1, false) OVER o AND lead(item, 1, false) OVER o)
+  OR (lead(item, 1, false) OVER o AND lead(item, 2, false) OVER o)) AS menu FROM item WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 f AS (SELECT doc_id, solid, sym * 20 > chars OR pipes * 40 > chars OR (up * 2 > letters AND letters >= 12) OR (letters * 2 < chars AND chars >= 12)
-  OR (regexp_matches(l, '{BOILERPLATE}') AND chars <= 200) OR (len(lw) >= 8 AND len(list_distinct(lw)) * 4 < len(lw)) AS bad FROM m WHERE solid > 0),
+  OR (phrases > 0 AND phrases * 200 >= chars) OR (len(lw) >= 8 AND len(list_distinct(lw)) * 4 < len(lw)) OR (len(lw) >= 25 AND NOT marked) OR menu AS bad FROM menu WHERE solid > 0),
 s AS (SELECT doc_id, sum(solid) AS solid, coalesce(sum(solid) FILTER (WHERE NOT bad), 0) AS good FROM f GROUP BY doc_id),
 d AS (SELECT doc_id, count(*) - count(DISTINCT l) AS dup FROM m WHERE solid > 0 GROUP BY doc_id),
 c AS (SELECT w.doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,

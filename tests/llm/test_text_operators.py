@@ -82,6 +82,36 @@ def test_quality_rules_verdict(spark):
     assert qr.quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_line_rules_on_punctuation_menus_and_boilerplate(spark):
+    prose = "\n".join(" ".join(f"word{i}{j}" for j in range(12)) + "." for i in range(6))
+    menu, two = "Home\nAbout us\nProducts\nContact", "Chapter One\nThe Start"
+    flat = " ".join(f"plain{j}" for j in range(40))
+    wide = " ".join(f"long{j}" for j in range(80)) + ". Read more, he said."  # one phrase in some 500 characters
+    rows = [(1, menu + "\n" + prose), (2, two + "\n" + prose), (3, prose + "\n" + flat), (4, prose + "\n" + wide), (5, prose + "\nRead more. Click here. Subscribe."), (6, "Home\n\nAbout\n\nMore\n" + prose)]
+    out = {r.doc_id: r.clean_text for r in qr.quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == prose and out[3] == prose and out[5] == prose  # a menu, a line without a mark, phrases
+    assert out[2] == rows[1][1] and out[4] == rows[3][1] and out[6] == rows[5][1]  # two headings, one phrase in much prose, parted lines
+    lenient = qr.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), rules=qr.Rules(menu_words=0, unmarked_words=1000, phrase_chars=1)).collect()
+    assert all(r.clean_text == rows[r.doc_id - 1][1] for r in lenient if r.doc_id != 5)
+
+
+def test_quality_rules_clashing_names_and_long_text(spark):
+    long = "\n".join(" ".join("lengthyword" + str(k) for k in range(j, j + 9)) + "." for j in range(0, 30_000, 9))
+    docs = spark.createDataFrame([(1, long, 1, 2, 3), (1, long, 1, 2, 3)], "doc_id long, text string, _w int, words int, clean_text int")
+    out = qr.quality_rules(docs).collect()
+    assert [r.n_words for r in out] == [len(long.split())] * 2 and all(r._w == 1 and r.words == 2 and r.kept for r in out)
+
+
+def test_url_filters_suffixes_clashes_and_long_urls(spark):
+    day = dt.date(2024, 5, 5)
+    entries = spark.createDataFrame([("domain", "shop.co.uk", day, "block")], "kind string, entry string, day date, action string")
+    urls = ["https://www.shop.co.uk/a", "https://other.co.uk/", "http://shop.co.uk", "http://x.org/" + "y" * 100_000, None]
+    captures = spark.createDataFrame([(i, u, day, 1, 2, 3, 4) for i, u in enumerate(urls)], "page_id long, url string, fetched date, host int, _h int, _host int, day int")
+    out = {r.page_id: (r.blocked, r.matched_entry, r.host, r.day) for r in uf.filter_urls(captures, entries).collect()}
+    assert out == {0: (True, "shop.co.uk", 1, 4), 1: (False, None, 1, 4), 2: (True, "shop.co.uk", 1, 4), 3: (False, None, 1, 4), 4: (False, None, 1, 4)}
+    assert uf.filter_urls(captures, entries, suffixes=()).where("blocked").count() == 0
+
+
 def test_url_filters(spark):
     d = lambda m, x: dt.date(2024, m, x)
     entries = spark.createDataFrame(
