@@ -17,26 +17,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from .common import small, unused, written
 from .wrappers import host_of
 
 #: Entries a list may have in its broadcast.
 BROADCAST_NAMES = 50_000
 
 
-def registrable(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+#: Public suffixes of two labels (fixed values); a name registered below one has three labels.
+SUFFIXES = tuple("ac.uk co.uk gov.uk org.uk com.au net.au org.au co.jp ne.jp or.jp co.nz com.br com.cn co.in co.kr co.za com.mx com.tr com.tw com.ar".split())
 
 
-registrable.sql = r"regexp_extract(host, '([^.]+\.[^.]+)$', 1)"
+def _registrable(suffixes: tuple[str, ...]) -> str:
+    """Pattern of the registrable domain: a public suffix of two labels, else the last label, and the label before it."""
+    return r"([^.]+\.(?:" + "|".join([*(x.replace(".", r"\.") for x in suffixes), "[^.]+"]) + "))$"
+
+
+def registrable(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The domain that was registered: two labels, or three where the last two are a public suffix."""
+    return F.regexp_extract(host, _registrable(suffixes), 1)
+
+
+registrable.sql = f"regexp_extract(host, '{_registrable(SUFFIXES)}', 1)"
 
 
 def list_entries_of(pages: DataFrame) -> DataFrame:
     """A dated list over the hosts of ``pages`` (the tables hold none): (kind, entry, day, action).
 
     From the md5 of the name: about half of the hosts are added on some day, half of those are
-    released later and half of these added again; one in four registrable domains is added.
+    released later, and some of these added again; about half of the registrable domains are added.
     """
     hosts = pages.select(host_of(F.col("url")).alias("host")).distinct().where("host <> ''")
     digit = lambda c, k: F.conv(F.substring(F.md5(c.cast("binary")), k, 2), 16, 10).cast("int")
@@ -73,30 +82,28 @@ def intervals(entries: DataFrame) -> DataFrame:
     return once.select("kind", "entry", F.col("day").alias("since"), F.lead("day").over(w).alias("until"), "action")
 
 
-def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
+def filter_urls(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: str = "fetched", suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """``captures`` with ``blocked``, ``matched_entry``, ``matched_kind``, ``active_from``.
 
     A capture is blocked if an interval of action 'block' of its host, or else of its registrable
     domain, contains its fetch day (first day included, last excluded). Null or odd urls, null days
-    and an empty list block nothing. Repeated captures are judged one by one; columns named like a
-    result column are replaced, others pass through.
+    and an empty list block nothing, and a url of any length is read whole. Repeated captures are
+    judged one by one; columns named like a result column are replaced, others pass through.
     """
     names = intervals(entries).where("action = 'block'").groupBy("kind", "entry").agg(F.array_sort(F.collect_list(F.struct("since", "until"))).alias("spans"))
     rest = [c for c in captures.columns if c not in ("blocked", "matched_entry", "matched_kind", "active_from")]
-    rows = captures.select(*rest, host_of(F.col(url)).alias("_host"), registrable(host_of(F.col(url))).alias("_domain"))
-    side = small(names, BROADCAST_NAMES)
-    for kind in ("host", "domain"):
-        own = side.where(F.col("kind") == kind).select(F.col("entry").alias(f"_{kind}"), F.col("spans").alias(f"_{kind}_spans"))
-        rows = rows.join(own, f"_{kind}", "left")
-    day = F.col(fetched)
+    host, domain, host_spans, domain_spans, by_host, by_domain, day = unused(captures, "host", "domain", "host_spans", "domain_spans", "by_host", "by_domain", "day")
+    rows = captures.select(*rest, F.col(fetched).alias(day), host_of(F.col(url)).alias(host)).withColumn(domain, registrable(F.col(host), suffixes))
+    side = small(written(names, "names"), BROADCAST_NAMES)
+    for kind, name, spans in (("host", host, host_spans), ("domain", domain, domain_spans)):
+        rows = rows.join(side.where(F.col("kind") == kind).select(F.col("entry").alias(name), F.col("spans").alias(spans)), name, "left")
 
     def asof(spans: Column) -> Column:
-        last = F.try_element_at(F.filter(spans, lambda s: s["since"] <= day), F.lit(-1))
-        return F.when(last["until"].isNull() | (day < last["until"]), last["since"])
-
-    host, domain = asof(F.col("_host_spans")), asof(F.col("_domain_spans"))
-    by_host, by_domain = F.col("_h").isNotNull(), F.col("_d").isNotNull()
-    return rows.select(*rest, "_host", "_domain", host.alias("_h"), domain.alias("_d")).select(
-        *rest, (by_host | by_domain).alias("blocked"), F.when(by_host, F.col("_host")).when(by_domain, F.col("_domain")).alias("matched_entry"),
-        F.when(by_host, "host").when(by_domain, "domain").alias("matched_kind"), F.coalesce("_h", "_d").alias("active_from"),
+        last = F.try_element_at(F.filter(spans, lambda s: s["since"] <= F.col(day)), F.lit(-1))
+        return F.when(last["until"].isNull() | (F.col(day) < last["until"]), last["since"])
+
+    since_host, since_domain = F.col(by_host).isNotNull(), F.col(by_domain).isNotNull()
+    return rows.select(*rest, host, domain, asof(F.col(host_spans)).alias(by_host), asof(F.col(domain_spans)).alias(by_domain)).select(
+        *rest, (since_host | since_domain).alias("blocked"), F.when(since_host, F.col(host)).when(since_domain, F.col(domain)).alias("matched_entry"),
+        F.when(since_host, "host").when(since_domain, "domain").alias("matched_kind"), F.coalesce(by_host, by_domain).alias("active_from"),
     )
