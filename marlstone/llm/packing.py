@@ -3,11 +3,15 @@
 1. Executors tokenise whole texts and cut those beyond the capacity; only lengths and checksums stay.
 2. The histogram of lengths (at most ``capacity`` rows, however many documents) goes to the driver.
 3. There the configuration LP (fewest sequences whose fillings cover the histogram) is solved by
-   multiplicative weights: prices of lengths fall as they are covered, and a knapsack dynamic program
-   over the capacity finds the fillings of the highest price. Each program gives many fillings.
-4. The solution is rounded down; what is left is packed best fit, longest first, over the histogram.
-5. The plan says for every length which ordinals go to which sequence and offset. Ordinals are dealt
-   out within (length, salt) groups of bounded size, so a frequent length is no hot key.
+   multiplicative weights until every length is covered: prices of lengths fall as they are covered,
+   and a knapsack dynamic program over the capacity finds the fillings of the highest price. Each
+   program gives many fillings, and its prices give a lower bound by duality.
+4. The solution is rounded in a few ways; what is left over is packed best fit, longest first, over
+   the histogram. The plan of the fewest sequences counts, plain best fit among them, so the result
+   never needs more sequences than best fit does.
+5. The plan says for every length which ordinals go to which sequence and offset. Pieces that fill a
+   sequence need no ordinal. The others get theirs within (length, salt) groups of about ``GROUP_ROWS``
+   rows, as many groups as it takes, so a frequent length is no hot key.
 """
 
 from __future__ import annotations
@@ -22,24 +26,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .tokenise import LibraryIds, Pieces, blocks, encode_block
 
 CAPACITY = 2048
-#: Knapsack programs solved, and fillings taken from each.
-PRICINGS, FILLINGS = 60, 64
-#: Pieces of one length in a group that numbers them, and groups of a length at most.
-GROUP_ROWS, GROUPS = 2000, 256
+#: Fillings taken from a knapsack program; the share of a length that one filling covers at most.
+FILLINGS, STEP = 64, 0.1
+#: Pieces of one length in a group that numbers them.
+GROUP_ROWS = 500
 
 
 # --- the plan: driver side, over the histogram ------------------------------------------------
 
 
-def _fillings(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: int) -> list[Counter]:
-    """Up to ``most`` fillings of the highest price, by an unbounded knapsack over the capacity."""
+def _fillings(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: int) -> tuple[list[Counter], float]:
+    """Up to ``most`` fillings of high price, by an unbounded knapsack over the capacity, and the highest price of any."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, room, side="right"))
+        k = int(fits[room])
         value = best[room - lengths[:k]] + prices[:k]
         j = int(value.argmax())
         if value[j] > best[room - 1]:
@@ -59,31 +64,34 @@ def _fillings(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: int)
         if (key := tuple(sorted(parts))) not in seen:
             seen.add(key)
             out.append(Counter(parts))
-    return out
+    return out, float(best[capacity])
 
 
-def solve_lp(counts: dict[int, int], capacity: int = CAPACITY, pricings: int = PRICINGS, eta: float = 4.0) -> list[tuple[float, Counter]]:
-    """(number, filling) pairs that cover the histogram fractionally, none beyond its counts."""
-    lengths = np.array(sorted(x for x in counts if x < capacity))
+def solve_lp(counts: dict[int, int], capacity: int = CAPACITY, eta: float = 20.0) -> tuple[dict[tuple[int, ...], float], float]:
+    """({filling: number}, bound): fillings that cover the histogram fractionally, none beyond its counts.
+
+    Ends when every length is covered: a filling either covers ``STEP`` of some length's count or what
+    is left of it. ``bound`` is the best dual bound met: no packing, fractional or not, has fewer sequences.
+    """
+    lengths = np.array(sorted(counts))
     if not len(lengths):
-        return []
+        return {}, 0.0
     total = np.array([counts[int(x)] for x in lengths], float)
     place = {int(x): i for i, x in enumerate(lengths)}
-    left, out = total.copy(), []
-    for _ in range(pricings):
-        open_ = left > 1e-9
-        if not open_.any():
-            break
+    left, out, bound = total.copy(), Counter(), float((total * lengths).sum() / capacity)
+    while (open_ := left > 1e-9 * total).any():
         covered = 1 - left / total
-        prices = lengths * np.exp(-eta * (covered - covered.mean()))
-        for filling in _fillings(lengths[open_], prices[open_], capacity, FILLINGS):
-            number = min(left[place[x]] / n for x, n in filling.items())
+        prices = lengths * np.exp(-eta * (covered - covered[open_].mean()))
+        found, most = _fillings(lengths[open_], prices[open_], capacity, FILLINGS)
+        bound = max(bound, float((total * np.where(open_, prices, 0)).sum() / most))
+        for filling in found:
+            number = min(min(left[place[x]], STEP * total[place[x]]) / n for x, n in filling.items())
             if number > 0:
-                number *= 0.5 if pricings > 1 else 1
                 for x, n in filling.items():
                     left[place[x]] -= number * n
-                out.append((number, filling))
-    return out
+                out[tuple(sorted(filling.elements(), reverse=True))] += number
+        left[left < 1e-9 * total] = 0
+    return dict(out), bound
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
@@ -122,24 +130,32 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return [(n, parts) for room in rooms for n, parts in groups[room]]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """(number, lengths) groups that hold every length exactly as often as the histogram has it."""
+def _rounded(fillings: list[tuple[tuple[int, ...], float]], counts: dict[int, int], up: float, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The fillings taken a whole number of times, ``up`` added before rounding down, and best fit for the rest."""
     left, out = dict(counts), []
-    if left.get(capacity):
-        out.append((left.pop(capacity), (capacity,)))
-    whole: Counter = Counter()
-    for number, filling in solve_lp(left, capacity):
-        whole[tuple(sorted(filling.elements(), reverse=True))] += number
-    for parts, number in whole.most_common():
+    for parts, number in fillings:
         need = Counter(parts)
-        n = min(int(number), *(left[x] // k for x, k in need.items()))
-        if n:
+        n = min(int(number + up), *(left[x] // k for x, k in need.items()))
+        if n > 0:
             out.append((n, parts))
             for x, k in need.items():
                 left[x] -= n * k
     return out + best_fit({x: n for x, n in left.items() if n}, capacity)
 
 
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
+    """(number, lengths) groups that hold every length exactly as often as the histogram has it.
+
+    The fullest fillings come first where numbers are rounded up: a full sequence is never one too many.
+    """
+    left = {x: n for x, n in counts.items() if n and x != capacity}
+    whole = [(counts[capacity], (capacity,))] if counts.get(capacity) else []
+    solved, _ = solve_lp(left, capacity)
+    most, fullest = sorted(solved.items(), key=lambda x: (-x[1], x[0])), sorted(solved.items(), key=lambda x: (-sum(x[0]), -x[1], x[0]))
+    plans = [_rounded(most, left, 0, capacity), _rounded(most, left, 0.5, capacity), _rounded(fullest, left, 0.999, capacity), best_fit(left, capacity)]
+    return whole + min(plans, key=lambda p: sum(n for n, _ in p))
+
+
 def slots(groups: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
     """For each length the ranges of its ordinals: first ordinal, first sequence, offset; sorted by key."""
     used: Counter = Counter()
@@ -200,29 +216,31 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     """The pieces of all documents with ``sequence_id`` and ``offset``.
 
     A null text counts as empty: it is packed as its end id alone. Repeated rows are packed once
-    each, as rows of their own. Ties (equal lengths) go by id and piece. An empty table gives an
-    empty result; other columns are dropped.
+    each, as rows of their own; a null id is packed like any other. A text of any length is cut into
+    full pieces and one shorter first piece. Ties (equal lengths) go by id and piece. An empty table
+    gives an empty result; other columns are dropped, whatever their names. Full pieces are sequences
+    of their own, with negative numbers.
     """
-    spark = docs.sparkSession
-    pieces = written(pieces_of(docs, vocabulary, capacity, end_id, text, doc_id), "pieces")
+    pieces = written(pieces_of(docs, vocabulary, capacity, end_id, text, doc_id).withColumnRenamed(doc_id, "doc"), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    table = slots(plan(counts, capacity))
-    groups = spark.createDataFrame([(x, max(1, min(GROUPS, -(-n // GROUP_ROWS)))) for x, n in counts.items()] or [(0, 1)], "length long, groups int")
-    salted = pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64(doc_id, "piece", "ids_crc32"), F.col("groups")).cast("int"))
-    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).orderBy("length", "salt").collect()
-    before, offsets = Counter(), []
-    for r in sizes:
-        offsets.append((r.length, r.salt, before[r.length]))
-        before[r.length] += r.n
-    offsets = spark.createDataFrame(offsets or [(0, 0, 0)], "length long, salt int, before long")
-    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy(doc_id, "piece", "ids_crc32"))
-    numbered = salted.withColumn("_at", inside - 1).join(F.broadcast(offsets), ["length", "salt"]).select(doc_id, "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("_at")).alias("_at"))
+    short = {x: n for x, n in counts.items() if x != capacity}
+    table = docs.sparkSession.sparkContext.broadcast(slots(plan(short, capacity)))
+    groups = docs.sparkSession.createDataFrame([(x, -(-n // GROUP_ROWS)) for x, n in short.items()] or [(0, 1)], "length long, groups long")
+    salted = written(pieces.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(F.xxhash64("doc", "piece", "ids_crc32"), F.col("groups"))).drop("groups"), "salted")
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")
+    offsets = small(written(sizes.select("length", "salt", before.alias("before")), "offsets"))
+    inside = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc", "piece", "ids_crc32")) - 1
+    numbered = salted.withColumn("at", inside).join(offsets, ["length", "salt"]).select("doc", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("at")).alias("at"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = table.value
         for batch in batches:
             length, at = batch.column(3).to_numpy(), batch.column(5).to_numpy()
-            k = np.searchsorted(table["key"], (length << 40) | at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(table["sequence"][k] + at - table["first"][k]), pa.array(table["offset"][k])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+            k = np.searchsorted(to["key"], (length << 40) | at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(to["sequence"][k] + at - to["first"][k]), pa.array(to["offset"][k])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
     id_type = docs.schema[doc_id].dataType.simpleString()
-    return numbered.mapInArrow(place, f"`{doc_id}` {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = numbered.mapInArrow(place, f"doc {id_type}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    full = pieces.where(F.col("length") == capacity).select("doc", "piece", "start", "length", "ids_crc32", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.union(full).withColumnRenamed("doc", doc_id)

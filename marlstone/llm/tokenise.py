@@ -13,30 +13,34 @@ import json
 import os
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 
-#: Entries of a worker's dictionary of pieces.
-CACHE_PIECES = 600_000
+#: Bytes of a worker's dictionary of pieces, about, and of an entry besides its piece and value.
+CACHE_BYTES, ENTRY_BYTES = 32_000_000, 200
 #: A longer piece is encoded with its text, not kept.
 MAX_PIECE = 200
 #: Characters of text in a block.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 1_000_000
 
 
 class Pieces(dict):
     """piece -> encoded piece; ``encode_many`` maps a list of pieces to the list of their values."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = CACHE_PIECES):
+    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = CACHE_BYTES):
         super().__init__()
-        self.encode_many, self.limit = encode_many, limit
+        self.encode_many, self.limit, self.held = encode_many, limit, 0
 
     def fill(self, wanted: set[str]) -> None:
         missing = [x for x in wanted if x not in self]
-        if len(self) + len(missing) > self.limit:
+        if self.held > self.limit:
             self.clear()
+            self.held = 0
             missing = list(wanted)
-        self.update(zip(missing, self.encode_many(missing), strict=True))
+        values = self.encode_many(missing)
+        self.update(zip(missing, values, strict=True))
+        self.held += sum(map(len, missing)) + len(missing) * ENTRY_BYTES + (sum(map(len, values)) if values and isinstance(values[0], bytes) else 0)
 
 
 def apart(piece: str) -> bool:
@@ -109,14 +113,20 @@ class LibraryIds:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             self.plain = self._by_rank(json.load(f))
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's object, made when a text first needs it."""
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path)
+        found.no_truncation()
+        found.no_padding()
+        return found
+
     @staticmethod
     def _by_rank(spec: dict) -> Callable[[str], list[int]] | None:
         model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -143,4 +153,4 @@ class LibraryIds:
         return [array("I", self.plain(x)).tobytes() if ok else next(rest) for x, ok in zip(texts, simple, strict=True)]
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for part in by_size(texts, 1 << 20) for x in self.library.encode_batch_fast(part, add_special_tokens=False)]
+        return [] if not texts else [array("I", x.ids).tobytes() for part in by_size(texts, 1 << 20) for x in self.library.encode_batch_fast(part, add_special_tokens=False)]

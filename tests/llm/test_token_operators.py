@@ -85,6 +85,89 @@ def test_plan_holds_every_length_once():
     assert packing.plan({}) == []
 
 
+def optimum(items, capacity):
+    """Fewest sequences, by trying all ways to place the items (few of them), longest first."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def place(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(items):
+            best[0] = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= items[k]:
+                rest = list(rooms)
+                rest.remove(room)
+                place(k + 1, [*rest, room - items[k]])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    place(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plan_against_the_optimum_and_the_dual_bound(seed):
+    rng = random.Random(seed)
+    items = [rng.choice([rng.randrange(1, 41), rng.randrange(10, 25)]) for _ in range(9)]
+    counts = dict(Counter(items))
+    needed = sum(n for n, _ in packing.plan(counts, 40))
+    least = optimum(items, 40)
+    assert packing.solve_lp(counts, 40)[1] <= least + 1e-9
+    assert least <= needed <= least + 1
+    assert needed <= sum(n for n, _ in packing.best_fit(counts, 40))
+
+
+def test_program_covers_all_and_plan_is_never_worse_than_best_fit():
+    rng = np.random.default_rng(2)
+    cases = [Counter({700: 1000, 1025: 1000, 683: 1000, 1365: 500})]
+    cases += [Counter(np.minimum(rng.lognormal(mu, sigma, 20_000).astype(int) + 1, 2047).tolist()) for mu, sigma in ((6.5, 0.6), (7, 0.4))]
+    cases.append(Counter(rng.integers(500, 800, 20_000).tolist()))
+    for counts in cases:
+        solved, bound = packing.solve_lp(dict(counts))
+        covered = Counter()
+        for parts, number in solved.items():
+            assert sum(parts) <= 2048
+            for x in parts:
+                covered[x] += number
+        assert all(abs(covered[x] - n) <= 1e-6 * n for x, n in counts.items())
+        assert bound <= sum(solved.values()) * (1 + 1e-9) and sum(solved.values()) <= 1.25 * bound
+        plain, needed = (sum(n for n, _ in p) for p in (packing.best_fit(dict(counts)), packing.plan(dict(counts))))
+        assert bound <= needed + 1 and needed <= plain
+    assert needed < 0.97 * plain  # three to a sequence: where best fit is far off
+    assert sum(n for n, _ in packing.plan(dict(cases[0]))) == 1750
+
+
+def test_pack_long_text_clashing_names_and_string_ids(spark):
+    docs = spark.createDataFrame([("a", "word " * 60_000, 1, 2, 3), ("b", "x", 1, 2, 3), (None, None, 1, 2, 3)], "doc_id string, text string, length int, salt int, doc int")
+    out = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    assert {r.doc_id for r in out} == {"a", "b", None}
+    long = [r for r in out if r.doc_id == "a"]
+    assert [r.piece for r in sorted(long, key=lambda r: r.start)] == list(range(len(long))) and sum(r.length for r in long) > 60_000
+    assert len({r.sequence_id for r in long if r.length == 2048}) == sum(r.length == 2048 for r in long)
+
+
+def test_pack_numbers_a_hot_length_in_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 3)
+    rows = [(i, "same words here") for i in range(200)] + [(1000 + i, "other " * (i % 7)) for i in range(50)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), P.path("byte_bpe_50k.json"), capacity=16).collect()
+    places = [(r.sequence_id, r.offset) for r in out]
+    assert len(out) == 250 and len(set(places)) == 250
+    used = Counter()
+    for r in out:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 16 and all(max(r.offset + r.length for r in out if r.sequence_id == q) == n for q, n in used.items())
+
+
+def test_pieces_dictionary_is_bounded_by_bytes():
+    from marlstone.llm.tokenise import ENTRY_BYTES, Pieces
+
+    held = Pieces(lambda found: [x.encode() for x in found], limit=10 * ENTRY_BYTES)
+    for k in range(100):
+        held.fill({f"{k}a", f"{k}b"})
+        assert held[f"{k}a"] == f"{k}a".encode() and len(held) <= 14
+
+
 def test_pack_rows(spark):
     found = [*texts(60), "word " * 5000, None, "word " * 5000]
     rows = list(enumerate(found)) + [(3, found[3])]
