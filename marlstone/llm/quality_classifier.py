@@ -1,61 +1,122 @@
 """Quality scores by co-training a text view and a metadata view.
 
-Each view has a logistic regression: one sees what the text looks like (shares of symbols, capitals,
-repeated words and lines and so on), the other only the page's metadata (source, language, recorded
-length). Both start from the labelled rows. Over a few rounds each view labels the pool rows of which
-it is sure, as many of either class as keep the classes' proportion, and the other view learns from them.
-The views' scores are then calibrated and combined by a regression on the labelled rows alone, so
-that a view that knows nothing gets no say.
-
-The fit reads at most ``LABELLED`` labelled and about ``POOL`` other rows, drawn by a hash of the id;
-those bounds are parameters. All documents are scored, by column expressions without Python.
+Each view has a logistic regression. One sees the text alone: hashed words and byte trigrams, shares
+of kinds of characters, repeated words and lines. The other sees only the page's metadata: source,
+language, both together, and bands of the recorded length. Both start from the labelled rows. In each
+round each view looks through *all* unlabelled documents for those of which it is surest, as many of
+either class as keep the classes' proportion, and hands them to the other view with its labels, which
+learns from them from then on. How sure a view may be is told by its margins on labelled rows that it
+was not trained on (by turns, a fold at a time), so a view that knows nothing is sure of nothing and hands on nothing; ``exchanged``
+says what each handed on in each round.
+
+At the end the views are calibrated, and combined, by a regression on such margins; a view that
+speaks against the labels there gets no say.
+
+The fit is on at most ``LABELLED`` labelled rows and ``EXCHANGE`` handed-on rows a view and class,
+both drawn by a stated order and both parameters. Features are taken on executors; the search for
+sure rows covers every document, and so does scoring.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import unused, written
 
-LABELLED, POOL, ROUNDS = 20_000, 20_000, 4
-#: A view is sure of a pool row from this probability on.
+LABELLED, EXCHANGE, ROUNDS = 8_000, 2_000, 3
+#: A view is sure of a row from this probability on.
 SURE = 0.97
-SOURCES, LANGS = 32, 16
-
-
-def text_features(text: Column) -> list[Column]:
-    """Numbers of the whole text, each finite for any text; null counts as empty."""
-    t = F.coalesce(text, F.lit(""))
-    chars = F.greatest(F.length(t), F.lit(1)).cast("double")
-    share = lambda pattern: (F.length(t) - F.length(F.regexp_replace(t, pattern, ""))) / chars
-    letters = F.greatest(F.length(F.regexp_replace(t, r"\P{L}+", "")), F.lit(1)).cast("double")
-
-    def words(w: Column) -> Column:
-        n = F.greatest(F.size(w), F.lit(1)).cast("double")
-        same = F.size(F.filter(w, lambda x, i: F.coalesce(F.get(w, i - 1) == x, F.lit(False))))
-        return F.array(F.log1p(F.size(w).cast("double")), same / n, F.least(F.size(F.array_distinct(w)) / F.pow(n, 0.8), F.lit(4.0)), letters / n)
-
-    def lines(a: Column) -> Column:
-        n = F.greatest(F.size(a), F.lit(1)).cast("double")
-        return F.array((F.size(a) - F.size(F.array_distinct(a))) / n, F.size(F.filter(a, lambda x: x.rlike(r"[.!?\"»”:;]\s*$"))) / n)
-
-    w = let(F.filter(F.split(t, r"\s+"), lambda x: x != ""), words)
-    a = let(F.filter(F.split(t, "\n"), lambda x: x != ""), lines)
-    plain = F.array(
-        share(r"[#*$%&<>~^_=+]+"), share(r"[|]+"), share(r"!+"), share(r"\d+"), share(r"\s+"),
-        F.length(F.regexp_replace(t, r"\P{Lu}+", "")) / letters, letters / chars,
-    )
-    return [F.concat(plain, w, a)]
-
-
-def metadata_features(source: Column, lang: Column, n_chars: Column) -> list[Column]:
-    hot = lambda c, n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (F.pmod(F.xxhash64(F.coalesce(c.cast("string"), F.lit(""))), F.lit(n)) == i).cast("double"))
-    size = F.log1p(F.greatest(F.coalesce(n_chars, F.lit(0)), F.lit(0)).cast("double"))
-    return [F.concat(F.array(size, size * size), hot(source, SOURCES), hot(lang, LANGS))]
+#: Folds of the labelled rows for calibration.
+FOLDS = 4
+#: Buckets of hashed words, trigrams, sources, languages, pairs of both; bands of the length.
+WORDS, GRAMS = 128, 128
+SOURCES, LANGS, PAIRS, BANDS = 64, 16, 64, 24
+METADATA = SOURCES + LANGS + PAIRS + BANDS
+_CACHE = 100_000
+
+# Kinds of bytes (fixed values): the first that holds a byte; any other is "sign".
+_KINDS = [("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("line", "\n"), ("space", " \t\r\x0b\x0c"), ("pipe", "|"), ("shout", "!?"), ("symbol", "#*$%&<>~^_=+@"), ("stop", ".,;:")]
+_ENDS = frozenset(".!?\"»”:;")
+
+
+def _kind_table() -> np.ndarray:
+    table = np.full(256, len(_KINDS), np.int64)
+    table[128:] = len(_KINDS) + 1
+    for k, (_, chars) in enumerate(_KINDS):
+        table[np.frombuffer(chars.encode(), np.uint8)] = k
+    return table
+
+
+_KIND = _kind_table()
+COUNTS = len(_KINDS) + 2 + 6
+TEXT = COUNTS + WORDS + GRAMS
+
+
+class _Buckets(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHE:
+            self.clear()
+        self[word] = value = xxhash.xxh32_intdigest(word) % WORDS
+        return value
+
+
+_BUCKETS = _Buckets()
+
+
+def text_vector(text: str | None) -> np.ndarray:
+    """Features of the whole text, each finite for any text; null counts as empty."""
+    text = text or ""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    out = np.zeros(TEXT, np.float32)
+    size = max(1, len(raw))
+    out[: len(_KINDS) + 2] = np.bincount(_KIND[raw], minlength=len(_KINDS) + 2) / size
+    words = text.split()
+    n = max(1, len(words))
+    lines = [x for x in text.split("\n") if x]
+    m = max(1, len(lines))
+    ended = sum([x.rstrip()[-1:] in _ENDS for x in lines if x.rstrip()])
+    solid = out[0] + out[1] + out[len(_KINDS) + 1]
+    out[len(_KINDS) + 2 : COUNTS] = np.log1p(len(words)), sum(map(eq, words, words[1:])) / n, min(len(set(words)) / n**0.8, 4.0), 1 - len(set(lines)) / m, ended / m, out[1] / max(float(solid), 1e-6)
+    if words:
+        out[COUNTS : COUNTS + WORDS] = np.sqrt(np.bincount(np.fromiter(map(_BUCKETS.__getitem__, words), np.int64, len(words)), minlength=WORDS) / n)
+    if len(raw) > 2:
+        x = raw.astype(np.uint32)
+        h = (x[:-2] * np.uint32(0x9E3779B1)) ^ (x[1:-1] * np.uint32(0x85EBCA77)) ^ (x[2:] * np.uint32(0xC2B2AE3D))
+        out[COUNTS + WORDS :] = np.sqrt(np.bincount(((h * np.uint32(0x27D4EB2F)) >> np.uint32(25)).astype(np.int64), minlength=GRAMS) / len(h))
+    return out
+
+
+def metadata_places(source: str | None, lang: str | None, n_chars: int | None) -> list[int]:
+    """The four metadata features that are 1; null counts as empty or zero."""
+    source, lang = source or "", lang or ""
+    of = lambda x, n: xxhash.xxh32_intdigest(x) % n
+    band = min(BANDS - 1, max(0, int(n_chars or 0)).bit_length())
+    return [of(source, SOURCES), SOURCES + of(lang, LANGS), SOURCES + LANGS + of(f"{source}\0{lang}", PAIRS), SOURCES + LANGS + PAIRS + band]
+
+
+def _metadata(source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> np.ndarray:
+    """``metadata_places`` of columns, a row each."""
+    known: dict[tuple, list[int]] = {}
+    out = []
+    for key in zip(*(x.to_pylist() for x in (source, lang, n_chars)), strict=True):
+        if key not in known:
+            known[key] = metadata_places(*key)
+        out.append(known[key])
+    return np.array(out, np.int16).reshape(-1, 4)
+
+
+def one_hot(places: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(places), METADATA), np.float32)
+    out[np.arange(len(places))[:, None], places] = 1
+    return out
 
 
 @dataclass
@@ -69,15 +130,10 @@ class Logistic:
     def margin(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -20, 20) @ self.weights[:-1] + self.weights[-1]
 
-    def column(self, features: Column) -> Column:
-        """The margin as an expression over an array column."""
-        rows = F.array(*(F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s"), F.lit(float(w)).alias("w")) for m, s, w in zip(self.mean, self.scale, self.weights[:-1], strict=True)))
-        terms = F.zip_with(features, rows, lambda x, r: F.greatest(F.least((x - r["m"]) / r["s"], F.lit(20.0)), F.lit(-20.0)) * r["w"])
-        return F.aggregate(terms, F.lit(float(self.weights[-1])), lambda a, x: a + x)
-
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> Logistic:
     """Ridge logistic regression by Newton steps."""
+    x = x.astype(np.float64)
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
     z = np.hstack([np.clip((x - mean) / scale, -20, 20), np.ones((len(x), 1))])
@@ -88,7 +144,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
         p = _sigmoid(z @ w)
         step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
         w += step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-6:
+        if np.abs(step).max() < 1e-4:
             break
     return Logistic(mean, scale, w)
 
@@ -104,76 +160,173 @@ class CoTrained:
     text: Logistic
     metadata: Logistic
     mix: tuple[float, float, float]
-    exchanged: tuple[int, ...]
+    #: For each round what the text view and the metadata view handed on.
+    exchanged: tuple[tuple[int, int], ...]
+
+
+#: (view, its regression, most rows) -> text features, metadata features and labels of the rows it is surest of.
+Search = Callable[[int, Logistic, int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, pt: np.ndarray, pm: np.ndarray, rounds: int = ROUNDS) -> CoTrained | None:
-    """Both views from labelled features (xt, xm, y) and pool features (pt, pm); None without both classes."""
+def left_out(x: np.ndarray, y: np.ndarray, fold: np.ndarray, more: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Margin of each labelled row by a view trained on the other folds and on what was handed on."""
+    out = np.zeros(len(y))
+    for k in np.unique(fold):
+        own = fold == k
+        rest = np.flatnonzero(~own)
+        if not 0 < y[rest].sum() < len(rest):
+            rest = np.arange(len(y))  # too few labels to leave any out
+        out[own] = fit_logistic(np.vstack([x[rest], more[0]]), np.r_[y[rest], more[1]].astype(float)).margin(x[own])
+    return out
+
+
+def calibrated(view: Logistic, margins: np.ndarray, y: np.ndarray) -> Logistic | None:
+    """The view with margins that are log odds, by those of rows it wasn't trained on; None if they tell nothing there."""
+    on = fit_logistic(margins[:, None], y.astype(float))
+    slope = on.weights[0] / on.scale[0]
+    if slope <= 0:
+        return None
+    weights = view.weights * slope
+    weights[-1] += on.weights[1] - slope * on.mean[0]
+    return Logistic(view.mean, view.scale, weights)
+
+
+def proportionate(sure: np.ndarray, good: np.ndarray, odds: float, most: int) -> np.ndarray:
+    """Places of the surest rows, at most ``most`` a class, ``good`` ones ``odds`` times as many as others; none if a class is missing."""
+    order = np.argsort(-sure, kind="stable")
+    yes, no = order[good[order]][:most], order[~good[order]][:most]
+    if not len(yes) or not len(no):
+        return order[:0]
+    return np.r_[yes[: max(1, int(len(no) * odds))], no[: max(1, int(len(yes) / odds))]]
+
+
+def co_train(xt: np.ndarray, xm: np.ndarray, y: np.ndarray, fold: np.ndarray, search: Search, rounds: int = ROUNDS, most: int = EXCHANGE) -> CoTrained | None:
+    """Both views from labelled features (xt, xm, y) in folds. None without both classes."""
     if len(y) == 0 or y.min() == y.max():
         return None
-    views, exchanged = [], []
-    label = [np.full(len(pt), -1), np.full(len(pt), -1)]  # what the other view said of each pool row
-    for _ in range(rounds):
-        views, sent = [], 0
-        for v, (x, pool) in enumerate(((xt, pt), (xm, pm))):
-            known = label[v] >= 0
-            views.append(fit_logistic(np.vstack([x, pool[known]]), np.r_[y, label[v][known]].astype(float)))
-        for v, pool in enumerate((pt, pm)):
-            p = _sigmoid(views[v].margin(pool)) if len(pool) else np.zeros(0)
-            good, bad = np.flatnonzero(p >= SURE), np.flatnonzero(p <= 1 - SURE)
-            if len(good) and len(bad):  # in the proportion of the labelled classes
-                odds = y.mean() / (1 - y.mean())
-                good = good[np.argsort(-p[good], kind="stable")][: max(1, int(len(bad) * odds))]
-                bad = bad[np.argsort(p[bad], kind="stable")][: max(1, int(len(good) / odds) + 1)]
-                label[1 - v] = np.full(len(pool), -1)
-                label[1 - v][good], label[1 - v][bad] = 1, 0
-                sent += len(good) + len(bad)
-        exchanged.append(sent)
-    margins = np.stack([views[0].margin(xt), views[1].margin(xm)], 1)
-    last = fit_logistic(margins, y.astype(float))
-    a, b = last.weights[:2] / last.scale
-    return CoTrained(views[0], views[1], (float(a), float(b), float(last.weights[2] - a * last.mean[0] - b * last.mean[1])), tuple(exchanged))
-
-
-def _sample(rows: DataFrame, doc_id: str, most: int) -> DataFrame:
-    """About ``most`` rows at most, by a hash of the id."""
-    n = rows.count()
-    if n <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit("quality")), F.lit(1 << 30)) < int(most / n * (1 << 30)))
-
-
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """The co-trained views. Labels with a null or other than 0 and 1 are left out; of repeated labels the largest counts."""
-    marks = labels.where(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("_id")).agg(F.max("quality").alias("_y"))
-    marks = F.broadcast(_sample(marks, "_id", labelled).limit(2 * labelled))  # the bound of the fit, with room for the draw
-    features = [*(x.alias(f"_{i}") for i, x in enumerate(text_features(F.col(text)) + metadata_features(F.col("source"), F.col("lang"), F.col("n_chars"))))]
-    known = docs.join(marks, F.col(doc_id) == F.col("_id")).select("_y", *features).toArrow()
-    n = docs.count()
-    drawn = F.pmod(F.xxhash64(F.col(doc_id), F.lit("pool")), F.lit(1 << 30)) < int(min(1.0, pool / max(1, n)) * (1 << 30))
-    others = docs.where(drawn).join(marks, F.col(doc_id) == F.col("_id"), "left_anti").select(*features).toArrow()
-    matrix = lambda t, c: np.array(t[c].combine_chunks().flatten().to_numpy()).reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1))
+    odds = y.mean() / (1 - y.mean())
+    labelled = (xt, xm)
+    given: list[tuple[np.ndarray, np.ndarray]] = [(xt[:0], y[:0]), (xm[:0], y[:0])]
+    exchanged = []
+    for k in range(rounds + 1):
+        views = [fit_logistic(np.vstack([x, own]), np.r_[y, label].astype(float)) for x, (own, label) in zip(labelled, given, strict=True)]
+        margins = [left_out(x, y, fold, more) for x, more in zip(labelled, given, strict=True)]
+        if k == rounds:
+            break
+        handed: list[tuple[np.ndarray, np.ndarray] | None] = [None, None]
+        sent = [0, 0]
+        for v in (0, 1):
+            on = calibrated(views[v], margins[v], y)
+            if on is None:
+                continue
+            t, m, label = search(v, on, most * (k + 1))
+            sure = np.abs(on.margin((t, m)[v])) if len(label) else np.zeros(0)
+            at = proportionate(sure, label == 1, odds, most * (k + 1))
+            handed[1 - v], sent[v] = ((m, t)[v][at], label[at]), len(at)
+        given = [new or (x[:0], y[:0]) for new, x in zip(handed, labelled, strict=True)]
+        exchanged.append((sent[0], sent[1]))
+    both, use = np.stack(margins, 1), [0, 1]
+    while use:
+        last = fit_logistic(both[:, use], y.astype(float))
+        weights = last.weights[:-1] / last.scale
+        if (weights >= 0).all() or len(use) == 1:
+            break
+        use.remove(use[int(weights.argmin())])
+    mix = [0.0, 0.0]
+    for v, w in zip(use, weights, strict=True):
+        mix[v] = float(w)
+    return CoTrained(views[0], views[1], (*mix, float(last.weights[-1] - (weights * last.mean).sum())), tuple(exchanged))
+
+
+def features(docs: DataFrame, text: str, mark: str) -> DataFrame:
+    """(text features, metadata places, label, order) of every document; ``mark`` is the label or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [text_vector(x.as_py()).tobytes() for x in batch.column(0)]
+            places = [x.tobytes() for x in _metadata(*batch.columns[1:4])]
+            yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array(places, pa.binary()), batch.column(4), batch.column(5)], names=["t", "m", "y", "at"])
+
+    rows = docs.select(text, F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), F.col(mark).cast("int"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), "source", "lang", "n_chars"))
+    return rows.mapInArrow(run, "t binary, m binary, y int, at long")
+
+
+def _arrays(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    t = np.frombuffer(b"".join(found["t"].to_pylist()), np.float32).reshape(-1, TEXT)
+    m = np.frombuffer(b"".join(found["m"].to_pylist()), np.int16).reshape(-1, 4)
+    return t, one_hot(m)
+
+
+def searcher(held: DataFrame, sure: float = SURE) -> Search:
+    """The search over all unlabelled rows of ``held``, a features table: two top-k queries a view."""
+    least = float(np.log(sure / (1 - sure)))
+
+    def search(view: int, model: Logistic, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                margin = model.margin(_arrays(pa.Table.from_batches([batch]))[view])
+                keep = np.flatnonzero(np.abs(margin) >= least)
+                if len(keep):
+                    order = pa.array(keep)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(order) for c in (0, 1, 3)), pa.array(margin[keep])], names=["t", "m", "at", "margin"])
+
+        rows = held.where("y IS NULL").select("t", "m", "y", "at").mapInArrow(run, "t binary, m binary, at long, margin double")
+        parts = [rows.where(f"{sign} * margin > 0").orderBy(F.col("margin") * -sign, "at", "t", "m").limit(most).toArrow() for sign in (1, -1)]
+        both = [_arrays(x) if x.num_rows else (np.zeros((0, TEXT), np.float32), np.zeros((0, METADATA), np.float32)) for x in parts]
+        return np.vstack([x[0] for x in both]), np.vstack([x[1] for x in both]), np.r_[np.ones(len(both[0][0]), int), np.zeros(len(both[1][0]), int)]
+
+    return search
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", labelled: int = LABELLED, exchange: int = EXCHANGE) -> CoTrained | None:
+    """The co-trained views. Labels with a null or other than 0 and 1 are left out; of repeated labels the largest counts.
+
+    Beyond ``labelled`` labels those of the smallest hashes of the id count. Null without labels of
+    both classes. Repeated rows count as rows. Names of other columns don't matter.
+    """
+    key, mark = unused(docs, "key", "mark")
+    marks = labels.where(F.col("quality").isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias(key)).agg(F.max("quality").alias(mark))
+    marks = marks.orderBy(F.xxhash64(key, F.lit("quality")), key).limit(labelled)  # the documented bound of the fit
+    rows = docs.join(F.broadcast(marks), F.col(doc_id) == F.col(key), "left")
+    held = written(features(rows, text, mark), "features")
+    known = held.where("y IS NOT NULL").orderBy("at", "t", "m", "y").toArrow()
     if not known.num_rows:
         return None
-    xt, xm = matrix(known, "_0"), matrix(known, "_1")
-    pt, pm = (matrix(others, "_0"), matrix(others, "_1")) if others.num_rows else (xt[:0], xm[:0])
-    return co_train(xt, xm, known["_y"].to_numpy().astype(int), pt, pm)
+    xt, xm = _arrays(known)
+    fold = (known["at"].to_numpy().view(np.uint64) >> np.uint64(17)) % np.uint64(FOLDS)
+    return co_train(xt, xm, known["y"].to_numpy().astype(int), fold, searcher(held), most=exchange)
+
+
+def _margins(model: CoTrained, text: Column, source: Column, lang: Column, n_chars: Column) -> Column:
+    """Both views' margins of a row."""
+    kind = pa.struct([("t", pa.float64()), ("m", pa.float64())])
+
+    @F.arrow_udf("t double, m double")
+    def margins(text: pa.Array, source: pa.Array, lang: pa.Array, n_chars: pa.Array) -> pa.Array:
+        t = np.empty(len(text))
+        for low in range(0, len(text), 1024):
+            part = text.slice(low, 1024)
+            t[low : low + len(part)] = model.text.margin(np.stack([text_vector(x.as_py()) for x in part]))
+        m = model.metadata.margin(one_hot(_metadata(source, lang, n_chars))) if len(text) else t
+        return pa.StructArray.from_arrays([pa.array(t), pa.array(m)], fields=list(kind))
+
+    return margins(text, source.cast("string"), lang.cast("string"), n_chars.cast("long"))
 
 
 def score(docs: DataFrame, model: CoTrained | None, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``p_text``, ``p_metadata``, ``quality_score`` and ``kept`` (score at least ``threshold``).
 
     Without a model (no labels of both classes) every score is null and every row is kept. Null text
-    and metadata count as empty. Repeated rows get equal scores; columns named like a result column
-    are replaced, others pass through.
+    and metadata count as empty, texts of any length are read whole. Repeated rows and ties get equal
+    scores; columns named like a result column are replaced, others pass through.
     """
     rest = [c for c in docs.columns if c not in ("p_text", "p_metadata", "quality_score", "kept")]
     if model is None:
         nothing = F.lit(None).cast("double")
         return docs.select(*rest, nothing.alias("p_text"), nothing.alias("p_metadata"), nothing.alias("quality_score"), F.lit(True).alias("kept"))
     sigmoid = lambda m: 1 / (1 + F.exp(-F.greatest(F.least(m, F.lit(40.0)), F.lit(-40.0))))
-    mt = model.text.column(text_features(F.col(text))[0])
-    mm = model.metadata.column(metadata_features(F.col("source"), F.col("lang"), F.col("n_chars"))[0])
+    both = unused(docs, "margins")[0]
     a, b, c = model.mix
-    found = docs.select(*rest, F.struct(mt.alias("t"), mm.alias("m")).alias("_m"))
-    return found.select(*rest, sigmoid(F.col("_m.t")).alias("p_text"), sigmoid(F.col("_m.m")).alias("p_metadata"), sigmoid(a * F.col("_m.t") + b * F.col("_m.m") + c).alias("quality_score")).withColumn("kept", F.col("quality_score") >= threshold)
+    found = docs.select(*rest, _margins(model, F.col(text), F.col("source"), F.col("lang"), F.col("n_chars")).alias(both))
+    t, m = F.col(both)["t"], F.col(both)["m"]
+    return found.select(*rest, sigmoid(t).alias("p_text"), sigmoid(m).alias("p_metadata"), sigmoid(a * t + b * m + c).alias("quality_score")).withColumn("kept", F.col("quality_score") >= threshold)

@@ -79,7 +79,68 @@ def test_classifier_separates_held_out_labels(spark):
     out = qc.score(docs, model).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
     right = sum(r.kept == (r.quality == 1) for r in out)
     assert len(out) > 100 and right >= 0.97 * len(out)
-    assert len(model.exchanged) == qc.ROUNDS and model.exchanged[-1] > 0
+    assert len(model.exchanged) == qc.ROUNDS and model.exchanged[-1][0] > 0
+
+
+def test_exchange_equals_brute_force(spark):
+    """Rounds over Spark's search and over all rows held in one array give the same views."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows, marks = docs.collect(), {r.doc_id: r.quality for r in labels.where("doc_id % 2 = 0").collect()}
+    xt = np.stack([qc.text_vector(r.text) for r in rows])
+    xm = qc.one_hot(np.array([qc.metadata_places(r.source, r.lang, r.n_chars) for r in rows]))
+    y = np.array([marks.get(r.doc_id, -1) for r in rows])
+    least = math.log(qc.SURE / (1 - qc.SURE))
+
+    def search(view, model, most):
+        margin = np.where(y < 0, model.margin((xt, xm)[view]), 0)
+        good, bad = [k for k in np.argsort(-margin, kind="stable") if margin[k] >= least][:most], [k for k in np.argsort(margin, kind="stable") if margin[k] <= -least][:most]
+        return xt[good + bad], xm[good + bad], np.r_[np.ones(len(good), int), np.zeros(len(bad), int)]
+
+    hashes = np.array([r.h for r in docs.select(F.xxhash64(F.coalesce("text", F.lit("")), "source", "lang", "n_chars").alias("h")).collect()])
+    known = sorted(np.flatnonzero(y >= 0).tolist(), key=lambda k: (hashes[k], xt[k].tobytes()))
+    fold = (hashes[known].view(np.uint64) >> np.uint64(17)) % np.uint64(qc.FOLDS)
+    want = qc.co_train(xt[known], xm[known], y[known], fold, search, most=40)
+    got = qc.fit(docs, labels.where("doc_id % 2 = 0"), exchange=40)
+    assert got.exchanged == want.exchanged and got.exchanged[0][0] > 0
+    assert np.allclose(got.text.weights, want.text.weights, atol=1e-3) and np.allclose(got.metadata.weights, want.metadata.weights, atol=1e-2)
+
+
+def test_views_teach_each_other():
+    """Two independent views of one label, few labels: what is handed on lowers both views' errors."""
+    rng = np.random.default_rng(1)
+    truth = rng.integers(0, 2, 4000)
+    view = lambda: np.where(rng.random((4000, 12)) < np.where(truth, 0.72, 0.28)[:, None], 1.0, 0.0)
+    a, b = view(), view()
+    few, rest = np.arange(40), np.arange(40, 4000)
+
+    def search(v, model, most):
+        margin = model.margin((a, b)[v][rest])
+        at = np.r_[np.argsort(-margin)[:most], np.argsort(margin)[:most]]
+        return a[rest][at], b[rest][at], (margin[at] > 0).astype(int)
+
+    errors = []
+    for rounds in (0, 4):
+        m = qc.co_train(a[few], b[few], truth[few], few % 4, search, rounds=rounds, most=150)
+        errors.append([((x.margin(y[rest]) > 0) != truth[rest]).mean() for x, y in ((m.text, a), (m.metadata, b))])
+    assert errors[1][0] < errors[0][0] and errors[1][1] < errors[0][1] and all(x > 0 for r in m.exchanged for x in r)
+
+
+def test_classifier_fit_is_reproducible_and_bounded(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    one, two = (qc.fit(d, labels, labelled=30) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(one.text.weights, two.text.weights) and one.mix == two.mix and one.exchanged == two.exchanged
+
+
+def test_classifier_clashing_names_ties_and_long_text(spark):
+    long = "good clean words here. " * 60_000
+    rows = [(i, ("good clean words here. " * 5) if i % 2 else ("## $$ | " * 9), "en", "s", 100) for i in range(40)] + [(50, long, "en", "s", len(long))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    for c in ("key", "mark", "margins", "_m", "_y", "t", "m", "y", "at"):
+        docs = docs.withColumn(c, F.lit("own"))
+    out = qc.score(docs, qc.fit(docs, labels)).collect()
+    assert len({r.quality_score for r in out if r.doc_id % 2 and r.doc_id < 40}) == 1 and all(r.kept == (r.doc_id % 2 == 1) for r in out if r.doc_id < 40)
+    assert all(r.margins == "own" and r.key == "own" for r in out) and next(r for r in out if r.doc_id == 50).quality_score is not None
 
 
 def test_classifier_odd_rows(spark):
