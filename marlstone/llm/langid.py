@@ -1,14 +1,17 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a tree of byte contexts of up to three bytes is counted on a sample of labelled
-rows (``rows_per_language``, a documented bound of the fit alone). The statistics are then frozen:
-a symbol seen after its longest known context costs -log2(count / (total + distinct)); an unseen one
-pays the escape, distinct / (total + distinct), and is looked up in the next shorter context, down to
-a uniform order. The code length of a whole text is the exact sum of its symbols' costs, and the
-language of the shortest code is predicted.
-
-All escape chains are worked out once, so scoring a byte is one table row: the cost of the symbol
-after its context in each language. Each text is scored on its own; there is no shuffle.
+For each language a tree of byte contexts is counted on a sample of labelled rows
+(``rows_per_language``, a documented bound of the fit alone). Its depth varies: a context of two bytes
+or more is a node only where the language's sample holds it ``LEAST`` times, ``ORDER`` bytes at most.
+The statistics are then frozen: a symbol seen after its longest known context costs
+-log2(count / (total + distinct)); an unseen one pays the escape, distinct / (total + distinct), and
+is looked up in the next shorter context, down to a uniform order. The code length of a whole text is
+the exact sum of its bytes' costs, and the language of the shortest code is predicted.
+
+The trees are kept sparse: for each order the runs of context and symbol that occur, with a cost in
+each language, escapes worked in. A byte is looked up by its longest run; where that is in no tree,
+the context's escapes are added and the next shorter run is looked up. What is broadcast holds at most
+``MODEL_CELLS`` costs: beyond it ``LEAST`` is doubled until they fit. No shuffle: each text is scored on its own.
 """
 
 from __future__ import annotations
@@ -24,21 +27,15 @@ from .tokenise import blocks
 
 #: Rows of each language that the fit looks at, at most about.
 ROWS_PER_LANGUAGE = 1500
+#: Bytes of the longest context, and how often a context of two or more must occur.
+ORDER, LEAST = 4, 4
+#: Costs (four bytes each) of a model at most.
+MODEL_CELLS = 32_000_000
 #: Positions scored at a time.
-SLICE = 1 << 19
-
-
-def _fold() -> bytes:
-    """Byte -> symbol: letters of either case alike, white space, digits and other ASCII signs as one each, other bytes as they are."""
-    to = list(range(256))
-    for b in range(128):
-        c = chr(b)
-        to[b] = ord(c.lower()) if c.isalpha() else ord(" ") if c.isspace() or b < 32 else ord("0") if c.isdigit() else b if c == "'" else ord(".")
-    return bytes(to)
-
-
-FOLD = _fold()
-_START = b"   "
+SLICE = 1 << 18
+#: Bytes of text over whose mean code a language's lead is measured in a score.
+UNIT = 2
+_START = b" " * ORDER
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -46,7 +43,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def gram_counts(sample: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, gram, n): how often each run of three folded bytes and the next one occurs."""
+    """(lang, gram, n): how often each run of ``ORDER`` bytes and the next one occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -55,7 +52,7 @@ def gram_counts(sample: DataFrame, text: str = "text", lang: str = "lang") -> Da
             for texts in blocks(batch, 1, 2_000_000):
                 by: dict[str, list[bytes]] = {}
                 for k, x in zip(langs[at : at + len(texts)], texts, strict=True):
-                    by.setdefault(k, []).append(_START + x.encode().translate(FOLD))
+                    by.setdefault(k, []).append(_START + x.encode("utf-8", "replace"))
                 at += len(texts)
                 for k, parts in by.items():
                     grams, n = np.unique(np.concatenate([_grams(np.frombuffer(p, np.uint8).astype(np.int64)) for p in parts]), return_counts=True)
@@ -66,61 +63,119 @@ def gram_counts(sample: DataFrame, text: str = "text", lang: str = "lang") -> Da
 
 
 def _grams(x: np.ndarray) -> np.ndarray:
-    return (x[:-3] << 24) | (x[1:-2] << 16) | (x[2:-1] << 8) | x[3:]
+    """Each byte after the first ``ORDER`` with those before it, as a number; the last byte is the lowest."""
+    out = x[: len(x) - ORDER].astype(np.int64)
+    for k in range(1, ORDER + 1):
+        out = (out << 8) | x[k : len(x) - ORDER + k]
+    return out
+
+
+class _Table:
+    """Sorted numbers with a row of costs each, found by hash; those that lose their slot are searched for."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray):
+        self.keys, self.costs = keys, costs
+        self.shift = np.uint64(64 - max(8, int(len(keys)).bit_length() + 1))
+        self.slots = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        at = self._slot(keys)
+        self.slots[at] = np.arange(len(keys), dtype=np.int32)
+        self.lost = np.flatnonzero(self.slots[at] != np.arange(len(keys)))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Row of each number, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(wanted), -1)
+        at = self.slots[self._slot(wanted)].astype(np.int64)
+        miss = np.flatnonzero(self.keys[at] != wanted)
+        at[miss] = -1
+        if len(self.lost) and len(miss):
+            lost = self.keys[self.lost]
+            k = np.minimum(np.searchsorted(lost, wanted[miss]), len(lost) - 1)
+            hit = lost[k] == wanted[miss]
+            at[miss[hit]] = self.lost[k[hit]]
+        return at
 
 
 class Model:
-    """Frozen costs: ``rows[context]`` gives a row of ``costs[row * symbols + symbol]``, one number a language."""
+    """Frozen costs in each language: of runs of a context and a symbol, and of escapes from contexts."""
 
-    def __init__(self, langs: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, langs: np.ndarray, grams: np.ndarray, counts: np.ndarray, least: int = LEAST, cells: int = MODEL_CELLS):
         self.langs = sorted(set(langs.tolist()))
         if not self.langs:
             return
-        g = [(grams >> s) & 255 for s in (24, 16, 8, 0)]
-        seen = np.unique(np.concatenate([*g, np.frombuffer(_START, np.uint8).astype(np.int64)])) if len(grams) else np.array([32])
-        self.symbols = size = len(seen) + 1  # the last is any unseen byte
-        to = np.full(256, size - 1, np.uint8)
-        to[seen] = np.arange(len(seen))
-        self.table = bytes(to[np.frombuffer(FOLD, np.uint8)])
-        a, b, c, s = (to[x].astype(np.int64) for x in g)
-        context = (a * size + b) * size + c
-        known = np.unique(context)
-        pairs = size * size
-        self.rows = np.tile(np.arange(pairs, dtype=np.int32), size)  # an unknown context: its last two symbols
-        self.rows[known] = pairs + np.arange(len(known), dtype=np.int32)
-        costs = np.empty((pairs + len(known), size, len(self.langs)), np.float32)
-        for k, lang in enumerate(self.langs):
-            mine = langs == lang
-            n = counts[mine].astype(float)
-            p = np.full(size, 1 / 256)
-            p = self._order(np.bincount(s[mine], n, size)[None, :], p[None, :])
-            p = self._order(np.bincount(c[mine] * size + s[mine], n, pairs).reshape(size, size), p)
-            two = self._order(np.bincount((b[mine] * size + c[mine]) * size + s[mine], n, pairs * size).reshape(pairs, size), np.tile(p, (size, 1)))
-            three = self._order(np.bincount(np.searchsorted(known, context[mine]) * size + s[mine], n, len(known) * size).reshape(-1, size), two[known % pairs])
-            costs[:pairs, :, k], costs[pairs:, :, k] = -np.log2(two), -np.log2(three)
-        self.costs = costs.reshape(-1, len(self.langs))
-
-    @staticmethod
-    def _order(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities after each context (a row), given those after the context without its first symbol."""
-        total, distinct = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        whole = np.maximum(total + distinct, 1)
-        return np.where(total == 0, shorter, np.where(counts > 0, counts / whole, distinct / whole * shorter))
+        number = {x: k for k, x in enumerate(self.langs)}
+        who = np.array([number[x] for x in langs.tolist()], np.int64)
+        while not self._build(who, grams, counts.astype(np.float64), least, cells):
+            least *= 2
+        self.least = least
+
+    def _build(self, who: np.ndarray, grams: np.ndarray, counts: np.ndarray, least: int, cells: int) -> bool:
+        size = len(self.langs)
+        self.runs: list[_Table] = []
+        self.escapes: list[_Table] = []
+        held = 0
+        for order in range(ORDER + 1):
+            mask = (1 << 8 * (order + 1)) - 1
+            keys, row = np.unique((grams & mask) * size + who, return_inverse=True)
+            n = np.bincount(row, counts)
+            key, lang = keys // size, keys % size
+            context = key >> 8
+            nodes, at = np.unique(context * size + lang, return_inverse=True)
+            total, distinct = np.bincount(at, n), np.bincount(at).astype(float)
+            known = (total >= least) | (order < 2)
+            keep = known[at]
+            runs, contexts = np.unique(key[keep]), np.unique(nodes[known] // size)
+            held += (len(runs) + len(contexts)) * size
+            if held > cells and least < counts.sum():
+                return False
+            escape = np.zeros((len(contexts), size))
+            escape[np.searchsorted(contexts, nodes[known] // size), nodes[known] % size] = -np.log2(distinct[known] / (total + distinct)[known])
+            if order:
+                below = self.runs[-1]
+                shorter = below.costs[below.find(runs & (mask >> 8))]
+            else:
+                shorter = np.full((len(runs), size), 8.0)
+            costs = shorter + escape[np.searchsorted(contexts, runs >> 8)]
+            costs[np.searchsorted(runs, key[keep]), lang[keep]] = -np.log2(n[keep] / (total + distinct)[at][keep])
+            self.runs.append(_Table(runs, costs.astype(np.float32)))
+            self.escapes.append(_Table(contexts, escape.astype(np.float32)))
+        return True
+
+    def costs(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each run in each language."""
+        out = np.zeros((len(grams), len(self.langs)), np.float32)
+        todo = np.arange(len(grams))
+        for order in range(ORDER, -1, -1):
+            own = grams[todo] & ((1 << 8 * (order + 1)) - 1)
+            at = self.runs[order].find(own)
+            hit = at >= 0
+            if hit.all():
+                out[todo] += self.runs[order].costs[at]
+                return out
+            out[todo[hit]] += self.runs[order].costs[at[hit]]
+            todo, own = todo[~hit], own[~hit]
+            at = self.escapes[order].find(own >> 8)
+            node = at >= 0
+            out[todo[node]] += self.escapes[order].costs[at[node]]
+        out[todo] += 8  # the uniform order
+        return out
 
     def code_lengths(self, texts: list[str]) -> np.ndarray:
         """Bits of each whole text in each language."""
-        parts = [(_START + x.encode()).translate(self.table) for x in texts]
+        parts = [_START + x.encode("utf-8", "replace") for x in texts]
         ends = np.cumsum([len(x) for x in parts])
         x = np.frombuffer(b"".join(parts), np.uint8)
-        out, size = np.zeros((len(texts), len(self.langs))), self.symbols
+        out = np.zeros((len(texts), len(self.langs)))
         starts = np.r_[0, ends[:-1]]
-        for low in range(3, len(x), SLICE):
+        for low in range(ORDER, len(x), SLICE):
             high = min(low + SLICE, len(x))
-            y = x[low - 3 : high].astype(np.int32)
-            bits = self.costs.take(self.rows.take((y[:-3] * size + y[1:-2]) * size + y[2:-1]).astype(np.int64) * size + y[3:], axis=0)
+            bits = self.costs(_grams(x[low - ORDER : high]))
             first, last = np.searchsorted(ends, low, side="right"), np.searchsorted(ends, high - 1, side="right")
-            for k in range(first, last + 1):  # the three start symbols of a text cost nothing
-                a, b = max(starts[k] + 3, low) - low, min(ends[k], high) - low
+            for k in range(first, last + 1):  # the start symbols of a text cost nothing
+                a, b = max(starts[k] + ORDER, low) - low, min(ends[k], high) - low
                 if b > a:
                     out[k] += bits[a:b].sum(0, dtype=np.float64)
         return out
@@ -145,8 +200,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
     """``doc_id, held_out, lang_pred, score`` of each row, with ``bits`` the code lengths by language.
 
     ``und`` with score 0 where the text is null or has no letter (and where nothing was learned).
-    The score is the share of the best language among 2^-bits of all. Equal code lengths: the first
-    language in alphabetical order. Repeated rows get equal results; other columns are dropped.
+    The score is the share of the best language among 2^-(bits of ``UNIT`` mean bytes) of all: how far
+    it leads a byte, whatever the length. Equal code lengths: the first language in alphabetical
+    order. Repeated rows get equal results; other columns are dropped, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -163,7 +219,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "do
                 found = model.code_lengths(texts)
                 best = found.argmin(1)
                 pred += [model.langs[k] for k in best]
-                score += (1 / np.exp2(np.clip(found.min(1, keepdims=True) - found, -200, 0)).sum(1)).tolist()
+                size = np.array([max(1, len(x.encode("utf-8", "replace"))) for x in texts])
+                score += (1 / np.exp2(UNIT * (found.min(1, keepdims=True) - found) / size[:, None]).sum(1)).tolist()
                 if bits:
                     lengths += [list(zip(model.langs, x, strict=True)) for x in found.tolist()]
             und = [not x for x in batch.column(3).to_pylist()]

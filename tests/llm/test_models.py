@@ -13,43 +13,66 @@ from marlstone.llm import quality_classifier as qc
 SF = "/root/testdata/sf0.001"
 
 
-def brute_bits(train, text):
+def brute_bits(train, text, least):
     """Code length of ``text`` under one language's counts, the recursion written out."""
-    counts = {}
+    counts, order = {}, langid.ORDER
     for x in train:
-        s = langid._START + x.encode().translate(langid.FOLD)
-        for i in range(3, len(s)):
-            for k in range(4):
+        s = b" " * order + x.encode()
+        for i in range(order, len(s)):
+            for k in range(order + 1):
                 counts.setdefault(s[i - k : i], Counter())[s[i]] += 1
 
     def p(context, symbol):
         c = counts.get(context)
         shorter = (lambda: p(context[1:], symbol)) if context else (lambda: 1 / 256)
-        if not c:
+        if not c or len(context) > 1 and sum(c.values()) < least:
             return shorter()
         total, distinct = sum(c.values()), len(c)
         return c[symbol] / (total + distinct) if symbol in c else distinct / (total + distinct) * shorter()
 
-    s = langid._START + text.encode().translate(langid.FOLD)
-    return sum(-math.log2(p(s[i - 3 : i], s[i])) for i in range(3, len(s)))
+    s = b" " * order + text.encode()
+    return sum(-math.log2(p(s[i - order : i], s[i])) for i in range(order, len(s)))
 
 
-def test_code_lengths_equal_recursion():
-    train = {"en": ["the cat sat on the mat", "where is the dog?"], "de": ["der hund läuft über die straße", "das ist gut"]}
+def model_of(train, **more):
     langs, grams, counts = [], [], []
     for lang, texts in train.items():
         c = Counter()
         for x in texts:
-            c.update(langid._grams(np.frombuffer(langid._START + x.encode().translate(langid.FOLD), np.uint8).astype(np.int64)).tolist())
+            c.update(langid._grams(np.frombuffer(b" " * langid.ORDER + x.encode(), np.uint8)).tolist())
         langs += [lang] * len(c)
         grams += list(c)
         counts += list(c.values())
-    model = langid.Model(np.array(langs, object), np.array(grams), np.array(counts))
-    texts = ["the dog", "über den hund", "", "a", "Zürich 12!"]
-    found = model.code_lengths(texts)
-    for x, row in zip(texts, found, strict=True):
-        for lang, bits in zip(model.langs, row, strict=True):
-            assert abs(bits - brute_bits(train[lang], x)) < 1e-3, (x, lang)
+    return langid.Model(np.array(langs, object), np.array(grams), np.array(counts), **more)
+
+
+def test_code_lengths_equal_recursion(monkeypatch):
+    train = {"en": ["the cat sat on the mat", "where is the dog? the cat"], "de": ["der hund läuft über die straße", "das ist gut, der hund"], "zz": ["the hund"]}
+    texts = ["the dog", "über den hund", "", "a", "Zürich 12!", "the cat sat", "\u65e5\u672c the"]
+    for size in (1 << 18, 5):  # whole, and slices that cut texts
+        monkeypatch.setattr(langid, "SLICE", size)
+        for least in (1, 3):
+            model = model_of(train, least=least)
+            found = model.code_lengths(texts)
+            for x, row in zip(texts, found, strict=True):
+                for lang, bits in zip(model.langs, row, strict=True):
+                    assert abs(bits - brute_bits(train[lang], x, least)) < 1e-3, (x, lang)
+
+
+def test_large_models_keep_fewer_contexts():
+    train = {"en": ["the cat sat on the mat " * 3], "de": ["der hund lief um das haus " * 3]}
+    whole = model_of(train, least=1)
+    cells = sum(len(t.keys) * 2 for t in (*whole.runs, *whole.escapes))
+    less = model_of(train, least=1, cells=cells // 2)
+    assert less.least > 1 and sum(len(t.keys) * 2 for t in (*less.runs, *less.escapes)) <= cells // 2
+    assert [less.langs[k] for k in less.code_lengths(["the cat", "der hund"]).argmin(1)] == ["en", "de"]
+
+
+def test_equal_code_lengths_go_to_the_first_language(spark):
+    model = model_of({"b": ["same text"], "a": ["same text"]})
+    docs = spark.createDataFrame([(1, "same"), (1, "same"), (2, "x" * 300_000)], "doc_id long, text string")
+    out = langid.predict(docs, model).collect()
+    assert {r.lang_pred for r in out} == {"a"} and all(abs(r.score - 0.5) < 1e-6 for r in out) and len(out) == 3
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
@@ -58,6 +81,7 @@ def test_held_out_accuracy_and_odd_rows(spark):
     out = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert len(out) > 20 and sum(r.lang_pred == r.lang for r in out) >= 0.98 * len(out)
     assert all(r.held_out and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and 0 <= r.score <= 1 for r in out)
+    assert len({round(r.score, 3) for r in out}) > 5  # a lead a byte, not a certainty that grows with the text
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34 !"), (4, "the " * 50_000), (4, "the " * 50_000)], "doc_id long, text string")
     got = sorted((r.doc_id, r.lang_pred) for r in langid.predict(odd, model).collect())
     assert got == [(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "en")]
