@@ -7,9 +7,11 @@ represented by one of them, so copies are never joined. Then:
    sets keep all). A shingle's hash decides, so similar sets sample alike, and pools estimate Jaccard.
 2. Paths of length one: a set chooses a shingle with probability ``RUNS / (threshold * size)``, the
    ``RUNS`` repetitions of the chosen-path step at once. Small sets choose all their shingles.
+   A set goes by the ``RAREST`` half of its paths alone. Similar sets share most shingles, rank them
+   alike, and so meet in the rare ones; sets that share a common passage and no more don't meet at all.
 3. A bucket (a path and its sets) of at most ``LEAF`` sets is compared all against all, on pools. In
-   a larger one every set is held against ``PIVOTS`` pivots and gets a link to each that is loosely
-   near (``LOOSE``). Sets at least ``NEAR`` to one leave the bucket: whatever they are similar to is,
+   a larger one every set is held against ``PIVOTS`` pivots and is joined to all that are loosely
+   near (``LOOSE``): by a link to one of them, and links between pivots, once a batch. Sets at least ``NEAR`` to one leave the bucket: whatever they are similar to is,
    by the triangle inequality, loosely near that pivot as well and gets its own link there. The rest
    choose again, extending the path, and so split recursively. After ``DEPTH`` levels what is left is
    compared in square blocks, each a task of its own: the exact way for what paths can't split.
@@ -33,21 +35,23 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, small, written
 
 SHINGLE, THRESHOLD = 5, 0.8
-RUNS, POOL, LEAF, DEPTH, PIVOTS = 18, 72, 64, 5, 4
+RUNS, POOL, LEAF, DEPTH, PIVOTS = 18, 72, 64, 5, 8
 #: Share of a sample's pairs that the runs must find, sets in the sample, and runs at most (then an error).
 RECALL, SAMPLE, MOST_RUNS = 0.97, 256, 8
+#: Share of a set's first paths, the rarest ones, that it goes by.
+RAREST = 0.5
 #: Children of a set in a bucket that splits, on average, times the threshold.
-BRANCH = 1.3
+BRANCH = 1.0
 #: Pool estimates that link, and that let a set leave a bucket.
-LOOSE, NEAR = 0.55, 0.8
-#: Large buckets whose pivots (of about 3 KB) may be broadcast.
-BROADCAST_PIVOTS = 5_000
+LOOSE, NEAR = 0.35, 0.6
+#: Large buckets whose pivots (of about 6 KB) may be broadcast.
+BROADCAST_PIVOTS = 2_500
 #: Sets in a block of the exact comparison, and shingles in one (blocks of long texts hold fewer sets).
 BLOCK, BLOCK_SHINGLES = 512, 500_000
 #: Words a worker keeps the hashes of.
@@ -103,7 +107,7 @@ def pool_of(h: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
 def first_paths(pool: np.ndarray, n: int, run: int, threshold: float = THRESHOLD) -> np.ndarray:
     """The pool's shingles that are paths of length one in a run; other runs choose by other hashes."""
     reach = min(1.0, POOL / (threshold * max(1, n)))  # the share of the set that is in the pool
-    u = _unit(pool) / reach if run == 0 else _unit(pool + np.uint64(run) * _M[2])
+    u = _unit(pool) / reach if run == 0 else _unit(pool ^ _mix(np.full(1, run, np.uint64))[0])
     return pool[u * reach < RUNS / (threshold * max(1, n))]
 
 
@@ -396,39 +400,47 @@ def _split(rows: DataFrame, level: int, threshold: float, run: int) -> DataFrame
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path, ids, sizes, pools = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3)
-            links, stay = [], np.ones(len(ids), bool)
+            stay, first, links = np.ones(len(ids), bool), np.full(len(ids), -1), []
             for k in range(PIVOTS):
                 slot = batch.column(4 + 3 * k)
-                pivot = slot.fill_null(-1).to_numpy()
+                there, pivot = slot.is_valid().to_numpy(zero_copy_only=False), slot.fill_null(-1).to_numpy()
                 near = estimates(pools, sizes, batch.column(6 + 3 * k), batch.column(5 + 3 * k).fill_null(0).to_numpy(), threshold)
-                own = slot.is_valid().to_numpy(zero_copy_only=False) & (pivot == ids)
-                hit = (near >= LOOSE) & ~own & slot.is_valid().to_numpy(zero_copy_only=False)
-                links.append((pivot[hit], ids[hit]))
-                stay &= ~((near >= NEAR) & slot.is_valid().to_numpy(zero_copy_only=False)) & ~own
+                own = there & (pivot == ids)
+                hit = (near >= LOOSE) & there & ~own
+                stay &= ~(near >= NEAR) & ~own
+                # one link a set; further pivots near the same sets are linked to that pivot, once a batch
+                new, more = hit & (first < 0), hit & (first >= 0)
+                links += [np.stack([pivot[new], ids[new]], 1), np.unique(np.stack([pivot[more], first[more]], 1), axis=0)]
+                first[new] = pivot[new]
+            links = np.concatenate(links)
             h, row = _flat(pools)
             count = np.maximum(1, np.bincount(row, minlength=len(ids)))
-            seed = _mix(path.astype(np.uint64) * _M[3] + np.uint64(level + 64 * run) * _M[4])
+            seed = _mix(path.astype(np.uint64) * _M[3] + np.uint64((level + 64 * run) * int(_M[4]) & (1 << 64) - 1))
             u = _mix(h ^ seed[row])
             pick = stay[row] & ((u >> np.uint64(11)).astype(np.float64) * 2.0**-53 < (BRANCH / (threshold * count))[row])
             longer = _mix(u[pick] + seed[row[pick]]).astype(np.int64)
-            linked = sum(len(x) for x, _ in links)
-            kind = pa.array(["link"] * linked + ["path"] * len(longer), pa.string())
-            yield pa.RecordBatch.from_arrays([kind, pa.array(np.concatenate([*(x for x, _ in links), longer])), pa.array(np.concatenate([*(x for _, x in links), ids[row[pick]]]))], names=["kind", "path", "id"])
+            kind = pa.array(["link"] * len(links) + ["path"] * len(longer), pa.string())
+            yield pa.RecordBatch.from_arrays([kind, pa.array(np.concatenate([links[:, 0], longer])), pa.array(np.concatenate([links[:, 1], ids[row[pick]]]))], names=["kind", "path", "id"])
 
     slots = [F.get("pivots", k)[c].alias(f"{c}{k}") for k in range(PIVOTS) for c in ("pivot", "m", "q")]
     return rows.select("path", "id", "n", "pool", *slots).mapInArrow(go, "kind string, path long, id long")
 
 
 def _paths(sets: DataFrame, run: int, threshold: float) -> DataFrame:
-    """(path, id): the paths of length one of a run."""
+    """(path, id): of each set's paths of length one those of the fewest sets, ``RAREST`` of all it chose, if others have them."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [first_paths(np.frombuffer(x.as_py(), np.uint64), n, run, threshold) for n, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            at = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).astype(np.int64)), batch.column(0).take(pa.array(at))], names=["path", "id"])
+            each = np.array([len(x) for x in found], np.int64)
+            at = np.repeat(np.arange(len(found)), each)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).astype(np.int64)), batch.column(0).take(pa.array(at)), pa.array(each[at])], names=["path", "id", "chosen"])
 
-    return sets.select("id", "n", "pool").mapInArrow(go, "path long, id long")
+    rows = written(sets.select("id", "n", "pool").mapInArrow(go, "path long, id long, chosen long"), "paths")
+    shared = rows.join(rows.groupBy("path").agg(F.count("*").alias("count")).where("count > 1").hint("merge"), "path")
+    own = Window.partitionBy("id")
+    ranked = shared.withColumn("place", F.row_number().over(own.orderBy("count", "path"))).withColumn("alone", F.col("chosen") - F.count("*").over(own))
+    return written(ranked.where(F.col("alone") + F.col("place") <= F.ceil(RAREST * F.col("chosen"))).select("path", "id"), "rarest")
 
 
 def candidates(sets: DataFrame, threshold: float = THRESHOLD, run: int = 0) -> DataFrame:
@@ -437,7 +449,6 @@ def candidates(sets: DataFrame, threshold: float = THRESHOLD, run: int = 0) -> D
     rows = _paths(sets, run, threshold)
     links, leaves = [], []
     for level in range(1, DEPTH + 1):
-        rows = written(rows, f"paths{level}") if level == 1 else rows
         sizes = rows.groupBy("path").agg(F.count("*").alias("count")).where("count > 1")
         held = written(rows.join(sizes.hint("merge"), "path"), f"level{level}")
         last = level == DEPTH
