@@ -142,3 +142,27 @@ def test_packing_stage(stages):
 
 def test_run_gives_the_stages_result(spark, stages):
     assert sorted((r.doc_id, r.piece, r.length) for r in cp.run(spark, SF).collect()) == sorted((r.doc_id, r.piece, r.length) for r in stages["best-fit packing"].collect())
+
+
+def test_every_stage_on_odd_rows_and_clashing_names(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, ties, and columns named like inner ones."""
+    rng = random.Random(4)
+    sentence = lambda n: " ".join(rng.choice(["stone", "river", "walks", "under", "seven", "lamps", "quiet", "green"]) + str(rng.randrange(60)) for _ in range(n)) + "."
+    long, plain = "\n".join(sentence(40) for _ in range(400)), sentence(60)
+    rows = [(1, plain, "en", "a", 10), (1, plain, "en", "a", 10), (2, plain.upper(), None, None, None), (None, plain, "en", "a", 3), (3, None, "en", "a", 0), (3, None, "en", "a", 0), (4, "", "en", None, 0)]
+    rows += [(5, long, "en", "a", 9), (6, long + " more", "en", "a", 9), (None, sentence(50), None, "b", None), (7, sentence(45), "en", "b", 4), (7, sentence(45), "en", "b", 4), (8, " ", "en", "b", 1)]
+    odd = {"mark": "m", "kept": False, "row": 1, "_id": 2, "_gone": 3, "norm": "n", "n_words": 5, "clean_text": "c", "length": 1, "class_id": 9, "rep": 0, "set": 0, "stays": True, "_m": 0, "_y": 0, "_w": 0, "count": 1, "full": 0}
+    docs = spark.createDataFrame([(*r, *odd.values()) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{k}` {'string' if isinstance(v, str) else 'boolean' if isinstance(v, bool) else 'int'}" for k, v in odd.items()))
+    spark.createDataFrame([(1, 1, 0), (7, 0, 0), (5, 1, None), (None, 0, 0), (2, None, 1), (7, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = {name: sorted(map(str, f(spark, docs, str(tmp_path)).collect())) for name, f in cp.STAGES[:-1]}
+    for name, f in cp.STAGES[:-1]:
+        assert f(spark, docs, str(tmp_path)).columns == docs.columns
+        assert f(spark, docs.limit(0), str(tmp_path)).count() == 0
+    ids = lambda name: sorted(x.split("doc_id=")[1].split(",")[0] for x in found[name])
+    # equal texts: 1, 1, 2 and null share one; 3, 3 and 4 are empty; the two texts of 7 differ
+    assert ids("exact dedup") == sorted(["2", "4", "5", "6", "None", "7", "7", "8"])
+    # near copies: 1 and 2 share all shingles, 5 and 6 nearly all; null ids and texts without words stay
+    assert ids("n-gram Jaccard join") == sorted(["2", "None", "None", "3", "3", "4", "6", "7", "7", "8"])
+    assert not {"3", "4", "8"} & set(ids("quality rules")) and "5" in ids("quality rules")
+    assert len(cp.pack(spark, docs, "").select("doc_id", "piece").where("piece = 0").collect()) == len(rows)
+    assert cp.pack(spark, docs.limit(0), "").count() == 0

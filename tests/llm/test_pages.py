@@ -3,6 +3,13 @@
 from marlstone.llm import wrappers as w
 
 
+def place(path):
+    at = 0
+    for label in path.split("/"):
+        at = w.step(at, label)
+    return str(at)
+
+
 def page(i, extra="", tail="</article><footer>&copy; host</footer></body></html>"):
     return f"""<!DOCTYPE html><html><head><title>T{i}</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">Part {i}</a></li></ul></nav><!-- ad --><div class="ad">Buy {i}</div>
@@ -33,7 +40,8 @@ def test_wrapper_has_slots_optionals_and_repeats():
         one = w.merge(one, x)
     text = w.expression(one)
     assert "(<p>" in text and ")+" in text and "#text" in text and "?" in text
-    assert w.rule(one)["main"] == "/html/body/article"
+    assert w.rule(one)["main"] == place("html/body/article")
+    assert w.expression(w.unpacked(w.packed(one))) == text
 
 
 def test_template_text_inside_the_article_goes():
