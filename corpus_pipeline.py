@@ -18,35 +18,62 @@ from marlstone.llm.common import small, table, written
 ORACLE_SQL = None
 
 
+def _whole(docs: DataFrame, *names: str) -> DataFrame:
+    """The row as one column ``row``, beside the columns that a stage reads: no name of ``docs`` can clash."""
+    return docs.select(F.struct("*").alias("row"), *names)
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier, fitted on those of ``docs`` that have labels, doesn't reject."""
+    """Documents that the co-trained classifier, fitted on those of ``docs`` that have labels, doesn't reject.
+
+    Null text, source, language and length count as empty. Repeated rows are judged alike, each on
+    its own. Without labels of both classes all rows stay; an empty table stays empty.
+    """
     model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model).where("kept").select(docs.columns)
+    return quality_classifier.score(_whole(docs, "text", "source", "lang", "n_chars"), model).where("kept").select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without their failing lines; ``n_chars`` follows the text."""
-    found = quality_rules.quality_rules(docs).where("kept")
+    """Documents that pass the quality rules, without their failing lines; ``n_chars`` follows the text.
+
+    A null or empty text has no words and goes. Repeated rows are judged alike, each on its own.
+    """
+    found = quality_rules.quality_rules(_whole(docs, "text")).where("kept")
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
-    return found.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return found.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts: that of the largest id."""
+    """One row of each group of equal texts (null as empty, A-Z as a-z): that of the largest id.
+
+    Of repeated rows of that id any one stays; a null id stays only in a group without another.
+    """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = exact.exact_dedup(docs.select("doc_id", "text", mark.alias("_mark"))).where("NOT kept")
-    gone = small(found.select(F.col("doc_id").alias("_id"), F.col("_mark").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (mark == F.col("_gone")), "left_anti")
+    found = written(exact.exact_dedup(docs.select("doc_id", "text", mark.alias("mark"))), "found")
+    gone = written(found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_gone")).distinct(), "gone")
+    rows = _whole(docs, "doc_id", "text")
+    rest = rows.join(small(gone), F.col("doc_id").eqNullSafe(F.col("_id")) & (mark == F.col("_gone")), "left_anti")
+    again = written(found.where("kept AND group_size > 1").groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id"), "again")
+    if again.limit(1).count():
+        same = F.col("doc_id").eqNullSafe(F.col("_id"))
+        twice = rest.join(small(again), same, "left_semi").withColumn("norm", exact.normalised()).dropDuplicates(["doc_id", "norm"]).drop("norm")
+        rest = rest.join(small(again), same, "left_anti").union(twice)
+    return rest.select("row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: that of the largest id."""
-    found = written(ngram_join.ngram_join(docs), "joined").where("doc_id <> class_id")
-    return docs.join(small(found.select("doc_id").distinct()), "doc_id", "left_anti").select(docs.columns)
+    """One document of each class of near duplicates: that of the largest id.
+
+    Texts without a word and rows with a null id are alike to nothing and stay. An id that has
+    several texts goes if each of them has another document to stand for it.
+    """
+    found = written(ngram_join.ngram_join(docs), "joined").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("class_id")).alias("stays"))
+    gone = written(found.where("NOT stays").select(F.col("doc_id").alias("_id")), "gone")
+    return _whole(docs, "doc_id").join(small(gone), F.col("doc_id") == F.col("_id"), "left_anti").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces packed into sequences."""
+    """The documents' pieces packed into sequences; a null text is its end id alone, repeated rows are packed once each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
