@@ -34,7 +34,7 @@ MODEL_CELLS = 32_000_000
 #: Positions scored at a time.
 SLICE = 1 << 18
 #: Bytes of text over whose mean code a language's lead is measured in a score.
-UNIT = 2
+UNIT = 1
 _START = b" " * ORDER
 
 
