@@ -27,17 +27,46 @@ def freshness(verified_at: Column, volatility: Column, now: float) -> Column:
 
 
 def live_truth(fresh: Column, authority: Column, specificity: Column, invalid: Column) -> Column:
-    """Product of the three (unknown freshness .5), a quarter of it where invalidated."""
-    p = F.coalesce(fresh, F.lit(0.5)) * lookup(authority, AUTHORITY, 0.45) * lookup(specificity, SPECIFICITY, 0.6)
+    """Product of the three (unknown freshness counts 0), a quarter of it where invalidated."""
+    p = F.coalesce(fresh, F.lit(0.0)) * lookup(authority, AUTHORITY, 0.75) * lookup(specificity, SPECIFICITY, 0.6)
     return fx.round6(F.when(invalid, p * 0.25).otherwise(p))
 
 
-def status(fresh: Column, risk: str, coordinate: Column) -> Column:
-    """verified / stale_risk / needs_refresh for a task of high or low risk; weak coordinates go one step down."""
-    floor = {"high": (0.6, 0.3), "low": (0.3, 0.1)}[risk]
-    base = F.when(fresh.isNull(), "needs_refresh" if risk == "high" else "stale_risk").when(fresh >= floor[0], "verified").when(fresh >= floor[1], "stale_risk").otherwise("needs_refresh")
-    low = F.when(coordinate < 0.15, "needs_refresh").when((coordinate < 0.30) & (base == "verified"), "stale_risk")
-    return F.coalesce(low, base)
+# How much may go wrong by kind of task, the kinds of high risk, and from which freshness on
+# a source is verified or a stale risk.
+TASK_RISK = {"plan": 0.30, "explain": 0.45, "review": 0.60, "edit": 0.85, "debug": 0.90, "ops": 1.00, "quote": 0.95}
+HIGH_RISK = frozenset({"edit", "debug", "ops", "quote"})
+FLOORS = {"high": (0.70, 0.35), "review": (0.55, 0.20), "other": (0.35, 0.12)}
+LEAST_AUTHORITY, LEAST_COORDINATE, LEAST_FILE = 0.55, 0.30, 0.15
+
+
+def risk_of(task: str) -> str:
+    return "high" if task in HIGH_RISK else "review" if task == "review" else "other"
+
+
+def status(fresh: Column, task: str, coordinate: Column, authority: Column | None = None, invalid: Column | None = None, files: Column | None = None) -> Column:
+    """verified / stale_risk / needs_refresh of a source for a kind of task.
+
+    Invalidated sources need a refresh. Unknown freshness and weak authority do so for tasks of high
+    risk and are a stale risk else; then the task's floors of freshness count. Where the coordinates
+    or the files named fall short, nothing is verified, and a task of high risk needs a refresh.
+    """
+    risk = risk_of(task)
+    doubt = "needs_refresh" if risk == "high" else "stale_risk"
+    verified, stale = FLOORS[risk]
+    weak = lookup(authority, AUTHORITY, 0.75) < LEAST_AUTHORITY if authority is not None else F.lit(False)
+    gone = F.coalesce(invalid, F.lit(False)) if invalid is not None else F.lit(False)
+    base = F.when(gone, "needs_refresh").when(fresh.isNull() | weak, doubt).when(fresh >= verified, "verified").when(fresh >= stale, "stale_risk").otherwise("needs_refresh")
+    off = coordinate < LEAST_COORDINATE
+    if files is not None:
+        off = off | (files < LEAST_FILE)
+    return F.when(off & F.lit(risk == "high"), "needs_refresh").when(off & (base == "verified"), "stale_risk").otherwise(base)
+
+
+def action_risk(fresh: Column, task: str, literal: Column) -> Column:
+    """What acting on a source may cost: the task's risk for what isn't fresh, and .15 more where a task of high risk has no literal source; 1 at most."""
+    extra = F.when(literal, 0.0).otherwise(0.15) if task in HIGH_RISK else F.lit(0.0)
+    return fx.round6(F.least(F.lit(1.0), TASK_RISK.get(task, 0.5) * (1 - F.coalesce(fresh, F.lit(0.0))) + extra))
 
 
 def density(tags: Column, keys: Column, chars: Column, accesses: Column, summary: Column) -> Column:
@@ -67,15 +96,28 @@ def splice_target(tokens: Column, n: Column) -> Column:
     return F.greatest(F.lit(1000), F.floor(F.floor(tokens * 3.6) / F.greatest(n, F.lit(1)))).cast("long")
 
 
+# Signals of the classes of queries.
+OPERATORS = ["+", "-", "*", "/", "%"]
+QUANTITIES = [r"\bcalculate\b", r"\btotal\b", r"\bsum\b", "critical path"]
+ASKING = ["who", "what", "where", "when", "which"]
+STEPS = ["how do i", "how to", "steps", "walk me through"]
+CONNECTIVES = ["and then", "because", "after that", "compare", " vs "]
+BETWEEN = r"\bbetween\s+\S+\s+and\s+\S+"
+
+
 def query_class(text: Column) -> Column:
-    """arithmetic, factual, procedural, multi_hop or default, by the first rule that matches."""
-    t = F.lower(text)
-    words = F.size(F.split(F.trim(t), r"\s+"))
+    """arithmetic (two signals of operators and quantities), factual (a question word leads fewer than 15 words),
+    procedural, multi_hop (a connective, "between x and y", or more than 25 words) or default: the first that holds."""
+    t = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    signals = sum((F.contains(t, F.lit(x)).cast("int") for x in OPERATORS), F.lit(0)) + sum((t.rlike(x).cast("int") for x in QUANTITIES), F.lit(0))
+    first = F.regexp_replace(F.coalesce(F.get(words, 0), F.lit("")), r"[?.,!:;]+$", "")
+    holds = lambda found: F.greatest(*(F.contains(t, F.lit(x)) for x in found))
     return (
-        F.when(t.rlike(r"\d+\s*[-+*/%]\s*\d+"), "arithmetic")
-        .when(t.rlike(r"^\s*(who|what|when|where|which)\b") & (words < 15), "factual")
-        .when(t.rlike(r"\b(how to|how do|steps|install|configure|set up)\b"), "procedural")
-        .when(t.rlike(r"\b(compare|difference|between|versus|relationship|both)\b"), "multi_hop")
+        F.when(signals >= 2, "arithmetic")
+        .when(first.isin(ASKING) & (F.size(words) < 15), "factual")
+        .when(holds(STEPS), "procedural")
+        .when(holds(CONNECTIVES) | t.rlike(BETWEEN) | (F.size(words) > 25), "multi_hop")
         .otherwise("default")
     )
 
@@ -104,16 +146,36 @@ def abstain(rows: DataFrame, by: str = "query_id", floor: float = 2.5) -> DataFr
     return g.select(by, "top", fx.round6(r).alias("rrf_ratio"), ((F.col("top") < floor) & (F.col("top") < 1.8 * F.col("mean"))).alias("abstain_additive"), (fx.round6(r) < 1.5).alias("abstain_rrf"))
 
 
-BETAS = {"b0": -1.0, "score": 2.0, "gap": 1.0, "agree": 0.8, "coord": 0.6, "fresh": 0.4}
+# Coefficients of the confidence, scales of score and gap, and from where on it is told.
+BETAS = {"b0": -2.0, "score": 2.0, "gap": 1.5, "agree": 0.7, "coord": 1.8, "fresh": 1.5}
+SCORE_SCALE, GAP_SCALE, EMIT_FLOOR = 1.0, 0.5, 0.55
 
 
-def confidence(score: Column, gap: Column, agree: Column, coord: Column, fresh: Column, s_ref: float = 4.0, g_ref: float = 1.0) -> Column:
-    """Logistic of the saturated score and gap, agreement, coordinates and freshness; unknown freshness adds nothing."""
+def confidence(score: Column, gap: Column, agree: Column, coord: Column, fresh: Column, s_ref: float = SCORE_SCALE, g_ref: float = GAP_SCALE) -> Column:
+    """Logistic of the saturated score and gap, agreement, coordinates and freshness (both within 0 and 1); unknown freshness adds nothing."""
     b = BETAS
-    z = b["b0"] + b["score"] * F.tanh(score / s_ref) + b["gap"] * F.tanh(gap / g_ref) + b["agree"] * agree + b["coord"] * coord + b["fresh"] * F.coalesce(fresh, F.lit(0.0))
+    part = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(x, F.lit(0.0))))
+    z = b["b0"] + b["score"] * F.tanh(score / s_ref) + b["gap"] * F.tanh(gap / g_ref) + b["agree"] * agree + b["coord"] * part(coord) + b["fresh"] * part(fresh)
     return fx.round6(1 / (1 + F.exp(-z)))
 
 
+def know_or_miss(found: Column, conf: Column, abstain: Column, denatured: Column, superseded: Column, stale: Column, cold: Column, floor: float = EMIT_FLOOR) -> Column:
+    """know, or why not: the first of abstain, denatured, no_promoter_match, superseded, stale; under the floor cold or sparse."""
+    out = F.when(abstain, "abstain").when(denatured, "denatured").when(F.coalesce(found, F.lit(0)) == 0, "no_promoter_match")
+    return out.when(superseded, "superseded").when(stale, "stale").when((conf < floor) & cold, "cold").when(conf < floor, "sparse").otherwise("know")
+
+
+def calibration_age(fitted_at: Column, now: float, most_days: int = 30) -> Column:
+    """(age in days, stale) of a calibration; stale beyond ``most_days``, or where its time is unknown."""
+    days = (F.lit(now) - fitted_at) / 86400.0
+    return F.struct(fx.round6(days).alias("age_days"), F.coalesce(days > most_days, F.lit(True)).alias("stale"))
+
+
+def monotonicity_violations(betas: dict[str, float]) -> list[str]:
+    """Features whose coefficient is negative: more evidence would lower the confidence."""
+    return [k for k, v in betas.items() if k != "b0" and v < 0]
+
+
 def legibility(rows: DataFrame, by: str = "query_id") -> DataFrame:
     """z-score of each candidate among its query's (sample deviation) and its mark: full from 1, half from 0, else empty."""
     w = Window.partitionBy(by)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -20,16 +19,20 @@ BLOCK_EDGES = 250_000
 BLOCK_DOCS = 500
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder and read back, to cut the lineage of a loop."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset one in the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
-    path = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    return path.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder and read back, to cut the lineage of a loop."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -51,16 +54,17 @@ def neighbours(seeds: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 
 def successor(seeds: DataFrame, edges: DataFrame, steps: int = 4, gamma: float = 0.85) -> DataFrame:
     """Successor representation: uniform seed mass spread over undirected edges for ``steps`` steps, each step
-    worth gamma times the mass divided by the degree; seeds left out of the result (node, mass)."""
+    worth gamma times the mass divided by the degree; seeds left out of the result (node, mass, boost), where
+    the boost of a retrieval tier is 1.5 times the mass, 3 at most."""
     ends = both_ways(edges)
-    out = ends.join(ends.groupBy("a").agg(F.count("*").alias("deg")), "a")
+    out = checkpointed(ends.join(ends.groupBy("a").agg(F.count("*").alias("deg")), "a"))
     n = F.count("*").over(Window.partitionBy(F.lit(1)))
     mass = seeds.select("node").distinct().select("node", (F.lit(1.0) / n).alias("mass"))
     total = None
     for _ in range(steps):
-        mass = mass.join(out, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.sum(gamma * F.col("mass") / F.col("deg")).alias("mass"))
+        mass = checkpointed(mass.join(out, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.sum(gamma * F.col("mass") / F.col("deg")).alias("mass")))
         total = mass if total is None else total.union(mass)
-    return total.groupBy("node").agg(F.sum("mass").alias("mass")).join(seeds, "node", "left_anti").select("node", fx.round6("mass").alias("mass"))
+    return total.groupBy("node").agg(F.sum("mass").alias("mass")).join(seeds, "node", "left_anti").select("node", fx.round6("mass").alias("mass"), F.least(fx.round6(1.5 * F.col("mass")), F.lit(3.0)).alias("boost"))
 
 
 def pagerank(edges: DataFrame, restart: DataFrame, damping: float = 0.85, rounds: int = 20, tolerance: float = 1e-6) -> DataFrame:
@@ -145,16 +149,38 @@ def typed_expansion(links: DataFrame, first: int = 5, confidence: float = 0.7) -
     return links.where((F.col("position") <= first) & keep)
 
 
-def chain(spark, versions: DataFrame, most: int = 32) -> DataFrame:
-    """(id, head, steps): where following ``supersedes`` (new -> old) from each id ends; at most ``most`` steps, cycles stop."""
-    versions.createOrReplaceTempView("marlstone_versions")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(id, at, steps) AS (
-          SELECT id, id, 0 FROM marlstone_versions
-          UNION ALL SELECT w.id, v.supersedes, w.steps + 1 FROM walk w JOIN marlstone_versions v ON v.id = w.at
-          WHERE v.supersedes IS NOT NULL AND v.supersedes <> w.id AND w.steps < {most})
-        SELECT id, max_by(at, steps) AS head, max(steps) AS steps FROM walk GROUP BY id"""
-    )
+def chain(versions: DataFrame, most: int = 32) -> DataFrame:
+    """(id, head, steps): where following ``supersedes`` (new -> old) from each id ends; at most ``most`` steps, and not back to the id itself.
+
+    Steps are doubled: a round joins the walks of 2^k steps to themselves, so ``most`` costs log(most)
+    joins. Only ids whose walk didn't end in ``most`` steps may lie on a cycle; those are walked step by step.
+    """
+    one = checkpointed(versions.select("id", F.when(F.col("supersedes") != F.col("id"), F.col("supersedes")).alias("next")).groupBy("id").agg(F.max("next").alias("next")))
+    hop = one.select("id", F.coalesce("next", "id").alias("at"), F.col("next").isNotNull().cast("int").alias("steps"))
+    walk = one.select("id", F.col("id").alias("at"), F.lit(0).alias("steps"))
+
+    def then(first: DataFrame, second: DataFrame) -> DataFrame:
+        more = second.select(F.col("id").alias("from"), F.col("at").alias("to"), F.col("steps").alias("more"))
+        return checkpointed(first.join(more, F.col("at") == F.col("from"), "left").select("id", F.coalesce("to", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+
+    left = most
+    while left:
+        if left & 1:
+            walk = then(walk, hop)
+        left >>= 1
+        if left:
+            hop = then(hop, hop)
+    ended, open_ = walk.where(F.col("steps") < most), walk.where(F.col("steps") >= most).select("id", F.col("id").alias("at"), F.lit(0).alias("steps"))
+    if open_.isEmpty():
+        return ended.select("id", F.col("at").alias("head"), "steps")
+    edges = one.where("next IS NOT NULL").select(F.col("id").alias("from"), "next")
+    for k in range(most):
+        open_ = open_.join(edges, F.col("at") == F.col("from"), "left")
+        goes = F.col("next").isNotNull() & (F.col("next") != F.col("id")) & (F.col("steps") == k)
+        open_ = open_.select("id", F.when(goes, F.col("next")).otherwise(F.col("at")).alias("at"), (F.col("steps") + goes.cast("int")).alias("steps"))
+        if k % 8 == 7:
+            open_ = checkpointed(open_)
+    return ended.union(open_).select("id", F.col("at").alias("head"), "steps")
 
 
 def clusters(edges: DataFrame) -> DataFrame:

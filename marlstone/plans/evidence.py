@@ -32,12 +32,15 @@ def freshness_score(spark, sf) -> DataFrame:
     return _meta(spark, sf).select("doc_id", "volatility", fx.round6("fresh").alias("fresh"))
 
 
-TRUTH = """round_even(coalesce(fresh, 0.5) * CASE authority WHEN 'primary' THEN 1.0 WHEN 'derived' THEN 0.75 ELSE 0.45 END * CASE specificity WHEN 'literal' THEN 1.0 WHEN 'span' THEN 0.9 WHEN 'doc' THEN 0.75 WHEN 'summary' THEN 0.5 ELSE 0.6 END * CASE WHEN invalid THEN 0.25 ELSE 1.0 END, 6)"""
+TRUTH = """round_even(coalesce(fresh, 0.0) * CASE authority WHEN 'primary' THEN 1.0 WHEN 'derived' THEN 0.75 WHEN 'inferred' THEN 0.45 ELSE 0.75 END * CASE specificity WHEN 'literal' THEN 1.0 WHEN 'span' THEN 0.9 WHEN 'doc' THEN 0.75 WHEN 'summary' THEN 0.5 ELSE 0.6 END * CASE WHEN invalid THEN 0.25 ELSE 1.0 END, 6)"""
 
 
-def _status_sql(a: str, b: str, unknown: str) -> str:
-    base = f"CASE WHEN fresh IS NULL THEN '{unknown}' WHEN fresh >= {a} THEN 'verified' WHEN fresh >= {b} THEN 'stale_risk' ELSE 'needs_refresh' END"
-    return f"CASE WHEN coordinate < 0.15 THEN 'needs_refresh' WHEN coordinate < 0.30 AND {base} = 'verified' THEN 'stale_risk' ELSE {base} END"
+def _status_sql(verified: float, stale: float, high: bool) -> str:
+    doubt = "needs_refresh" if high else "stale_risk"
+    base = f"CASE WHEN invalid THEN 'needs_refresh' WHEN fresh IS NULL OR authority = 'inferred' THEN '{doubt}' WHEN fresh >= {verified} THEN 'verified' WHEN fresh >= {stale} THEN 'stale_risk' ELSE 'needs_refresh' END"
+    if high:
+        return f"CASE WHEN coordinate < 0.30 THEN 'needs_refresh' ELSE {base} END"
+    return f"CASE WHEN coordinate < 0.30 AND {base} = 'verified' THEN 'stale_risk' ELSE {base} END"
 
 
 @query("live_truth", f"WITH {META} SELECT doc_id, {TRUTH}::DOUBLE AS live_truth FROM me")
@@ -45,15 +48,23 @@ def live_truth(spark, sf) -> DataFrame:
     return _meta(spark, sf).select("doc_id", e.live_truth(F.col("fresh"), F.col("authority"), F.col("specificity"), F.col("invalid")).alias("live_truth"))
 
 
-@query("packet_status", f"WITH {META} SELECT doc_id, {_status_sql('0.6', '0.3', 'needs_refresh')} AS high_risk, {_status_sql('0.3', '0.1', 'stale_risk')} AS low_risk FROM me")
+RISK = "round_even(least(1.0, {0} * (1 - coalesce(fresh, 0.0)) + {1})::DOUBLE, 6)"
+
+
+@query(
+    "packet_status",
+    f"""WITH {META} SELECT doc_id, {_status_sql(0.70, 0.35, True)} AS edit_status, {_status_sql(0.55, 0.20, False)} AS review_status, {_status_sql(0.35, 0.12, False)} AS explain_status,
+    {RISK.format(0.85, "CASE WHEN specificity = 'literal' THEN 0.0 ELSE 0.15 END")} AS edit_risk, {RISK.format(0.45, "0.0")} AS explain_risk FROM me""",
+)
 def packet_status(spark, sf) -> DataFrame:
-    c = F.col("fresh"), F.col("coordinate")
-    return _meta(spark, sf).select("doc_id", e.status(c[0], "high", c[1]).alias("high_risk"), e.status(c[0], "low", c[1]).alias("low_risk"))
+    fresh, literal = F.col("fresh"), F.col("specificity") == "literal"
+    of = lambda task: e.status(fresh, task, F.col("coordinate"), F.col("authority"), F.col("invalid")).alias(f"{task}_status")
+    return _meta(spark, sf).select("doc_id", of("edit"), of("review"), of("explain"), e.action_risk(fresh, "edit", literal).alias("edit_risk"), e.action_risk(fresh, "explain", literal).alias("explain_risk"))
 
 
 @query(
     "evidence_packet",
-    f"""WITH {BM25}, {ME}, p AS (SELECT query_id, doc_id, score, {_status_sql('0.6', '0.3', 'needs_refresh')} AS status, {TRUTH}::DOUBLE AS live_truth FROM bmr JOIN me USING (doc_id) WHERE rank <= 8)
+    f"""WITH {BM25}, {ME}, p AS (SELECT query_id, doc_id, score, {_status_sql(0.70, 0.35, True)} AS status, {TRUTH}::DOUBLE AS live_truth FROM bmr JOIN me USING (doc_id) WHERE rank <= 8)
     SELECT query_id, doc_id, score, status, CASE WHEN status = 'verified' THEN 'verified' ELSE 'stale_risk' END AS bucket, live_truth,
       row_number() OVER (PARTITION BY query_id, CASE WHEN status = 'verified' THEN 'verified' ELSE 'stale_risk' END ORDER BY CASE WHEN status = 'needs_refresh' THEN 0 ELSE 1 END, live_truth DESC, score DESC, doc_id) AS position FROM p""",
 )
@@ -62,7 +73,7 @@ def evidence_packet(spark, sf) -> DataFrame:
     from pyspark.sql import Window
 
     c = F.col("fresh"), F.col("coordinate")
-    meta = _meta(spark, sf).select("doc_id", e.status(c[0], "high", c[1]).alias("status"), e.live_truth(c[0], F.col("authority"), F.col("specificity"), F.col("invalid")).alias("live_truth"))
+    meta = _meta(spark, sf).select("doc_id", e.status(c[0], "edit", c[1], F.col("authority"), F.col("invalid")).alias("status"), e.live_truth(c[0], F.col("authority"), F.col("specificity"), F.col("invalid")).alias("live_truth"))
     p = tiers.top(_bm25(spark, sf), 8).join(meta, "doc_id").withColumn("bucket", F.when(F.col("status") == "verified", "verified").otherwise("stale_risk"))
     w = Window.partitionBy("query_id", "bucket").orderBy(F.when(F.col("status") == "needs_refresh", 0).otherwise(1), F.desc("live_truth"), F.desc("score"), F.asc("doc_id"))
     return p.select("query_id", "doc_id", "score", "status", "bucket", "live_truth", F.row_number().over(w).alias("position"))
@@ -113,16 +124,18 @@ def legibility_marks(spark, sf) -> DataFrame:
 @query(
     "know_miss",
     f"""WITH {BM25}, {ME}, c AS (SELECT query_id, doc_id, score, rank, fresh, coordinate FROM bmr JOIN me USING (doc_id) WHERE rank <= 2),
-    x AS (SELECT query_id, max(score) FILTER (WHERE rank = 1) AS s, max(score) FILTER (WHERE rank = 1) - coalesce(max(score) FILTER (WHERE rank = 2), 0) AS gap, max(coordinate) FILTER (WHERE rank = 1) AS coord, max(fresh) FILTER (WHERE rank = 1) AS fresh FROM c GROUP BY 1),
-    p AS (SELECT query_id, round_even(1 / (1 + exp(-(-1.0 + 2.0 * tanh(s / 4.0) + 1.0 * tanh(gap / 1.0) + 0.8 * 0 + 0.6 * coord + 0.4 * coalesce(fresh, 0)))), 6) AS confidence, s, fresh FROM x)
-    SELECT query_id, confidence, CASE WHEN s < 1.0 THEN 'miss_no_match' WHEN coalesce(fresh, 1) < 0.01 THEN 'miss_stale' WHEN confidence < 0.7 THEN 'miss_low_confidence' ELSE 'know' END AS outcome FROM p""",
+    x AS (SELECT query_id, count(*) AS found, max(score) FILTER (WHERE rank = 1) AS s, max(score) FILTER (WHERE rank = 1) - coalesce(max(score) FILTER (WHERE rank = 2), 0) AS gap, max(coordinate) FILTER (WHERE rank = 1) AS coord, min(fresh) AS fresh, max(doc_id) FILTER (WHERE rank = 1) AS top FROM c GROUP BY 1),
+    p AS (SELECT query_id, found, top, s, fresh, round_even(1 / (1 + exp(-(-2.0 + 2.0 * tanh(s / 1.0) + 1.5 * tanh(gap / 0.5) + 0.7 * (top % 2) + 1.8 * coord + 1.5 * coalesce(fresh, 0)))), 6) AS confidence FROM x)
+    SELECT query_id, confidence, CASE WHEN s < 1.0 THEN 'abstain' WHEN top % 19 = 0 THEN 'denatured' WHEN top % 17 = 0 THEN 'superseded' WHEN coalesce(fresh, 1) < 0.000001 THEN 'stale' WHEN confidence < 0.55 AND top % 13 = 2 THEN 'cold' WHEN confidence < 0.55 THEN 'sparse' ELSE 'know' END AS outcome FROM p""",
 )
 def know_miss(spark, sf) -> DataFrame:
+    """Confidence in the best document of each query, and know or the first reason why not; health, succession and tier come from ids here."""
     c = tiers.top(_bm25(spark, sf), 2).join(_meta(spark, sf).select("doc_id", "fresh", "coordinate"), "doc_id")
     at = lambda col, r: F.max(F.when(F.col("rank") == r, F.col(col)))
-    x = c.groupBy("query_id").agg(at("score", 1).alias("s"), (at("score", 1) - F.coalesce(at("score", 2), F.lit(0.0))).alias("gap"), at("coordinate", 1).alias("coord"), at("fresh", 1).alias("fresh"))
-    p = x.withColumn("confidence", e.confidence(F.col("s"), F.col("gap"), F.lit(0), F.col("coord"), F.col("fresh")))
-    out = F.when(F.col("s") < 1.0, "miss_no_match").when(F.coalesce("fresh", F.lit(1.0)) < 0.01, "miss_stale").when(F.col("confidence") < 0.7, "miss_low_confidence").otherwise("know")
+    x = c.groupBy("query_id").agg(F.count("*").alias("found"), at("score", 1).alias("s"), (at("score", 1) - F.coalesce(at("score", 2), F.lit(0.0))).alias("gap"), at("coordinate", 1).alias("coord"), F.min("fresh").alias("fresh"), at("doc_id", 1).alias("top"))
+    top = F.col("top")
+    p = x.withColumn("confidence", e.confidence(F.col("s"), F.col("gap"), top % 2, F.col("coord"), F.col("fresh")))
+    out = e.know_or_miss(F.col("found"), F.col("confidence"), F.col("s") < 1.0, top % 19 == 0, top % 17 == 0, F.coalesce("fresh", F.lit(1.0)) < 0.000001, top % 13 == 2)
     return p.select("query_id", "confidence", out.alias("outcome"))
 
 
@@ -140,8 +153,11 @@ def context_health(spark, sf) -> DataFrame:
 
 @query(
     "query_classes",
-    r"""SELECT item_id AS query_id, CASE WHEN regexp_matches(t, '\d+\s*[-+*/%]\s*\d+') THEN 'arithmetic' WHEN regexp_matches(t, '^\s*(who|what|when|where|which)\b') AND len(regexp_split_to_array(trim(t), '\s+')) < 15 THEN 'factual'
-    WHEN regexp_matches(t, '\b(how to|how do|steps|install|configure|set up)\b') THEN 'procedural' WHEN regexp_matches(t, '\b(compare|difference|between|versus|relationship|both)\b') THEN 'multi_hop' ELSE 'default' END AS class FROM (SELECT item_id, lower(text) AS t FROM benchmark)""",
+    r"""SELECT query_id, CASE WHEN contains(t, '+')::INT + contains(t, '-')::INT + contains(t, '*')::INT + contains(t, '/')::INT + contains(t, '%')::INT + regexp_matches(t, '\bcalculate\b')::INT + regexp_matches(t, '\btotal\b')::INT + regexp_matches(t, '\bsum\b')::INT + contains(t, 'critical path')::INT >= 2 THEN 'arithmetic'
+    WHEN regexp_replace(w[1], '[?.,!:;]+$', '') IN ('who', 'what', 'where', 'when', 'which') AND len(w) < 15 THEN 'factual'
+    WHEN contains(t, 'how do i') OR contains(t, 'how to') OR contains(t, 'steps') OR contains(t, 'walk me through') THEN 'procedural'
+    WHEN contains(t, 'and then') OR contains(t, 'because') OR contains(t, 'after that') OR contains(t, 'compare') OR contains(t, ' vs ') OR regexp_matches(t, '\bbetween\s+\S+\s+and\s+\S+') OR len(w) > 25 THEN 'multi_hop' ELSE 'default' END AS class
+    FROM (SELECT item_id AS query_id, lower(text) AS t, regexp_extract_all(lower(text), '\S+') AS w FROM benchmark)""",
 )
 def query_classes(spark, sf) -> DataFrame:
     return m.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), e.query_class(F.col("text")).alias("class"))

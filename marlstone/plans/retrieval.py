@@ -74,7 +74,7 @@ def tier_tag_prefix(spark, sf) -> DataFrame:
 PARTS = """pt AS (SELECT p_partkey AS doc_id, '/parts/' || lower(replace(p_brand, '#', '')) || '/' || lower(split_part(p_name, ' ', 1)) || '.md' AS source_id,
   lower(p_type) AS p_type, lower(p_name) AS p_name FROM part),
 pq AS (SELECT DISTINCT c_custkey % 40 AS query_id, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || replace(p_brand, '#', '')), '[^\\p{L}\\p{N}]+')) AS term
-  FROM part JOIN customer ON p_partkey = c_custkey WHERE p_partkey <= 400)"""
+  FROM part JOIN customer ON p_partkey = c_custkey)"""
 
 
 def _parts(spark, sf) -> DataFrame:
@@ -88,7 +88,7 @@ def _parts(spark, sf) -> DataFrame:
 
 
 def _part_terms(spark, sf) -> DataFrame:
-    p = m.table(spark, sf, "part").where("p_partkey <= 400").join(m.table(spark, sf, "customer"), F.col("p_partkey") == F.col("c_custkey"))
+    p = m.table(spark, sf, "part").join(m.table(spark, sf, "customer"), F.col("p_partkey") == F.col("c_custkey"))
     words = fx.tokens(F.concat_ws(" ", "p_name", "p_type", F.translate("p_brand", "#", "")))
     return p.select((F.col("c_custkey") % 40).alias("query_id"), F.explode(words).alias("term")).distinct()
 
@@ -109,10 +109,10 @@ def tier_path_key(spark, sf) -> DataFrame:
 
 @query(
     "path_key_compaction",
-    f"WITH {PK} SELECT doc_id, path_token, kv_key FROM (SELECT *, count(*) OVER (PARTITION BY path_token, kv_key) AS c FROM pk) WHERE c <= 100",
+    f"WITH {PK} SELECT doc_id, path_token, kv_key FROM (SELECT *, count(*) OVER (PARTITION BY path_token, kv_key) AS c FROM pk) WHERE c <= 200",
 )
 def path_key_compaction(spark, sf) -> DataFrame:
-    return index.compact_path_keys(index.path_keys(_parts(spark, sf)), 100).select("doc_id", "path_token", "kv_key")
+    return index.compact_path_keys(index.path_keys(_parts(spark, sf)), 200).select("doc_id", "path_token", "kv_key")
 
 
 @query(
@@ -204,11 +204,11 @@ def tier_entity_graph(spark, sf) -> DataFrame:
     return tiers.entity_graph(tiers.top(_bm25(spark, sf), 100), entities, m.query_terms(spark, sf))
 
 
-CAND = "cand AS (SELECT DISTINCT o_custkey % 50 AS query_id, l_partkey AS doc_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey % 20 = 1)"
+CAND = "cand AS (SELECT DISTINCT o_custkey % 50 AS query_id, l_partkey AS doc_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"
 
 
 def _candidates(spark, sf):
-    o = m.table(spark, sf, "orders").where("o_orderkey % 20 = 1").select("o_orderkey", (F.col("o_custkey") % 50).alias("query_id"))
+    o = m.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("query_id"))
     return m.table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("query_id", F.col("l_partkey").alias("doc_id")).distinct()
 
 
@@ -223,25 +223,24 @@ def tier_edge_boost(spark, sf) -> DataFrame:
 
 @query(
     "tenant_visibility",
-    """SELECT p_partkey AS doc_id, o.party_id FROM part LEFT JOIN (SELECT l_partkey, min(c_nationkey) AS party_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    WHERE o_orderkey % 50 = 0 GROUP BY 1) o ON p_partkey = l_partkey WHERE party_id = 3 OR party_id IS NULL""",
+    """SELECT p_partkey AS doc_id, o.party_id FROM part LEFT JOIN (SELECT l_partkey, min(c_nationkey) AS party_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1) o ON p_partkey = l_partkey WHERE party_id = 3 OR party_id IS NULL""",
 )
 def tenant_visibility(spark, sf) -> DataFrame:
-    orders = m.table(spark, sf, "orders").where("o_orderkey % 50 = 0").join(m.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    orders = m.table(spark, sf, "orders").join(m.table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
     owned = m.table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("l_partkey").alias("doc_id")).agg(F.min("c_nationkey").alias("party_id"))
     return tiers.visible(m.table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id")), owned, 3).select("doc_id", "party_id")
 
 
 # --- vectors ----------------------------------------------------------------------------------
 
-QV = "qv AS (SELECT vec_id AS query_id, embedding AS q, label AS qlabel FROM embeddings WHERE vec_id % 50 = 0)"
+QV = "qv AS (SELECT vec_id AS query_id, embedding AS q, label AS qlabel FROM embeddings WHERE vec_id % 100 = 0)"
 COS = "round_even(list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[]))), 6)"
 DENSE = f"{QV}, de AS (SELECT query_id, vec_id AS doc_id, {COS} AS score FROM embeddings, qv), der AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM de)"
 
 
 def _vectors(spark, sf):
     v = m.table(spark, sf, "embeddings")
-    return v.select(F.col("vec_id").alias("doc_id"), "embedding"), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return v.select(F.col("vec_id").alias("doc_id"), "embedding"), v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query("dense_topk", f"WITH {DENSE} SELECT query_id, doc_id, score, rank FROM der WHERE rank <= 10")

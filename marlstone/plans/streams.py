@@ -43,5 +43,5 @@ def stream_requeries(spark, sf) -> DataFrame:
 
 @query("stream_last_seen", f"WITH {m.LOG} SELECT session_id, round_even(max(ts), 3) AS last_seen, least(count(*), 100) AS held, count(*) AS total FROM ev GROUP BY 1")
 def stream_last_seen(spark, sf) -> DataFrame:
-    out = ev.run_available(ev.last_seen(_stream(spark, sf)), "update")
+    out = ev.run_available(ev.last_seen(_stream(spark, sf)), "update", ["session_id"])
     return out.select("session_id", F.bround("last_seen", 3).alias("last_seen"), "held", "total")

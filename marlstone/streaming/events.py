@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
-from marlstone.operators.graph import checkpointed  # noqa: F401  (sets the shared folder's default)
+from marlstone.operators.graph import shared_folder
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -25,35 +26,32 @@ def events_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), "event_type", "value", F.get_json_object("props", "$.k").cast("long").alias("doc_id"))
 
 
-def folder(spark: SparkSession) -> str:
-    import tempfile
-
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return f"{path.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over all available input and returns what it wrote.
 
-    Append goes to a Parquet sink; complete and update go through foreachBatch, of which the last
-    state of the table counts.
+    Append goes to a Parquet sink. Complete and update write a folder for each batch (written anew if
+    the batch is repeated): of complete the last counts, of update the last row of each of ``keys``.
     """
     spark = stream.sparkSession
-    base = folder(spark)
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).format("parquet").start(f"{base}/out")
         q.awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys of a row")
 
     def save(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}" if mode == "update" else f"{base}/out")
 
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(save).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("epoch", LongType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last"))
+    return last.select(*keys, "last.*").select(*stream.columns)
 
 
 def tumbling_sessions(stream: DataFrame, width: str = "300 seconds", late: str = "1 hour") -> DataFrame:
@@ -83,10 +81,16 @@ def error_stats(stream: DataFrame) -> DataFrame:
     return stream.groupBy("event_type").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 4).alias("total"))
 
 
-def last_seen(stream: DataFrame, keep: int = 100) -> DataFrame:
-    """State by session: the last time and how many of the last ``keep`` stamps are held (a ring buffer in state)."""
+def last_seen(stream: DataFrame, keep: int = 100, late: str = "60 days", idle_ms: int = 90 * 86_400_000) -> DataFrame:
+    """State by session: the last time and how many of the last ``keep`` stamps are held (a ring buffer in state).
+
+    A session's state goes once the watermark (``late`` behind) has passed its last event by ``idle_ms``.
+    """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         stamps = list(state.get[0]) if state.exists else []
         total = state.get[1] if state.exists else 0
         for batch in batches:
@@ -95,6 +99,7 @@ def last_seen(stream: DataFrame, keep: int = 100) -> DataFrame:
             total += len(found)
         stamps = sorted(stamps)[-keep:]
         state.update((stamps, total))
+        state.setTimeoutTimestamp(max(int(stamps[-1] * 1000), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame({"session_id": [key[0]], "last_seen": [stamps[-1]], "held": [len(stamps)], "total": [total]})
 
-    return stream.groupBy("session_id").applyInPandasWithState(update, "session_id long, last_seen double, held long, total long", "stamps array<double>, total long", "update", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(update, "session_id long, last_seen double, held long, total long", "stamps array<double>, total long", "update", GroupStateTimeout.EventTimeTimeout)

@@ -67,10 +67,69 @@ def test_cosine_of_zero_vector_is_zero(spark):
 
 def test_chain_with_a_cycle_stops(spark):
     v = spark.createDataFrame([(1, None), (2, 1), (3, 2), (7, 8), (8, 7)], "id long, supersedes long")
-    out = {r.id: (r.head, r.steps) for r in graph.chain(spark, v).collect()}
+    out = {r.id: (r.head, r.steps) for r in graph.chain(v).collect()}
     assert out[3] == (1, 2) and out[1] == (1, 0) and out[7] == (8, 1)
 
 
+def test_chain_equals_a_plain_walk(spark):
+    rng = random.Random(8)
+    for most in (32, 5):
+        rows = [(i, rng.choice([None, i - 1, rng.randrange(400), i])) for i in range(1, 400)] + [(1000 + i, 1000 + i - 1) for i in range(80)]
+        nxt = dict(rows)
+
+        def walk(i):
+            at = i
+            for k in range(most):
+                if (n := nxt.get(at)) is None or n in (at, i):
+                    return at, k
+                at = n
+            return at, most
+
+        out = {r.id: (r.head, r.steps) for r in graph.chain(spark.createDataFrame(rows, "id long, supersedes long"), most).collect()}
+        assert out == {i: walk(i) for i in nxt}
+
+
+def test_update_mode_keeps_all_batches(spark, tmp_path):
+    """Four files, one a trigger: the merged rows equal those of one batch over all."""
+    from marlstone.streaming import events as ev
+
+    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet").orderBy("ts").toPandas()
+    cut = -(-len(table) // 4)
+    for k in range(4):
+        spark.createDataFrame(table.iloc[k * cut : (k + 1) * cut], ev.EVENTS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    stream = lambda n: ev.last_seen(ev.events_stream(spark, f"{tmp_path}/events", n))
+    many, one = (sorted(map(tuple, ev.run_available(stream(n), "update", ["session_id"]).collect())) for n in (1, 1000))
+    assert many == one and len(many) == table["user_id"].nunique()
+
+
+def test_status_and_risk_of_tasks(spark):
+    row = [(0.72, "primary", False, 0.9), (0.5, "primary", False, 0.9), (0.3, "primary", False, 0.9), (0.9, "inferred", False, 0.9), (None, "primary", False, 0.9), (0.9, "primary", True, 0.9), (0.9, "primary", False, 0.2)]
+    df = spark.createDataFrame(row, "fresh double, authority string, invalid boolean, coordinate double")
+    of = lambda task: [r[0] for r in df.select(evidence.status(F.col("fresh"), task, F.col("coordinate"), F.col("authority"), F.col("invalid"))).collect()]
+    assert of("edit") == ["verified", "stale_risk", "needs_refresh", "needs_refresh", "needs_refresh", "needs_refresh", "needs_refresh"]
+    assert of("review") == ["verified", "stale_risk", "stale_risk", "stale_risk", "stale_risk", "needs_refresh", "stale_risk"]
+    assert of("explain") == ["verified", "verified", "stale_risk", "stale_risk", "stale_risk", "needs_refresh", "stale_risk"]
+    risk = df.limit(1).select(evidence.action_risk(F.col("fresh"), "edit", F.lit(False)).alias("a"), evidence.action_risk(F.col("fresh"), "plan", F.lit(False)).alias("b")).first()
+    assert abs(risk.a - (0.85 * 0.28 + 0.15)) < 1e-6 and abs(risk.b - 0.3 * 0.28) < 1e-6
+
+
+def test_query_classes(spark):
+    texts = ["calculate the total of it", "5 + 3 * 2", "a-b only", "Who wrote it?", "who " + "x " * 20, "how do I start", "compare both", "between a and b it lies", "w " * 26, "plain words", "", None]
+    want = ["arithmetic", "arithmetic", "default", "factual", "default", "procedural", "multi_hop", "multi_hop", "multi_hop", "default", "default", "default"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r.c for r in df.select("i", evidence.query_class(F.col("t")).alias("c")).orderBy("i").collect()] == want
+
+
+def test_know_or_miss_order(spark):
+    df = spark.createDataFrame([(0, 0.9), (1, 0.9), (1, 0.5)], "found int, conf double")
+    of = lambda *flags: [r[0] for r in df.select(evidence.know_or_miss(F.col("found"), F.col("conf"), *map(F.lit, flags))).collect()]
+    assert of(False, False, False, False, False) == ["no_promoter_match", "know", "sparse"]
+    assert of(False, False, False, False, True) == ["no_promoter_match", "know", "cold"]
+    assert of(False, False, True, True, True) == ["no_promoter_match", "superseded", "superseded"]
+    assert of(True, True, True, True, True) == ["abstain"] * 3
+    assert evidence.monotonicity_violations({"b0": -1, "score": -1.14, "gap": 0}) == ["score"]
+
+
 def test_pagerank_equals_power_iteration(spark):
     rng = random.Random(2)
     e = sorted({(rng.randrange(12), rng.randrange(12)) for _ in range(40)} - {(i, i) for i in range(12)})
