@@ -9,8 +9,9 @@ from marlstone.functions import text as fx
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:
-    """(doc_id, term, tf)."""
-    return docs.select(doc_id, F.explode(fx.tokens(F.col(content))).alias("term")).groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
+    """(doc_id, dl, term, tf): the terms of each document, how often it has them, and its length in terms."""
+    words = docs.select(doc_id, fx.tokens(F.col(content)).alias("w")).select(doc_id, F.size("w").cast("long").alias("dl"), F.explode("w").alias("term"))
+    return words.groupBy(doc_id, "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_stats(docs: DataFrame, doc_id: str = "doc_id", content: str = "content") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
+from marlstone.operators import index
 
 #: Query terms up to which they are broadcast.
 BROADCAST_TERMS = 500_000
@@ -26,22 +27,26 @@ def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", d
 
 
 def bm25(terms: DataFrame, docs: DataFrame, k1: float = 1.2, b: float = 0.75, idf: DataFrame | None = None) -> DataFrame:
-    """BM25 over documents; idf = ln((N - n + .5) / (n + .5)), at least 1e-6, or given as (term, idf).
+    """``bm25_of`` an index built of ``docs(doc_id, content)`` for this call."""
+    return bm25_of(terms, index.postings(docs), index.doc_stats(docs), k1, b, idf)
 
-    The tokens of each document are filtered to query terms by a map-side join before any shuffle;
-    lengths come from the same row, so documents are tokenised once.
+
+def bm25_of(terms: DataFrame, postings: DataFrame, lengths: DataFrame, k1: float = 1.2, b: float = 0.75, idf: DataFrame | None = None) -> DataFrame:
+    """BM25 by an index (``postings(doc_id, dl, term, tf)``, ``lengths(doc_id, dl)``); idf = ln((N - n + .5) / (n + .5)),
+    at least 1e-6, or given as (term, idf).
+
+    Postings are filtered to query terms where they are read; the only shuffle of them is that of the scores.
     """
-    wanted = terms_side(terms.select("term").distinct())
-    words = docs.select("doc_id", fx.tokens(F.col("content")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
-    hits = words.join(wanted, "term").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = docs.select(F.size(fx.tokens(F.col("content"))).alias("dl")).agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
+    hits = postings.join(terms_side(terms.select("term").distinct()), "term")
+    stats = lengths.agg(F.count("*").alias("total"), F.avg("dl").alias("avgdl"))
     if idf is None:
         n = F.col("n")
         counts = hits.groupBy("term").agg(F.count("*").alias("n"))
         idf = counts.join(F.broadcast(stats.select("total"))).select("term", F.greatest(F.log((F.col("total") - n + 0.5) / (n + 0.5)), F.lit(1e-6)).alias("idf"))
+    worth = terms.join(idf, "term")  # one row a query and term
     norm = F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))
-    weighed = hits.join(idf, "term").join(F.broadcast(stats.select("avgdl"))).select("term", "doc_id", (F.col("idf") * F.col("tf") * (k1 + 1) / norm).alias("s"))
-    return weighed.join(terms_side(terms), "term").groupBy("query_id", "doc_id").agg(fx.round6(F.sum("s")).alias("score"))
+    weighed = postings.join(terms_side(worth), "term").join(F.broadcast(stats.select("avgdl")))
+    return weighed.groupBy("query_id", "doc_id").agg(fx.round6(F.sum(F.col("idf") * F.col("tf") * (k1 + 1) / norm)).alias("score"))
 
 
 def tag_exact(terms: DataFrame, tags: DataFrame, weight: float = 3.0) -> DataFrame:

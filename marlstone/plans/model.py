@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
 from marlstone.operators import index
+from marlstone.operators.graph import checkpointed
 
 #: The time at which time-dependent operators look at the data (seconds).
 NOW = 1_710_000_000.0
@@ -36,8 +37,32 @@ DOCS = f"""d AS (SELECT doc_id, text AS content, source AS shard, lang, n_chars,
   (doc_id % 23)::INT AS access_count FROM documents)"""
 
 
+_BUILT: dict[tuple, DataFrame] = {}
+
+
+def built(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """The index ``name`` over the documents of ``sf_dir``: written to the shared folder when first asked for, then read.
+
+    Kept by session and input files; ``forget`` drops it when files are replaced in place.
+    """
+    key = (spark.sparkContext.applicationId, name, tuple(sorted(table(spark, sf_dir, "documents").inputFiles())))
+    if key not in _BUILT:
+        _BUILT[key] = checkpointed(make())
+    return _BUILT[key]
+
+
+def forget() -> None:
+    _BUILT.clear()
+
+
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.postings(documents(spark, sf_dir))
+    """(doc_id, dl, term, tf) of all documents, in order of terms."""
+    return built(spark, sf_dir, "postings", lambda: index.postings(documents(spark, sf_dir)).sortWithinPartitions("term"))
+
+
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, dl) of all documents."""
+    return built(spark, sf_dir, "lengths", lambda: index.doc_stats(documents(spark, sf_dir)))
 
 
 TOKENS = r"tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(content, '')), '[^\p{L}\p{N}]+')) AS term FROM d)"
@@ -48,7 +73,7 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains (language, shard) and entities (distinct words of 10 to 13 letters) of each document."""
     docs = documents(spark, sf_dir)
     words = F.filter(F.array_distinct(fx.tokens(F.col("content"))), lambda w: F.length(w).between(10, 13))
-    return index.tags(docs.select("doc_id", F.array("lang", "shard").alias("domains"), words.alias("entities")))
+    return built(spark, sf_dir, "tags", lambda: index.tags(docs.select("doc_id", F.array("lang", "shard").alias("domains"), words.alias("entities"))))
 
 
 TAGS = f"""{POSTINGS}, tags AS (SELECT doc_id, 'domain' AS tag_type, lang AS tag_value FROM d UNION ALL SELECT doc_id, 'domain', shard FROM d

@@ -23,7 +23,7 @@ bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 def _bm25(spark, sf):
-    return tiers.bm25(m.query_terms(spark, sf), m.documents(spark, sf))
+    return tiers.bm25_of(m.query_terms(spark, sf), m.postings(spark, sf), m.lengths(spark, sf))
 
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM bmr WHERE rank <= {DEPTH}")

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = [
     "flagship_retrieval", "bm25_topk", "tier_tag_prefix", "tier_path_key", "dense_topk", "ann_gate", "fusion_rrf_gated", "rerank_fused_tier", "shard_merge", "successor_representation",
-    "entity_auto_links", "edge_evidence", "supersedes_chain", "claim_clusters", "bucket_gap", "feature_correlations", "sliding_access_rate", "evidence_packet", "know_miss", "spectrum_resonance",
+    "entity_auto_links", "edge_evidence", "supersedes_chain", "path_key_compaction", "packet_status", "live_truth", "query_classes", "tier_edge_boost", "tenant_visibility", "stream_last_seen", "bucket_gap", "feature_correlations", "sliding_access_rate", "evidence_packet", "know_miss", "spectrum_resonance",
     "eval_auc", "document_upsert", "snapshot_merge_newest", "symbol_graph", "claim_edges", "stream_requeries", "stream_tumbling_sessions", "path_functions", "attribution_join", "head_rerank",
 ]
 NAMES = sorted(registry.ORACLE) if os.environ.get("MARLSTONE_ALL") else SOME
