@@ -122,6 +122,69 @@ def claims(docs: DataFrame) -> DataFrame:
     return rows.select(F.substring(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "claim_type", "entity_key").cast("binary")), 1, 16).alias("claim_id"), "doc_id", "claim_type", "entity_key", text.alias("claim_text"))
 
 
+# What is a literal claim in a line of code, configuration, notes or results.
+DEFINITION = r"^\s*(?:def|class|async\s+def)\s+([A-Za-z_]\w*)\s*[\(:]"
+CONSTANT = r"^([A-Z][A-Z0-9_]{2,})\s*=\s*([^\n]+)$"
+HEADER = r"^(#{1,2})\s+([^\n]+)$"
+PORT = r"(?i)\bport[\s:=]+(\d{2,5})\b"
+PAIR = r"^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$"
+LONGEST, LONGEST_RESULT = 200, 120
+
+
+def literal_claims(docs: DataFrame) -> DataFrame:
+    """(claim_id, doc_id, claim_type, entity_key, claim_text, specificity, confidence) stated in so many words.
+
+    ``docs(doc_id, content, source_kind, source_id, key_values)``. Every document's key values give
+    config values. Code gives its definitions and constants, config its unindented pairs, benchmark
+    the pairs whose value holds a digit, doc its headers of the first two levels and ports. Equal
+    claims of a document count once; the id is a hash of what is claimed.
+    """
+    claim = lambda kind, key, text, specificity, confidence: F.struct(kind.alias("claim_type") if isinstance(kind, Column) else F.lit(kind).alias("claim_type"), key.alias("entity_key"), text.alias("claim_text"), F.lit(specificity).alias("specificity"), F.lit(confidence).alias("confidence"))
+    part = lambda x, pattern, k: F.regexp_extract(x, pattern, k)
+    lines = F.split(F.coalesce("content", F.lit("")), "\n")
+    none = F.lit(None).cast("struct<claim_type:string,entity_key:string,claim_text:string,specificity:double,confidence:double>")
+
+    def pair(x: Column, kind: str, longest: int, confidence: float, value: Column | None = None) -> Column:
+        value = F.trim(part(x, PAIR, 2)) if value is None else value
+        text = F.concat(part(x, PAIR, 1), F.lit(" = "), value)
+        return F.when(x.rlike(PAIR) & (value != "") & (F.length(value) <= longest), claim(kind, part(x, PAIR, 1), text, 1.0, confidence)).otherwise(none)
+
+    def of_code(x: Column) -> Column:
+        name, value = part(x, CONSTANT, 1), F.trim(part(x, CONSTANT, 2))
+        where = F.concat(part(x, DEFINITION, 1), F.lit(" defined in "), F.coalesce("source_id", F.col("doc_id").cast("string")))
+        defined = claim("api_contract", part(x, DEFINITION, 1), where, 0.9, 0.95)
+        constant = F.when(x.rlike(CONSTANT) & (F.length(value) <= LONGEST), claim("config_value", name, F.concat(name, F.lit(" = "), value), 1.0, 0.95))
+        return F.when(x.rlike(DEFINITION), defined).otherwise(F.coalesce(constant, none))
+
+    def of_config(x: Column) -> Column:
+        value = F.regexp_replace(F.regexp_replace(F.trim(part(x, PAIR, 2)), r'^"+|"+$', ""), r"^'+|'+$", "")
+        return F.when(~x.rlike(r"^[ \t#;]"), pair(x, "config_value", LONGEST, 0.95, value)).otherwise(none)
+
+    def of_doc(x: Column) -> Column:
+        title = F.trim(part(x, HEADER, 2))
+        return F.when(x.rlike(HEADER) & (F.length(title) <= LONGEST), claim("operational_state", F.substring(title, 1, 64), F.concat(F.lit("section: "), title), 0.7, 0.8)).otherwise(none)
+
+    kind = F.col("source_kind")
+    ports = F.transform(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(PORT), F.lit(1)), lambda p: claim("path_value", F.concat(F.lit("port:"), p), F.concat(F.lit("port "), p), 1.0, 0.9))
+    result = lambda x: F.when(part(x, PAIR, 2).rlike(r"\d"), pair(x, "benchmark_result", LONGEST_RESULT, 0.9)).otherwise(none)
+    stated = F.when(kind == "code", F.transform(lines, of_code)).when(kind == "config", F.transform(lines, of_config)).when(kind == "doc", F.concat(F.transform(lines, of_doc), ports)).when(kind == "benchmark", F.transform(lines, result))
+    known = F.transform(F.coalesce("key_values", F.array().cast("array<string>")), lambda x: pair(x, "config_value", 1 << 30, 0.95))
+    every = F.filter(F.concat(known, F.coalesce(stated, F.array().cast("array<struct<claim_type:string,entity_key:string,claim_text:string,specificity:double,confidence:double>>"))), lambda c: c.isNotNull())
+    rows = docs.select("doc_id", F.inline(F.array_distinct(every)))
+    mark = F.concat_ws("|", F.col("doc_id").cast("string"), "claim_type", "entity_key", "claim_text")
+    rows = rows.select(F.substring(F.sha1(mark.cast("binary")), 1, 16).alias("claim_id"), "doc_id", "claim_type", "entity_key", "claim_text", "specificity", "confidence")
+    return rows.dropDuplicates(["claim_id"])
+
+
+def entity_keys(text: Column) -> Column:
+    """What a claim is about: file paths, URLs, ports, names in capitals, and the key of a pair, in that order, each once."""
+    find = lambda pattern, k=0: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    paths = find(r"((?:[A-Za-z]:[\\/])?(?:[\w./\\-]+[\\/])+[\w./\\-]+\.[A-Za-z][A-Za-z0-9]{0,5})")
+    ports = F.transform(find(PORT, 1), lambda p: F.concat(F.lit("port:"), p))
+    key = F.when(text.rlike(PAIR), F.array(F.regexp_extract(text, PAIR, 1))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(paths, find(r"(?i)(\bhttps?://[\w.\-/:]+)"), ports, find(r"\b([A-Z][A-Z0-9_]{3,})\b"), key))
+
+
 def claim_edges(rows: DataFrame, same: float = 0.8, different: float = 0.3, most: int = 50) -> DataFrame:
     """Edges of claims of one entity key in different documents: supersedes / duplicates from Jaccard ``same`` on, contradicts up to ``different``.
 

@@ -62,7 +62,7 @@ def snapshot_diff(spark, sf) -> DataFrame:
     return mt.snapshot_diff(*_snapshots(spark, sf))
 
 
-@query("edge_upsert", f"WITH {m.EDGES}, n AS (SELECT a, b + 1 AS b, weight + 10 AS weight FROM edges WHERE a % 3 = 0) SELECT coalesce(e.a, n.a) AS a, coalesce(e.b, n.b) AS b, coalesce(n.weight, e.weight) AS weight FROM edges e FULL JOIN n ON e.a = n.a AND e.b = n.b")
+@query("edge_upsert", f"WITH {m.EDGES}, u AS (SELECT a, b, weight, 0 AS p FROM edges UNION ALL SELECT a, b + 1, weight + 10, 1 FROM edges WHERE a % 3 = 0) SELECT a, b, arg_max(weight, p) AS weight FROM u GROUP BY a, b")
 def edge_upsert(spark, sf) -> DataFrame:
     e = m.edges(spark, sf)
     return mt.merge_edges(e, e.where("a % 3 = 0").select("a", (F.col("b") + 1).alias("b"), (F.col("weight") + 10).alias("weight")))
@@ -131,6 +131,38 @@ def claim_extraction(spark, sf) -> DataFrame:
     return mt.claims(m.documents(spark, sf))
 
 
+NOTES = """notes AS (SELECT doc_id, ['code', 'config', 'doc', 'benchmark', 'other'][(doc_id % 5 + 1)::INT] AS source_kind, ['lang=' || lang, 'size: ' || n_chars, 'no pair'] AS key_values,
+  CASE doc_id % 5 WHEN 0 THEN 'import os' || chr(10) || 'def load_' || doc_id || '(x):' || chr(10) || 'MAX_SIZE = ' || n_chars || chr(10) || '  class Inner' || doc_id % 7 || ':' WHEN 1 THEN 'name = "' || lang || '"' || chr(10) || '  inner = 1' || chr(10) || '# off = 2' || chr(10) || 'limit: ' || n_chars
+  WHEN 2 THEN '# Title ' || doc_id || chr(10) || '### Deep' || chr(10) || 'listens on port ' || 8000 + doc_id % 50 || ' here' WHEN 3 THEN 'recall@10: 0.' || doc_id || chr(10) || 'recall: 0.' || doc_id || chr(10) || 'model = plain' ELSE 'def nothing():' END AS content FROM documents)"""
+
+
+@query(
+    "literal_claims",
+    rf"""WITH {NOTES}, l AS (SELECT doc_id, source_kind, unnest(string_split(content, chr(10))) AS x FROM notes),
+    c AS (SELECT doc_id, 'config_value' AS claim_type, regexp_extract(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$', 1) AS entity_key, regexp_extract(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$', 2) AS v, 1.0::DOUBLE AS specificity, 0.95::DOUBLE AS confidence FROM (SELECT doc_id, unnest(key_values) AS x FROM notes) WHERE regexp_matches(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$')
+      UNION ALL SELECT doc_id, 'config_value', regexp_extract(x, '^([A-Z][A-Z0-9_]{{2,}})\s*=\s*(.+)$', 1), regexp_extract(x, '^([A-Z][A-Z0-9_]{{2,}})\s*=\s*(.+)$', 2), 1.0, 0.95 FROM l WHERE source_kind = 'code' AND regexp_matches(x, '^([A-Z][A-Z0-9_]{{2,}})\s*=\s*(.+)$')
+      UNION ALL SELECT doc_id, 'config_value', regexp_extract(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$', 1), trim(regexp_extract(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$', 2), '"'), 1.0, 0.95 FROM l WHERE source_kind = 'config' AND NOT regexp_matches(x, '^[ \t#;]') AND regexp_matches(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$')
+      UNION ALL SELECT doc_id, 'benchmark_result', regexp_extract(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$', 1), regexp_extract(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.+?)\s*$', 2), 1.0, 0.9 FROM l WHERE source_kind = 'benchmark' AND regexp_matches(x, '^\s*([A-Za-z_][\w.-]*)\s*[:=]\s*(.*\d.*?)\s*$')),
+    s AS (SELECT doc_id, claim_type, entity_key, entity_key || ' = ' || v AS claim_text, specificity, confidence FROM c
+      UNION ALL SELECT doc_id, 'api_contract', regexp_extract(x, '^\s*(?:def|class|async\s+def)\s+([A-Za-z_]\w*)\s*[\(:]', 1), regexp_extract(x, '^\s*(?:def|class|async\s+def)\s+([A-Za-z_]\w*)\s*[\(:]', 1) || ' defined in /n/' || doc_id, 0.9, 0.95 FROM l WHERE source_kind = 'code' AND regexp_matches(x, '^\s*(?:def|class|async\s+def)\s+([A-Za-z_]\w*)\s*[\(:]')
+      UNION ALL SELECT doc_id, 'operational_state', substr(regexp_extract(x, '^(#{{1,2}})\s+(.+)$', 2), 1, 64), 'section: ' || regexp_extract(x, '^(#{{1,2}})\s+(.+)$', 2), 0.7, 0.8 FROM l WHERE source_kind = 'doc' AND regexp_matches(x, '^(#{{1,2}})\s+(.+)$')
+      UNION ALL SELECT doc_id, 'path_value', 'port:' || regexp_extract(x, '(?i)\bport[\s:=]+(\d{{2,5}})\b', 1), 'port ' || regexp_extract(x, '(?i)\bport[\s:=]+(\d{{2,5}})\b', 1), 1.0, 0.9 FROM l WHERE source_kind = 'doc' AND regexp_matches(x, '(?i)\bport[\s:=]+(\d{{2,5}})\b'))
+    SELECT DISTINCT doc_id, claim_type, entity_key, claim_text, specificity, confidence FROM s""",
+)
+def literal_claims(spark, sf) -> DataFrame:
+    """Claims of notes of four kinds, made up from each document's id, language and length."""
+    d, n = F.col("doc_id"), F.lit("\n")
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    code = F.concat(text("import os"), n, text("def load_", d, "(x):"), n, text("MAX_SIZE = ", F.col("n_chars")), n, text("  class Inner", d % 7, ":"))
+    config = F.concat(text('name = "', F.col("lang"), '"'), n, text("  inner = 1"), n, text("# off = 2"), n, text("limit: ", F.col("n_chars")))
+    doc = F.concat(text("# Title ", d), n, text("### Deep"), n, text("listens on port ", 8000 + d % 50, " here"))
+    bench = F.concat(text("recall@10: 0.", d), n, text("recall: 0.", d), n, text("model = plain"))
+    kinds = F.element_at(F.array(*map(F.lit, ("code", "config", "doc", "benchmark", "other"))), (d % 5 + 1).cast("int"))
+    content = F.when(d % 5 == 0, code).when(d % 5 == 1, config).when(d % 5 == 2, doc).when(d % 5 == 3, bench).otherwise("def nothing():")
+    notes = m.table(spark, sf, "documents").select("doc_id", kinds.alias("source_kind"), content.alias("content"), text("/n/", d).alias("source_id"), F.array(text("lang=", F.col("lang")), text("size: ", F.col("n_chars")), F.lit("no pair")).alias("key_values"))
+    return mt.literal_claims(notes).drop("claim_id")
+
+
 @query(
     "claim_edges",
     rf"""WITH {m.DOCS}, {CL}, cx AS (SELECT claim_id, doc_id, entity_key, list_distinct(list_filter(regexp_split_to_array(lower(CASE WHEN doc_id % 3 = 0 THEN claim_text ELSE claim_text || ' seen in ' || doc_id END), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS w, (doc_id % 5)::DOUBLE AS t FROM cc),
