@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
+from marlstone.operators.running import running
 
 # Time constants by volatility (seconds), authority and specificity scores.
 TAU = {"stable": 7 * 86400.0, "medium": 12 * 3600.0, "hot": 15 * 60.0}
@@ -224,11 +225,11 @@ def circular_w1(a: Column, b: Column) -> Column:
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the curve of (score, label) with average ranks for ties, from per-score counts: no global sort of rows.
 
-    Scores are grouped first; the running count goes over distinct scores (round the score to bound them).
+    Scores are grouped first; the running count over distinct scores goes by ranges of them.
     """
     g = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum("label").alias("pos"))
-    before = F.sum("n").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
-    g = g.withColumn("rank", F.coalesce(before, F.lit(0)) + (F.col("n") + 1) / 2)
+    g = running(g, [F.asc("score")], {"upto": F.col("n")})
+    g = g.withColumn("rank", F.col("upto") - F.col("n") + (F.col("n") + 1) / 2)
     p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
     return g.agg(fx.round6((F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2) / (p * n)).alias("auc"), p.cast("long").alias("positives"), n.cast("long").alias("negatives"))
 

@@ -61,8 +61,10 @@ def symbol_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
 
 def touched(docs: DataFrame, accesses: DataFrame, keep: int = 100) -> DataFrame:
     """Usage signals after an access log: count, last access, decay (+.1 each, 1 at most), the last ``keep`` times, lifecycle open."""
-    a = accesses.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"), F.slice(F.sort_array(F.collect_list("ts"), False), 1, keep).alias("recent"))
-    j = docs.join(a, "doc_id", "left")
+    a = accesses.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
+    w = Window.partitionBy("doc_id").orderBy(F.desc("ts"))  # cut before the shuffle, then gathered: ``keep`` rows a document at most
+    latest = accesses.select("doc_id", "ts").withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= keep)
+    j = docs.join(a, "doc_id", "left").join(latest.groupBy("doc_id").agg(F.sort_array(F.collect_list("ts"), False).alias("recent")), "doc_id", "left")
     n = F.coalesce("n", F.lit(0))
     return j.select("doc_id", (F.col("access_count") + n).alias("access_count"), F.col("last").alias("last_accessed"), fx.round6(F.least(F.lit(1.0), F.col("decay") + 0.1 * n)).alias("decay"), F.size(F.coalesce("recent", F.array().cast("array<double>"))).alias("recent"), F.when(n > 0, 0).otherwise(F.col("lifecycle")).alias("lifecycle"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
+from marlstone.operators.running import running
 from marlstone.operators import tiers
 
 
@@ -85,7 +86,6 @@ def calibration(rows: DataFrame, features: list[str], label: str = "label", ridg
 def risk_coverage(rows: DataFrame, points: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
     """Error rate among the most confident share of (score, label) rows, ties together: (coverage, risk, n)."""
     g = rows.groupBy("score").agg(F.count("*").alias("n"), F.sum(1 - F.col("label")).alias("wrong"))
-    w = Window.orderBy(F.desc("score"))
-    g = g.withColumn("cn", F.sum("n").over(w)).withColumn("cw", F.sum("wrong").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(1))))
-    p = g.select("cn", "cw", "all", F.explode(F.array(*map(F.lit, points))).alias("coverage")).where(F.col("cn") >= F.col("coverage") * F.col("all"))
+    g = running(g, [F.desc("score")], {"cn": F.col("n"), "cw": F.col("wrong")})
+    p = g.join(F.broadcast(g.agg(F.max("cn").alias("all")))).select("cn", "cw", "all", F.explode(F.array(*map(F.lit, points))).alias("coverage")).where(F.col("cn") >= F.col("coverage") * F.col("all"))
     return p.groupBy("coverage").agg(F.min_by("cw", "cn").alias("w"), F.min("cn").alias("n")).select("coverage", fx.round6(F.col("w") / F.col("n")).alias("risk"), "n")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import graph
+from marlstone.operators.running import running
 from marlstone.plans import model as m
 from marlstone.registry import query
 
@@ -109,7 +110,7 @@ ret AS (SELECT p_partkey AS doc_id, row_number() OVER (ORDER BY p_retailprice DE
 def edge_evidence(spark, sf) -> DataFrame:
     state = m.edges(spark, sf).select("a", "b", F.least(F.col("weight") / 3.0, F.lit(1.0)).alias("weight"), F.when((F.col("a") + F.col("b")) % 2 == 0, "seeded").otherwise("observed").alias("source"), (F.col("a") % 5).cast("int").alias("co_count"), (F.col("b") % 4).cast("double").alias("miss_count"))
     hits = m.table(spark, sf, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("doc_id"), "p_retailprice")
-    got = hits.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("p_retailprice"), F.asc("doc_id")))).select("doc_id", "rank")
+    got = running(hits, [F.desc("p_retailprice"), F.asc("doc_id")], {"rank": F.lit(1)}).select("doc_id", "rank")
     return graph.edge_evidence(state, got, 20, prune=0.2)
 
 
