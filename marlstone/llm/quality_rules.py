@@ -19,10 +19,12 @@ from .common import let, unused
 #: White space that separates words.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[^#*$%&|<>]+"
-#: Lines with one of these phrases are boilerplate (fixed values).
+#: Lines with one of these phrases are boilerplate (fixed values); each phrase holds one of the keys, so a text without one needs no search.
+PHRASE_KEYS = ["rights reserved", "licensed under", "terms of", "privacy policy", "cookie", "sign in", "sign up", "log in", "login", "subscribe", "newsletter", "click here", "read more", "share this", "javascript"]
 BOILERPLATE = r"(?i)\b(all rights reserved|licensed under|terms of (use|service)|privacy policy|cookie (policy|settings)|accept (all )?cookies|sign (in|up)|log ?in|subscribe|newsletter|click here|read more|share this|javascript)\b"
 #: Marks that end a sentence or a line, and marks that stand in one (fixed values).
-ENDED = r"[.!?…:;。！？؟।\"»”’')\]][\x20\x09-\x0D]*\z"
+ENDS = ".!?…:;。！？؟।\"»”’')]"
+BLANKS = " \t\n\x0b\x0c\r"
 MARKED = r"[.,!?…:;。、，！？؟।\"»”’')\]]"
 WINDOW = 8
 MIN_WORDS = 20
@@ -80,14 +82,14 @@ def _repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= WINDOW, let(hashes(w), count)).otherwise(F.lit(0).cast("long")))
 
 
-def line_fails(line: Column, rules: Rules = RULES) -> Column:
-    """Whether a line of words fails by itself."""
+def line_fails(line: Column, phrases: Column, rules: Rules = RULES) -> Column:
+    """Whether a line of words fails by itself; ``phrases`` says if boilerplate has to be looked for."""
     chars = F.length(line)
     symbols = chars - F.length(F.regexp_replace(line, r"[#*$%&|<>~^_=+]+", ""))
     pipes = chars - F.length(F.regexp_replace(line, r"[|>»•·]+", ""))
     letters = F.length(F.regexp_replace(line, r"\P{L}+", ""))
     upper = F.length(F.regexp_replace(line, r"\P{Lu}+", ""))
-    phrases = F.size(F.regexp_extract_all(line, F.lit(BOILERPLATE), F.lit(0)))
+    found = F.size(F.regexp_extract_all(line, F.lit(BOILERPLATE), F.lit(0)))
 
     def monotone(w: Column) -> Column:
         return ((F.size(w) >= rules.few_words) & (F.size(F.array_distinct(w)) * rules.few_in < F.size(w))) | ((F.size(w) >= rules.unmarked_words) & ~line.rlike(MARKED))
@@ -95,25 +97,29 @@ def line_fails(line: Column, rules: Rules = RULES) -> Column:
     return (
         F.coalesce((symbols * rules.symbol_in > chars), F.lit(False))
         | (pipes * rules.pipe_in > chars)
-        | ((upper * 2 > letters) & (letters >= rules.least_letters))
-        | ((letters * 2 < chars) & (chars >= rules.least_letters))
-        | (line.rlike(BOILERPLATE) & (phrases * rules.phrase_chars >= chars))
+        | let(letters, lambda n: ((n * 2 < chars) & (chars >= rules.least_letters)) | ((n >= rules.least_letters) & (upper * 2 > n)))
+        | (phrases & let(found, lambda n: (n > 0) & (n * rules.phrase_chars >= chars)))
         | let(F.split(line, SPACE + "+"), monotone)
     )
 
 
 def clean_lines(text: Column, rules: Rules = RULES) -> Column:
     """The text without failing lines; lines without a word stay as they are, and end a run of short lines."""
-    bare = lambda x: F.length(F.regexp_replace(x, SPACE + "+", "")) == 0
-    item = lambda x: ~x.rlike(ENDED) & (F.size(words_of(x)) <= rules.menu_words)
-    judged = lambda x: F.when(bare(x), F.struct(F.lit(False).alias("fails"), F.lit(False).alias("item"))).otherwise(F.struct(line_fails(x, rules).alias("fails"), item(x).alias("item")))
+    bare = lambda x: F.length(F.trim(x, F.lit(BLANKS))) == 0
+    ended = lambda x: F.contains(F.lit(ENDS), F.right(F.rtrim(x, F.lit(BLANKS)), F.lit(1)))
+    item = lambda x: ~ended(x) & (F.size(words_of(x)) <= rules.menu_words)
+    low = lambda t: let(F.lower(t), lambda x: F.exists(F.array(*map(F.lit, PHRASE_KEYS)), lambda k: F.contains(x, k)))
+
+    def judged(x: Column, phrases: Column) -> Column:
+        no = F.lit(False)
+        return F.when(bare(x), F.struct(no.alias("fails"), no.alias("item"))).otherwise(F.struct(line_fails(x, phrases, rules).alias("fails"), item(x).alias("item")))
 
     def rest(lines: Column, found: Column) -> Column:
         at = lambda i: F.coalesce(F.get(found, i)["item"], F.lit(False))
         menu = lambda i: at(i) & ((at(i - 1) & at(i - 2)) | (at(i - 1) & at(i + 1)) | (at(i + 1) & at(i + 2)))
         return F.array_join(F.filter(lines, lambda x, i: ~F.get(found, i)["fails"] & ~menu(i)), "\n")
 
-    return let(F.split(text, "\n"), lambda a: let(F.transform(a, judged), lambda found: rest(a, found)))
+    return let(F.struct(F.split(text, "\n").alias("a"), low(text).alias("p")), lambda s: let(F.transform(s["a"], lambda x: judged(x, s["p"])), lambda found: rest(s["a"], found)))
 
 
 def quality_rules(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import LOWER, UPPER, exact_dedup, normalised
-from .quality_rules import BOILERPLATE, ENDED, MARKED, quality_rules
+from .quality_rules import BOILERPLATE, ENDS, MARKED, quality_rules
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ m AS (SELECT doc_id, i, l, length(l) AS chars, length(regexp_replace(l, '[\x20\x
   length(regexp_replace(l, '\P{{L}}+', '', 'g')) AS letters, length(regexp_replace(l, '\P{{Lu}}+', '', 'g')) AS up,
   len(regexp_extract_all(l, '{BOILERPLATE}')) AS phrases, regexp_matches(l, '{MARKED.replace(chr(39), chr(39) * 2)}') AS marked,
   len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words, regexp_split_to_array(l, '[\x20\x09-\x0D]+') AS lw FROM lines),
-item AS (SELECT *, solid > 0 AND words <= 4 AND NOT regexp_matches(l, '{ENDED.replace(chr(39), chr(39) * 2)}') AS item FROM m),
+item AS (SELECT *, solid > 0 AND words <= 4 AND NOT contains('{ENDS.replace(chr(39), chr(39) * 2)}', right(regexp_replace(l, '[\x20\x09-\x0D]+$', ''), 1)) AS item FROM m),
 menu AS (SELECT *, item AND ((lag(item, 1, false) OVER o AND lag(item, 2, false) OVER o) OR (lag(item, 1, false) OVER o AND lead(item, 1, false) OVER o)
   OR (lead(item, 1, false) OVER o AND lead(item, 2, false) OVER o)) AS menu FROM item WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 f AS (SELECT doc_id, solid, sym * 20 > chars OR pipes * 40 > chars OR (up * 2 > letters AND letters >= 12) OR (letters * 2 < chars AND chars >= 12)
