@@ -195,6 +195,18 @@ def health(rows: DataFrame, by: str = "query_id") -> DataFrame:
     return g.select(by, *(F.bround(c, 9).alias(c) for c in ("coverage", "density", "freshness")), "ellipticity", s.alias("status"))
 
 
+# Weights of the natural-logic relations by number (entailment, reverse entailment,
+# equivalence, alternation, negation, cover, independence).
+COHERENCE = [1.0, 0.8, 1.0, -0.3, -0.5, 0.5, 0.0]
+
+
+def coherence(rows: DataFrame, by: str = "query_id") -> DataFrame:
+    """Logical coherence of each query's judged pairs (relation, confidence): the mean weighted confidence, from [-0.5, 1] to [0, 1]."""
+    weight = F.coalesce(F.get(F.array(*map(F.lit, COHERENCE)), F.col("relation")), F.lit(0.0))
+    raw = F.avg(weight * F.col("confidence"))
+    return rows.groupBy(by).agg(fx.round6(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (raw + 0.5) / 1.5))).alias("coherence"))
+
+
 # --- spectra ----------------------------------------------------------------------------------
 
 

@@ -151,6 +151,22 @@ def context_health(spark, sf) -> DataFrame:
     return e.health(rows.select("query_id", (F.col("doc_id") % 2).cast("double").alias("covered"), F.least(F.col("n_chars") / 4000.0, F.lit(1.0)).alias("dense"), "fresh"))
 
 
+@query("calibration_age", f"WITH {META} SELECT doc_id, round_even(({m.NOW}::DOUBLE - verified_at) / 86400.0, 6) AS age_days, coalesce(({m.NOW}::DOUBLE - verified_at) / 86400.0 > 30, true) AS stale FROM me")
+def calibration_age(spark, sf) -> DataFrame:
+    """Age of fits made at each document's time; unknown times are stale."""
+    return m.documents(spark, sf).select("doc_id", e.calibration_age(F.col("verified_at"), m.NOW).alias("c")).select("doc_id", "c.age_days", "c.stale")
+
+
+@query(
+    "logical_coherence",
+    """SELECT l_orderkey AS query_id, round_even(greatest(0.0, least(1.0, (avg(CASE l_suppkey % 7 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 1.0 WHEN 3 THEN -0.3 WHEN 4 THEN -0.5 WHEN 5 THEN 0.5 ELSE 0.0 END::DOUBLE * (l_discount * 10)::DOUBLE) + 0.5) / 1.5))::DOUBLE, 6) AS coherence FROM lineitem GROUP BY 1""",
+)
+def logical_coherence(spark, sf) -> DataFrame:
+    """Lines of an order as judged pairs of a query's documents: relation and confidence."""
+    rows = m.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("query_id"), (F.col("l_suppkey") % 7).cast("int").alias("relation"), (F.col("l_discount") * 10).cast("double").alias("confidence"))
+    return e.coherence(rows)
+
+
 @query(
     "query_classes",
     r"""SELECT query_id, CASE WHEN contains(t, '+')::INT + contains(t, '-')::INT + contains(t, '*')::INT + contains(t, '/')::INT + contains(t, '%')::INT + regexp_matches(t, '\bcalculate\b')::INT + regexp_matches(t, '\btotal\b')::INT + regexp_matches(t, '\bsum\b')::INT + contains(t, 'critical path')::INT >= 2 THEN 'arithmetic'

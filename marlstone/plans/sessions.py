@@ -72,12 +72,11 @@ def feature_correlations(spark, sf) -> DataFrame:
     return s.correlations(rows, FEATURES)
 
 
-@query("synthetic_sessions", f"WITH {m.LOG} SELECT synthetic_id, session_id, count(*) AS n FROM (SELECT session_id, sha1_hex AS synthetic_id FROM (SELECT session_id, md5(session_id || ':' || (floor(ts / 300) * 300)::BIGINT) AS sha1_hex FROM ev)) GROUP BY ALL")
+@query("synthetic_sessions", f"WITH {m.LOG} SELECT sha1(session_id || ':' || (floor(ts / 300) * 300)::BIGINT) AS synthetic_id, session_id, count(*) AS n FROM ev GROUP BY ALL")
 def synthetic_sessions(spark, sf) -> DataFrame:
-    """Sessions of 300-second windows; their key is compared as an md5, which both engines have."""
-    log = m.query_log(spark, sf)
-    key = F.md5(F.concat_ws(":", F.col("session_id").cast("string"), (F.floor(F.col("ts") / 300) * 300).cast("long").cast("string")).cast("binary"))
-    return log.select(key.alias("synthetic_id"), "session_id").groupBy("synthetic_id", "session_id").agg(F.count("*").alias("n"))
+    """Sessions of 300-second windows."""
+    key = s.synthetic_session(F.col("session_id"), F.col("ts"))
+    return m.query_log(spark, sf).select(key.alias("synthetic_id"), "session_id").groupBy("synthetic_id", "session_id").agg(F.count("*").alias("n"))
 
 
 @query("presence_status", f"WITH {m.LOG}, n AS (SELECT max(ts) AS now FROM ev), l AS (SELECT session_id, max(ts) AS last_seen FROM ev GROUP BY 1) SELECT session_id, last_seen, CASE WHEN now - last_seen <= 3600 THEN 'active' WHEN now - last_seen <= 14400 THEN 'idle' WHEN now - last_seen <= 86400 THEN 'stale' ELSE 'gone' END AS status FROM l, n")
