@@ -6,7 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that queries leave out (fixed values).
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "can", "did", "do", "does", "for", "from", "had", "has", "have", "how", "in", "into", "is", "it", "its", "of", "on", "or", "should", "that", "the", "their", "them", "then", "this", "those", "to", "was", "were", "what", "when", "where", "which", "who", "why", "will", "with", "would")
+STOP_WORDS = tuple(
+    """the a an is are was were be been have has had do does did will would could should may might can shall to
+    of in for on with at by from as into about like after before between and or but not no if then than
+    what which who whom this that these how when where why all each every it its i me my we our you your
+    he she they them his her their so just also very too more most some any other up out over only""".split()
+)
 #: Path parts that say nothing about a document (fixed values).
 PATH_NOISE = ("src", "lib", "data", "docs", "test", "tests", "home", "users", "tmp", "index", "main", "init")
 
@@ -17,21 +22,33 @@ def tokens(text: Column) -> Column:
 
 
 def plural_variants(term: Column) -> Column:
-    """The term with its simple plural and singular forms."""
+    """Other number of a term of more than three letters: -ies to -y, -s off (not -ss, -us), else -s on."""
     n = F.length(term)
-    forms = F.array(
-        term,
-        F.when(term.endswith("ies") & (n > 4), F.concat(F.substring(term, F.lit(1), n - 3), F.lit("y"))),
-        F.when(term.endswith("es") & (n > 4), F.substring(term, F.lit(1), n - 2)),
-        F.when(term.endswith("s") & ~term.endswith("ss") & (n > 3), F.substring(term, F.lit(1), n - 1)),
-        F.when(~term.endswith("s") & (n > 2), F.concat(term, F.lit("s"))),
-    )
-    return F.array_distinct(F.filter(forms, lambda x: x.isNotNull()))
+    other = F.when(term.endswith("ies") & (n > 4), F.concat(F.substring(term, F.lit(1), n - 3), F.lit("y"))).when(term.endswith("s") & ~term.endswith("ss") & ~term.endswith("us"), F.substring(term, F.lit(1), n - 1)).otherwise(F.concat(term, F.lit("s")))
+    return F.when(n > 3, F.array(other)).otherwise(F.array().cast("array<string>"))
+
+
+def telling(terms: Column) -> Column:
+    """Terms of three characters or more that are no stop words."""
+    return F.filter(terms, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+
+
+def expand_terms(terms: Column) -> Column:
+    """Each term with its parts between ``_``, ``-`` and ``/``, then the other numbers of all those; telling ones, each once."""
+    forms = lambda t: F.concat(F.array(t), F.filter(F.split(t, r"[_\-/]+"), lambda p: p != ""))
+    every = lambda t: F.element_at(F.transform(F.array(forms(t)), lambda c: F.concat(c, F.flatten(F.transform(c, plural_variants)))), 1)
+    return F.array_distinct(telling(F.flatten(F.transform(terms, every))))
+
+
+def query_signals(text: Column) -> Column:
+    """(domains, entities) of a query: its first five keywords, and the expanded ones of four characters or more."""
+    words = telling(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9_/\-]+)")))
+    return F.struct(F.slice(words, 1, 5).alias("domains"), F.filter(expand_terms(words), lambda w: F.length(w) >= 4).alias("entities"))
 
 
 def signals(text: Column) -> Column:
-    """Distinct query terms: no stop words, two characters at least, in order of first appearance."""
-    return F.filter(F.array_distinct(tokens(text)), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
+    """Distinct telling terms, in order of first appearance."""
+    return telling(F.array_distinct(tokens(text)))
 
 
 def path_parts(path: Column) -> Column:

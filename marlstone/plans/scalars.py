@@ -13,12 +13,32 @@ STOP = ", ".join(f"'{w}'" for w in fx.STOP_WORDS)
 NOISE = ", ".join(f"'{w}'" for w in fx.PATH_NOISE)
 
 
-@query("text_signals", rf"SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')), lambda w: length(w) >= 2 AND NOT list_contains([{STOP}], w))), ' ') AS terms FROM benchmark")
+@query("text_signals", rf"SELECT item_id, array_to_string(list_sort(list_filter(list_distinct(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+')), lambda w: length(w) > 2 AND NOT list_contains([{STOP}], w))), ' ') AS terms FROM benchmark")
 def text_signals(spark, sf) -> DataFrame:
     return m.table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(fx.signals(F.col("text"))), " ").alias("terms"))
 
 
-@query("plural_variants", "WITH t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) || CASE p_partkey % 4 WHEN 0 THEN 'ies' WHEN 1 THEN 'es' WHEN 2 THEN 's' ELSE '' END AS term FROM part) SELECT term, array_to_string(list_sort(list_distinct(list_filter([term, CASE WHEN ends_with(term, 'ies') AND length(term) > 4 THEN substr(term, 1, length(term) - 3) || 'y' END, CASE WHEN ends_with(term, 'es') AND length(term) > 4 THEN substr(term, 1, length(term) - 2) END, CASE WHEN ends_with(term, 's') AND NOT ends_with(term, 'ss') AND length(term) > 3 THEN substr(term, 1, length(term) - 1) END, CASE WHEN NOT ends_with(term, 's') AND length(term) > 2 THEN term || 's' END], lambda x: x IS NOT NULL))), ' ') AS forms FROM t")
+OTHER = "CASE WHEN length(c) <= 3 THEN NULL WHEN ends_with(c, 'ies') AND length(c) > 4 THEN substr(c, 1, length(c) - 3) || 'y' WHEN ends_with(c, 's') AND NOT ends_with(c, 'ss') AND NOT ends_with(c, 'us') THEN substr(c, 1, length(c) - 1) ELSE c || 's' END"
+
+
+@query(
+    "query_expansion",
+    rf"""WITH t AS (SELECT item_id, lower(text) || ' ' || replace(lower(substr(text, 1, 60)), ' ', CASE item_id % 3 WHEN 0 THEN '_' WHEN 1 THEN '-' ELSE '/' END) AS x FROM benchmark),
+    k AS (SELECT item_id, list_filter(regexp_extract_all(x, '[a-z0-9_/\-]+'), lambda w: length(w) > 2 AND NOT list_contains([{STOP}], w)) AS kw FROM t),
+    c AS (SELECT DISTINCT item_id, unnest(list_concat([w], regexp_split_to_array(w, '[_\-/]+'))) AS c FROM (SELECT item_id, unnest(kw) AS w FROM k)),
+    e AS (SELECT item_id, c AS e FROM c UNION SELECT item_id, {{OTHER}} FROM c WHERE c <> '')
+    SELECT item_id, (SELECT array_to_string(kw[1:5], ' ') FROM k WHERE k.item_id = e.item_id) AS domains, string_agg(e, ' ' ORDER BY e) AS entities FROM e WHERE length(e) >= 4 AND NOT list_contains([{STOP}], e) GROUP BY item_id""".replace("{OTHER}", OTHER),
+)
+def query_expansion(spark, sf) -> DataFrame:
+    """Keywords of the benchmark's texts and of a compound made of each one's start."""
+    text = F.lower("text")
+    join = F.when(F.col("item_id") % 3 == 0, "_").when(F.col("item_id") % 3 == 1, "-").otherwise("/")
+    both = F.concat(text, F.lit(" "), F.replace(F.lower(F.substring("text", 1, 60)), F.lit(" "), join))
+    found = m.table(spark, sf, "benchmark").select("item_id", fx.query_signals(both).alias("s"))
+    return found.select("item_id", F.array_join("s.domains", " ").alias("domains"), F.array_join(F.array_sort("s.entities"), " ").alias("entities"))
+
+
+@query("plural_variants", f"WITH t AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) || CASE p_partkey % 4 WHEN 0 THEN 'ies' WHEN 1 THEN 'es' WHEN 2 THEN 's' ELSE '' END AS c FROM part) SELECT c AS term, coalesce({OTHER}, '') AS forms FROM t")
 def plural_variants(spark, sf) -> DataFrame:
     k = F.col("p_partkey") % 4
     term = F.concat(F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))), F.when(k == 0, "ies").when(k == 1, "es").when(k == 2, "s").otherwise(""))
