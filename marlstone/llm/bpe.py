@@ -229,9 +229,11 @@ def codec(rank_file: str, pattern: str) -> ByteBpe:
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", doc_id: str = "doc_id", digests: bool = False) -> DataFrame:
     """``doc_id``, ``n_tokens`` and, of each whole text, its ``ids`` and ``decoded`` bytes, or their sha-256 with ``digests``.
 
-    A null text counts as empty: no tokens. Each row is encoded on its own, so repeated rows, ties
-    and empty tables need no rule; other columns are dropped. No shuffle.
+    A null text counts as empty: no tokens. A text of any length is encoded whole, and one pre-token
+    of any length in time n log n. Each row is encoded on its own, so repeated rows, ties and empty
+    tables need no rule; other columns are dropped, whatever their names. No shuffle.
     """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(rank_file, pattern)
         for batch in batches:

@@ -18,11 +18,11 @@ from functools import cached_property
 import pyarrow as pa
 
 #: Bytes of a worker's dictionary of pieces, about, and of an entry besides its piece and value.
-CACHE_BYTES, ENTRY_BYTES = 32_000_000, 200
+CACHE_BYTES, ENTRY_BYTES = 64_000_000, 200
 #: A longer piece is encoded with its text, not kept.
 MAX_PIECE = 200
-#: Characters of text in a block.
-BLOCK_CHARS = 1_000_000
+#: Bytes of text in a block.
+BLOCK_BYTES = 1 << 20
 
 
 class Pieces(dict):
@@ -48,13 +48,13 @@ def apart(piece: str) -> bool:
     return 0 < len(piece) <= MAX_PIECE and not piece[0].isspace()
 
 
-def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    """The texts of a batch in order, null as empty, in blocks of about ``most`` characters."""
+def blocks(batch: pa.RecordBatch, column: int, most: int = BLOCK_BYTES) -> Iterator[list[str]]:
+    """The texts of a batch in order, null as empty, in blocks of about ``most`` bytes; a text alone may hold more."""
     out, size = [], 0
     for x in batch.column(column):
         text = x.as_py() or ""
         out.append(text)
-        size += len(text)
+        size += x.as_buffer().size if x.is_valid else 0
         if size >= most:
             yield out
             out, size = [], 0

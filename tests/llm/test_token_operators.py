@@ -54,6 +54,18 @@ def test_bpe_query_rows(spark):
     assert bpe.encode_decode(docs.limit(0), RANKS, P.PATTERN, digests=True).count() == 0
 
 
+def test_very_long_texts_whole(spark, library):
+    rng = random.Random(9)
+    found = ["some words and more " * 60_000, "".join(rng.choice("abcdet") for _ in range(60_000)), "\n" * 5000 + "x" * 30_000]
+    docs = spark.createDataFrame([(i, x, 1) for i, x in enumerate(found)], "doc_id long, text string, n_tokens int")
+    got = {r.doc_id: r for r in bpe.encode_decode(docs, RANKS, P.PATTERN).collect()}
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    counts = {r.doc_id: r.n_tokens for r in token_counts.token_counts(docs, P.path("word_bpe_49k.json")).collect()}
+    for i, x in enumerate(found):
+        assert got[i].ids == library.encode_ordinary(x) and got[i].decoded == x.encode()
+        assert counts[i] == len(t.encode(x, add_special_tokens=False).ids)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"])
 def test_token_counts_equal_library(spark, name):
     found = texts(120)
