@@ -450,16 +450,16 @@ def _votes(p: Places) -> list[bool]:
     """Which elements are furniture: by tag, by name unless outvoted by slot text, or as lists of links."""
     n = len(p.node)
     gone = [x > 0 for x in p.kinds]
+    rest = p.content(gone)[0]
     for k in range(1, n):  # parents first: an element that stays lets those inside it be judged against it
         if p.kinds[k] == 1:
             tag, *names = p.node[k][0].split(".")
             if tag not in ("html", "body", "main", "article") and any([w in READERS for name in names for w in _SPLIT.split(name)]):
                 continue
-            rest = p.content(gone)[0]
             if p.own[k] >= OUTVOTED * max(1, rest):
-                gone[k] = False
-                # what the names inside call furniture still is, unless it holds nearly all in turn
-    total = p.content(gone)[0]
+                gone[k] = False  # what names inside it call furniture still is, unless it holds nearly all in turn
+                rest = p.content(gone)[0]
+    total = rest
     for k in range(1, n):
         x, tag = p.node[k], p.node[k][0].split(".")[0]
         if not gone[k] and tag in ("div", "ul", "ol", "section", "table", "center") and p.links[k] >= LINKS * x[3] and p.linked[k] >= LINK_SHARE * (p.linked[k] + p.own[k]) and 2 * p.own[k] < total:

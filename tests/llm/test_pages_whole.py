@@ -101,6 +101,11 @@ def test_deep_pages():
         assert w.extract(html, w.rule(again)) == "deep text"
 
 
+def test_many_places_called_furniture():
+    html = "<html><body><p>Own text.</p>" + "".join(f"<div class='widget k{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}'>Other</div>" for k in range(15_000)) + "</body></html>"
+    assert w.extract(html, w.rule(w.wrapper_of(html))) == "Own text."
+
+
 def test_wide_unlike_pages_align_in_bounded_time():
     rng = random.Random(1)
     tags = [f"<p class=k{chr(97 + k)}>x</p>" for k in range(26)]
