@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
 from marlstone.operators import index
+from marlstone.operators.graph import checkpointed
 
 #: Query terms up to which they are broadcast.
 BROADCAST_TERMS = 500_000
@@ -116,15 +117,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
 
 
+#: Queries of a block of a brute-force search.
+QUERY_BLOCK = 20_000
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int, least: float | None = None) -> DataFrame:
     """The k nearest of ``vectors(doc_id, embedding)`` to each of ``queries(query_id, q)`` by cosine.
 
-    A blocked search: the query block is broadcast behind a check of its size, each task scores its
-    rows and keeps its best k a query before the shuffle.
+    A blocked brute-force search: queries are dealt into blocks of about ``QUERY_BLOCK``, each of which is
+    broadcast; every task scores its vectors and keeps its best k a query before the shuffle.
     """
-    side = terms_side(queries, 20_000)
-    scored = vectors.join(side, F.lit(True)).select("query_id", "doc_id", fx.round6(cosine(F.col("embedding"), F.col("q"))).alias("score"))
-    return top(scored if least is None else scored.where(F.col("score") >= least), k)
+    blocks = -(-queries.count() // QUERY_BLOCK)
+    dealt = queries if blocks <= 1 else checkpointed(queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    out = None
+    for block in range(max(1, blocks)):
+        side = dealt if blocks <= 1 else dealt.where(F.col("_block") == block).drop("_block")
+        scored = vectors.join(F.broadcast(side), F.lit(True)).select("query_id", "doc_id", fx.round6(cosine(F.col("embedding"), F.col("q"))).alias("score"))
+        best = top(scored if least is None else scored.where(F.col("score") >= least), k)
+        out = best if out is None else out.union(best)
+    return out
 
 
 def lexical_anchor(terms: DataFrame, postings: DataFrame, total: int, cap: float = 3.0) -> DataFrame:

@@ -60,6 +60,28 @@ def test_eps_band_is_a_fold(spark):
     assert [(r.doc_id, r.band) for r in out] == [(2, 1), (1, 1), (3, 2), (4, 2)]
 
 
+def test_dense_in_blocks_equals_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=4)]) for i in range(60)], "doc_id long, embedding array<double>")
+    q = v.where("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    one = sorted(map(tuple, tiers.dense(q, v, 3).collect()))
+    monkeypatch.setattr(tiers, "QUERY_BLOCK", 6)
+    assert sorted(map(tuple, tiers.dense(q, v, 3).collect())) == one and len(one) == 60
+
+
+def test_running_sums_by_ranges(spark):
+    from marlstone.operators.running import running
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(300), k, rng.randrange(9)) for k in range(1000)]
+    out = running(spark.createDataFrame(rows, "a int, b int, n long"), [F.desc("a"), F.asc("b")], {"upto": F.col("n"), "place": F.lit(1)}).collect()
+    want, total = {}, 0
+    for place, (a, b, n) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1):
+        total += n
+        want[b] = (total, place)
+    assert {r.b: (r.upto, r.place) for r in out} == want
+
+
 def test_cosine_of_zero_vector_is_zero(spark):
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
     assert df.select(tiers.cosine(F.col("a"), F.col("b")).alias("c")).first().c == 0.0
