@@ -120,8 +120,8 @@ def seed_edges(pairs: DataFrame, least: int = 2) -> DataFrame:
 
 
 def miss_weight(rank: Column, k: int) -> Column:
-    """0 up to rank k, then k / rank."""
-    return F.when(rank <= k, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(float(k)) / rank))
+    """0 up to rank k, then k / rank; a rank below one is an error."""
+    return F.when(rank < 1, F.raise_error(F.lit("ranks start at 1")).cast("double")).when(rank <= k, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(float(k)) / rank))
 
 
 def edge_evidence(edges: DataFrame, retrieved: DataFrame, k: int, promote_at: int = 3, ratio: float = 0.4, prune: float = 0.05) -> DataFrame:

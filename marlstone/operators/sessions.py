@@ -68,11 +68,11 @@ def synthetic_session(client: Column, ts: Column, seconds: int = 300) -> Column:
     return F.sha1(F.concat_ws(":", client.cast("string"), (F.floor(ts / seconds) * seconds).cast("long").cast("string")))
 
 
-def presence(beats: DataFrame, now: float, active: float = 120.0, idle: float = 240.0, gone: float = 86400.0) -> DataFrame:
-    """(session_id, last_seen, status) by the age of the last heartbeat: active, idle, stale, gone."""
+def presence(beats: DataFrame, now: float, active: float = 120.0, idle: float = 240.0, gone: float = 86400.0, delete: float = 7 * 86400.0) -> DataFrame:
+    """(session_id, last_seen, status) by the age of the last heartbeat: active, idle, stale, gone; older than ``delete`` there is no row."""
     age = F.lit(now) - F.col("last_seen")
     status = F.when(age <= active, "active").when(age <= idle, "idle").when(age <= gone, "stale").otherwise("gone")
-    return beats.groupBy("session_id").agg(F.max("ts").alias("last_seen")).withColumn("status", status)
+    return beats.groupBy("session_id").agg(F.max("ts").alias("last_seen")).where(age <= delete).withColumn("status", status)
 
 
 def elide(deliveries: DataFrame) -> DataFrame:

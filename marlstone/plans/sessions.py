@@ -79,7 +79,7 @@ def synthetic_sessions(spark, sf) -> DataFrame:
     return m.query_log(spark, sf).select(key.alias("synthetic_id"), "session_id").groupBy("synthetic_id", "session_id").agg(F.count("*").alias("n"))
 
 
-@query("presence_status", f"WITH {m.LOG}, n AS (SELECT max(ts) AS now FROM ev), l AS (SELECT session_id, max(ts) AS last_seen FROM ev GROUP BY 1) SELECT session_id, last_seen, CASE WHEN now - last_seen <= 3600 THEN 'active' WHEN now - last_seen <= 14400 THEN 'idle' WHEN now - last_seen <= 86400 THEN 'stale' ELSE 'gone' END AS status FROM l, n")
+@query("presence_status", f"WITH {m.LOG}, n AS (SELECT max(ts) AS now FROM ev), l AS (SELECT session_id, max(ts) AS last_seen FROM ev GROUP BY 1) SELECT session_id, last_seen, CASE WHEN now - last_seen <= 3600 THEN 'active' WHEN now - last_seen <= 14400 THEN 'idle' WHEN now - last_seen <= 86400 THEN 'stale' ELSE 'gone' END AS status FROM l, n WHERE now - last_seen <= 604800")
 def presence_status(spark, sf) -> DataFrame:
     log = m.query_log(spark, sf)
     return s.presence(log, log.agg(F.max("ts")).first()[0], 3600.0, 14400.0, 86400.0)
