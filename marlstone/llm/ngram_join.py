@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, small, written
+from .common import components, release, small, written
 
 SHINGLE, THRESHOLD = 5, 0.8
 RUNS, POOL, LEAF, DEPTH, PIVOTS = 18, 72, 64, 5, 8
@@ -138,6 +138,7 @@ def sketch(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFra
                 pools.append(pool_of(h, threshold))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), _binary(pools)], names=["id", "n", "f1", "f2", "pool"])
         _WORDS.clear()
+        release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, pool binary")
@@ -297,6 +298,8 @@ def _runs(rows: DataFrame, keys: list[str], each, schema: str) -> DataFrame:
         end()
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), kinds, strict=True)], schema=kinds)
+            out.clear()
+        release()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(walk, schema)
 
@@ -335,6 +338,8 @@ def _streams(rows: DataFrame, keys: list[str], part: str, each, schema: str) ->
                     out.clear()
         if out:
             yield batch()
+            out.clear()
+        release()
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, part, "id").mapInArrow(walk, schema)
 
@@ -577,6 +582,8 @@ def _with_shingles(docs: DataFrame, members: DataFrame, text: str, doc_id: str)
             marks = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)
             own = pa.array([(len(h), *_fingerprint(h)) == m for h, m in zip(sets, marks, strict=True)], pa.bool_())  # another row of the id may hold another text
             yield pa.RecordBatch.from_arrays([*batch.columns[4:], _binary(sets)], names=[*(f.name for f in extra), "shingles"]).filter(own)
+        _WORDS.clear()
+        release()
 
     return rows.select("text", "n", "f1", "f2", *(f.name for f in extra)).mapInArrow(run, f"{kinds}, shingles binary")
 

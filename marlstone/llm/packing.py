@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import release, small, written
 from .tokenise import LibraryIds, Pieces, blocks, encode_block
 
 CAPACITY = 2048
@@ -181,6 +181,7 @@ def _encoder(vocabulary: str) -> tuple[Pieces, Callable[[str], bytes]]:
     """The worker's dictionary of pieces, and a function for whole texts."""
     if vocabulary not in _ENCODERS:
         ids = LibraryIds(vocabulary)
+        release()  # what reading the vocabulary took
         _ENCODERS[vocabulary] = (Pieces(lambda pieces: ids.many([" " + x for x in pieces])), lambda text: ids.many([text])[0] if text else b"")
     return _ENCODERS[vocabulary]
 
@@ -192,6 +193,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what earlier stages left in this worker
         pieces, whole = _encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -207,6 +209,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id
                     row += 1
             took = pa.array(out[0], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(took), pa.array(out[1], pa.int32()), *(pa.array(x, pa.int64()) for x in out[2:])], names=[doc_id, "piece", "start", "length", "ids_crc32"])
+        release()
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {id_type}, piece int, start long, length long, ids_crc32 long")

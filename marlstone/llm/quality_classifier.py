@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused, written
+from .common import release, unused, written
 
 LABELLED, EXCHANGE, ROUNDS = 8_000, 2_000, 3
 #: A view is sure of a row from this probability on.
@@ -246,6 +246,7 @@ def features(docs: DataFrame, text: str, mark: str) -> DataFrame:
             vectors = [text_vector(x.as_py()).tobytes() for x in batch.column(0)]
             places = [x.tobytes() for x in _metadata(*batch.columns[1:4])]
             yield pa.RecordBatch.from_arrays([pa.array(vectors, pa.binary()), pa.array(places, pa.binary()), batch.column(4), batch.column(5)], names=["t", "m", "y", "at"])
+        release()
 
     rows = docs.select(text, F.col("source").cast("string"), F.col("lang").cast("string"), F.col("n_chars").cast("long"), F.col(mark).cast("int"), F.xxhash64(F.coalesce(F.col(text), F.lit("")), "source", "lang", "n_chars"))
     return rows.mapInArrow(run, "t binary, m binary, y int, at long")
