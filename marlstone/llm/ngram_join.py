@@ -426,6 +426,7 @@ def _split(rows: DataFrame, level: int, threshold: float, run: int) -> DataFrame
             longer = _mix(u[pick] + seed[row[pick]]).astype(np.int64)
             kind = pa.array(["link"] * len(links) + ["path"] * len(longer), pa.string())
             yield pa.RecordBatch.from_arrays([kind, pa.array(np.concatenate([links[:, 0], longer])), pa.array(np.concatenate([links[:, 1], ids[row[pick]]]))], names=["kind", "path", "id"])
+        release()
 
     slots = [F.get("pivots", k)[c].alias(f"{c}{k}") for k in range(PIVOTS) for c in ("pivot", "m", "q")]
     return rows.select("path", "id", "n", "pool", *slots).mapInArrow(go, "kind string, path long, id long")
@@ -440,6 +441,7 @@ def _paths(sets: DataFrame, run: int, threshold: float) -> DataFrame:
             each = np.array([len(x) for x in found], np.int64)
             at = np.repeat(np.arange(len(found)), each)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *found]).astype(np.int64)), batch.column(0).take(pa.array(at)), pa.array(each[at])], names=["path", "id", "chosen"])
+        release()
 
     rows = written(sets.select("id", "n", "pool").mapInArrow(go, "path long, id long, chosen long"), "paths")
     shared = rows.join(rows.groupBy("path").agg(F.count("*").alias("count")).where("count > 1").hint("merge"), "path")
@@ -511,6 +513,7 @@ def sample_pairs(sets: DataFrame, threshold: float = THRESHOLD, most: int = SAMP
                     a.append(int(ids[k]))
                     b.append(int(own[j]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        release()
 
     return sets.select("id", "n", "pool").mapInArrow(go, "a long, b long")
 
