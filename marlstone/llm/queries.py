@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_join, queries_models, queries_pages, queries_text, queries_tokens
+from . import queries_join, queries_manifest, queries_models, queries_pages, queries_text, queries_tokens
 
-_MODULES = (queries_text, queries_tokens, queries_models, queries_pages, queries_join)
+_MODULES = (queries_text, queries_tokens, queries_models, queries_pages, queries_join, queries_manifest)
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE = {name: sql for m in _MODULES for name, sql in m.ORACLE.items()}
