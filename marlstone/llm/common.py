@@ -45,6 +45,15 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly over the cores where it comes in fewer parts than would keep them busy, else as it is.
+
+    A file of one row group is read by one task, however many tasks it is cut into.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def release() -> None:
     """Gives memory that a task has freed back to the system. Workers are used again by later stages, so tasks end with it."""
     gc.collect()
