@@ -1,13 +1,16 @@
 """Exact medians and median deviations over sliding time windows, all windows bisected together.
 
-Clicks and the starts of their windows are put in one order by series and time, dealt by ranges, so
-that a window is a range of places. Places are cut into blocks. A task holds a block's values with
-those before it that its windows reach, as prefix counts: the sorted values are halved again and again,
-and each halving keeps, for every place, how many values before it fell in the lower half. One
-bisection moves all windows' medians down those halvings together; a second one bisects the radii
-around each median that hold half of its window, each round counting by the same prefix counts.
-
-A window of more rows than a block is not gathered either. Its inner blocks are pieces of sorted
+A task holds a stretch of a series with the clicks before it that its windows reach, as prefix counts:
+the sorted values are halved again and again, and each halving keeps, for every place in time, how
+many values before it fell in the lower half. One bisection moves all windows' medians down those
+halvings together; a second one bisects the radii around each median that hold half of its window,
+each round counting by the same prefix counts.
+
+Where two windows' lengths of a series hold too many rows for a task, clicks and the starts of their
+windows are put in one order by series and time, dealt by ranges, so that a window is a range of places,
+and places are cut into blocks of rows. A task holds a block and the one before.
+
+A window of more rows than that is not gathered either. Its inner blocks are pieces of sorted
 value lists over 1, 2, 4, ... blocks, of which summaries of runs tell between which values the median
 and the radius can lie; only runs that reach there are read, all others count as one weighted value.
 So no task holds more than some blocks, however dense a series is.
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 from .order import numbered
 
 #: Length of a window, in microseconds.
 MINUTES_60 = 60 * 60 * 1_000_000
+#: Rows of a window's length and of the one before that a task gets whole, and window's lengths of a task at most.
+MOST_ROWS, MOST_HOURS = 1 << 19, 8
 #: Places in a block at least and at most; in between, four times the longest window.
 LEAST_BLOCK, MOST_BLOCK = 1 << 13, 1 << 17
 #: Runs in a block's sorted values.
@@ -46,7 +51,7 @@ class PrefixCounts:
         self.zeros, self.sums = [], [self._running(weights)]
         for bit in range(self.bits - 1, -1, -1):
             upper = (rank >> bit & 1).astype(bool)
-            self.zeros.append(np.concatenate(([0], np.cumsum(~upper))))
+            self.zeros.append(np.concatenate(([0], np.cumsum(~upper))).astype(np.int32))
             order = np.concatenate((np.flatnonzero(~upper), np.flatnonzero(upper)))
             rank = rank[order]
             weights = None if weights is None else weights[order]
@@ -258,7 +263,7 @@ def _micros(clicks: DataFrame) -> Column:
     return F.expr(" + ".join(f"CAST(CAST(extract({unit} FROM {since}) AS DECIMAL(18, 6)) * {size}L AS BIGINT)" for unit, size in units.items()))
 
 
-def rolling_median(clicks: DataFrame, window: int = MINUTES_60, least_block: int = LEAST_BLOCK, most_block: int = MOST_BLOCK) -> DataFrame:
+def rolling_median(clicks: DataFrame, window: int = MINUTES_60, most_rows: int = MOST_ROWS, least_block: int = LEAST_BLOCK, most_block: int = MOST_BLOCK) -> DataFrame:
     """``click_id``, ``kind``, ``n``, ``median2``, ``mad4`` and ``far`` of every click that has a time.
 
     Clicks of one kind (null is a kind) are a series. Cents are floor(100 * value + 0.5); a null, NaN or
@@ -275,12 +280,59 @@ def rolling_median(clicks: DataFrame, window: int = MINUTES_60, least_block: int
     cents = F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(F.floor(value * 100 + 0.5))
     ts = _micros(clicks)
     rows = clicks.where("ts IS NOT NULL").select("click_id", F.struct(ts.alias("ts"), F.col("kind").cast("string").alias("kind"), cents.alias("cents")).alias("row"))
-    once = rows.groupBy("click_id").agg(F.min("row").alias("row")).select("click_id", "row.*").withColumn("series", F.coalesce(F.concat(F.lit("="), "kind"), F.lit("")))
-    # a click, and behind all clicks of its time the start of the windows that begin there.
-    both = F.array(F.struct(F.col("ts").alias("time"), F.lit(0).alias("role")), F.struct((F.col("ts") - window).alias("time"), F.lit(1).alias("role")))
-    placed = written(numbered(once.select("*", F.explode(both).alias("x")).select("series", "click_id", "ts", "kind", "cents", "x.*"), ["series"], ["time", "role", "click_id"], "place"), "placed")
+    once = rows.groupBy("click_id").agg(F.min("row").alias("row")).select(F.coalesce(F.concat(F.lit("="), "row.kind"), F.lit("")).alias("series"), "click_id", "row.ts", "row.cents")
+    once = written(once.withColumn("hour", F.floor(F.col("ts") / F.lit(window)).cast("long")), "once")
+    hours = written(once.groupBy("series", "hour").agg(F.count("*").alias("rows")), "hours")
+    before = hours.select("series", (F.col("hour") + 1).alias("hour"), F.col("rows").alias("more"))
+    both = hours.join(before, ["series", "hour"], "full_outer").select("series", "hour", (F.coalesce("rows", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("held"))
+    dense = written(both.where(F.col("held") > most_rows).select("series", "hour"), "dense")
+    most = both.where(F.col("held") <= most_rows).agg(F.max("held")).first()[0] or 1
+    width = max(1, min(MOST_HOURS, most_rows // (4 * most)))
+    if not dense.limit(1).count():
+        found = _within_hours(once.withColumn("asked", F.lit(True)), window, width)
+    else:
+        same, ahead = dense.select("series", "hour", F.lit(True).alias("own")), dense.select("series", (F.col("hour") - 1).alias("hour"), F.lit(True).alias("next"))
+        told = written(once.join(small(same), ["series", "hour"], "left").join(small(ahead), ["series", "hour"], "left"), "told")
+        calm = told.where("own IS NULL OR next IS NULL").withColumn("asked", F.col("own").isNull())
+        crowded = told.where("own OR next").withColumn("asked", F.col("own").isNotNull())
+        found = _within_hours(calm, window, width).union(_by_place(crowded, window, least_block, most_block))
+    kind = F.when(F.col("series") != "", F.substring("series", 2, 1 << 30)).alias("kind")
+    far = 2 * F.abs(2 * F.col("cents") - F.col("median2")) > 3 * F.col("mad4")
+    return found.select("click_id", kind, "n", "median2", "mad4", far.alias("far"))
+
+
+def _within_hours(rows: DataFrame, window: int, width: int) -> DataFrame:
+    """Clicks whose windows hold few enough rows: a task gets ``width`` windows' length of a series and the clicks of one before."""
+    id_type = rows.schema["click_id"].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        (ts,), cents = _ints(group, "ts"), group["cents"].combine_chunks()
+        asked = group["asked"].to_numpy(zero_copy_only=False)
+        held = ~cents.is_null().to_numpy(zero_copy_only=False)
+        times, values = ts[held], cents.fill_null(0).to_numpy()[held]
+        order = np.argsort(times, kind="stable")
+        times = times[order]
+        ends, back = np.unique(ts[asked], return_inverse=True)
+        n, median, mad = (x[back] for x in medians(PrefixCounts(values[order]), np.searchsorted(times, ends - window, "right"), np.searchsorted(times, ends, "right")))
+        few, own = n < 2, group.filter(pa.array(asked))
+        return pa.table({"series": own["series"], "click_id": own["click_id"], "cents": own["cents"], "n": pa.array(n, pa.int64()), "median2": pa.array(median, pa.int64(), mask=few), "mad4": pa.array(mad, pa.int64(), mask=few)})
+
+    stretch = F.floor(F.col("hour") / F.lit(width)).cast("long")
+    last = F.pmod(F.col("hour"), F.lit(width)) == width - 1  # the windows of the next stretch reach into these
+    own = F.struct(stretch.alias("stretch"), F.col("asked"))
+    dealt = rows.select("series", "click_id", "ts", "cents", F.explode(F.when(last, F.array(own, F.struct((stretch + 1).alias("stretch"), F.lit(False).alias("asked")))).otherwise(F.array(own))).alias("x"))
+    return dealt.select("series", "click_id", "ts", "cents", "x.*").groupBy("series", "stretch").applyInArrow(run, f"series string, click_id {id_type}, cents long, n long, median2 long, mad4 long")
+
+
+def _by_place(rows: DataFrame, window: int, least_block: int, most_block: int) -> DataFrame:
+    """Clicks of any density, by places and blocks of them."""
+    # a click, and behind all clicks of its time the start of the windows that begin there
+    click = F.struct(F.col("ts").alias("time"), F.lit(0).cast("byte").alias("role"), "click_id", "cents")
+    start = F.struct((F.col("ts") - window).alias("time"), F.lit(1).cast("byte").alias("role"), F.lit(None).cast(rows.schema["click_id"].dataType).alias("click_id"), F.lit(None).cast("long").alias("cents"))
+    both = rows.select("series", "ts", "asked", F.explode(F.when(F.col("asked"), F.array(click, start)).otherwise(F.array(click))).alias("x")).select("series", "ts", "asked", "x.*")
+    placed = written(numbered(both, ["series"], ["time", "role", "click_id"], "place"), "placed")
     own = F.when(F.col("role") == 0, F.col("place"))
-    windows = placed.groupBy("series", "ts").agg(F.max(F.when(F.col("role") == 1, F.col("place"))).alias("a"), (F.max(own) + 1).alias("b"))
+    windows = placed.where("asked").groupBy("series", "ts").agg(F.max(F.when(F.col("role") == 1, F.col("place"))).alias("a"), (F.max(own) + 1).alias("b"))
     windows = written(windows, "windows")
     longest = windows.agg(F.max(F.col("b") - F.col("a"))).first()[0] or 0
     block = least_block
@@ -291,6 +343,4 @@ def rolling_median(clicks: DataFrame, window: int = MINUTES_60, least_block: int
     found, far = _near(points, windows.where("eb - sb <= 1"), block, longest), windows.where("eb - sb > 1")
     if longest > block and far.limit(1).count():  # windows that reach over a whole block
         found = found.union(_far(points, far, block))
-    out = placed.where("role = 0").join(written(found, "found"), ["series", "ts"])
-    far = 2 * F.abs(2 * F.col("cents") - F.col("median2")) > 3 * F.col("mad4")
-    return out.select("click_id", "kind", "n", "median2", "mad4", far.alias("far"))
+    return placed.where("asked AND role = 0").join(written(found, "found"), ["series", "ts"]).select("series", "click_id", "cents", "n", "median2", "mad4")

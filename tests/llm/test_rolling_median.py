@@ -96,9 +96,9 @@ def test_bracket_holds_what_it_must():
 
 
 @pytest.mark.parametrize(("rows", "kw"), [
-    (made(600, 60), {}), (made(600, 60), {"least_block": 32, "most_block": 128}), (made(900, 9, ("a",)), {"least_block": 8, "most_block": 16}), (made(700, 2, ("a", None), same=0.5), {"least_block": 16, "most_block": 16}),
-    (made(500, 5, ("a",), values=lambda rng: float(rng.choice([1, 1, 1, 2, 7]))), {"least_block": 8, "most_block": 8}), (made(400, 1, ("a",), values=lambda rng: rng.uniform(-1e9, 1e9)), {"least_block": 16, "most_block": 16}),
-    (made(300, 1, ("a",), same=1.0), {"least_block": 16, "most_block": 16}),
+    (made(600, 60), {}), (made(900, 400), {"most_rows": 60}), (made(600, 60), {"most_rows": 0, "least_block": 32, "most_block": 128}), (made(900, 9, ("a",)), {"most_rows": 0, "least_block": 8, "most_block": 16}), (made(700, 2, ("a", None), same=0.5), {"most_rows": 9, "least_block": 16, "most_block": 16}),
+    (made(500, 5, ("a",), values=lambda rng: float(rng.choice([1, 1, 1, 2, 7]))), {"most_rows": 9, "least_block": 8, "most_block": 8}), (made(400, 1, ("a",), values=lambda rng: rng.uniform(-1e9, 1e9)), {"most_rows": 9, "least_block": 16, "most_block": 16}),
+    (made(300, 1, ("a",), same=1.0), {"most_rows": 9, "least_block": 16, "most_block": 16}),
 ])
 def test_rolling_median_brute_force(spark, rows, kw):
     assert got(spark.createDataFrame(rows, CLICKS).repartition(5), **kw) == plain(rows)
