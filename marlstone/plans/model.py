@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
-from marlstone.operators import index
-from marlstone.operators.graph import checkpointed
+from marlstone.operators import index, maintained
+from marlstone.operators.graph import shared_folder
 
 #: The time at which time-dependent operators look at the data (seconds).
 NOW = 1_710_000_000.0
@@ -37,32 +40,37 @@ DOCS = f"""d AS (SELECT doc_id, text AS content, source AS shard, lang, n_chars,
   (doc_id % 23)::INT AS access_count FROM documents)"""
 
 
-_BUILT: dict[tuple, DataFrame] = {}
+_BUILT: dict[tuple, tuple[tuple, DataFrame]] = {}
 
 
-def built(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
-    """The index ``name`` over the documents of ``sf_dir``: written to the shared folder when first asked for, then read.
+def built(spark: SparkSession, sf_dir: str, name: str, docs: DataFrame, make: Callable[[DataFrame], DataFrame], order: list[str] | None = None) -> DataFrame:
+    """The index ``name`` = ``make(docs)`` over the documents of ``sf_dir``, in the shared folder, in step with their files.
 
-    Kept by session and input files; ``forget`` drops it when files are replaced in place.
+    Each call looks at the files' paths, lengths and times of change. While they are as they were, and the
+    index is still there, it is read; else ``maintained.sync`` makes anew what changed. The folder is the session's own.
     """
-    key = (spark.sparkContext.applicationId, name, tuple(sorted(table(spark, sf_dir, "documents").inputFiles())))
-    if key not in _BUILT:
-        _BUILT[key] = checkpointed(make())
-    return _BUILT[key]
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    folder = f"{shared_folder(spark)}/index/{key[0]}/{hashlib.md5(sf_dir.encode()).hexdigest()}/{name}"
+    seen = maintained.signature(spark, f"{sf_dir}/documents.parquet")
+    if key not in _BUILT or _BUILT[key][0] != seen or not maintained.exists(spark, f"{folder}/current"):
+        spark.catalog.refreshByPath(f"{sf_dir}/documents.parquet")
+        _BUILT[key] = (seen, maintained.sync(docs, folder, make, order)[0])
+    return _BUILT[key][1]
 
 
 def forget() -> None:
+    """Drops what is known of indexes; the next use looks at the documents again."""
     _BUILT.clear()
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, dl, term, tf) of all documents, in order of terms."""
-    return built(spark, sf_dir, "postings", lambda: index.postings(documents(spark, sf_dir)).sortWithinPartitions("term"))
+    return built(spark, sf_dir, "postings", documents(spark, sf_dir).select("doc_id", "content"), index.postings, ["term"])
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, dl) of all documents."""
-    return built(spark, sf_dir, "lengths", lambda: index.doc_stats(documents(spark, sf_dir)))
+    return built(spark, sf_dir, "lengths", documents(spark, sf_dir).select("doc_id", "content"), index.doc_stats)
 
 
 TOKENS = r"tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(content, '')), '[^\p{L}\p{N}]+')) AS term FROM d)"
@@ -71,9 +79,9 @@ POSTINGS = f"{DOCS}, {TOKENS}, post AS (SELECT doc_id, term, count(*) AS tf FROM
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domains (language, shard) and entities (distinct words of 10 to 13 letters) of each document."""
-    docs = documents(spark, sf_dir)
     words = F.filter(F.array_distinct(fx.tokens(F.col("content"))), lambda w: F.length(w).between(10, 13))
-    return built(spark, sf_dir, "tags", lambda: index.tags(docs.select("doc_id", F.array("lang", "shard").alias("domains"), words.alias("entities"))))
+    make = lambda docs: index.tags(docs.select("doc_id", F.array("lang", "shard").alias("domains"), words.alias("entities")))
+    return built(spark, sf_dir, "tags", documents(spark, sf_dir).select("doc_id", "content", "lang", "shard"), make)
 
 
 TAGS = f"""{POSTINGS}, tags AS (SELECT doc_id, 'domain' AS tag_type, lang AS tag_value FROM d UNION ALL SELECT doc_id, 'domain', shard FROM d

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
-from marlstone.operators import fusion, index, tiers
+from marlstone.operators import ann, fusion, index, tiers
 from marlstone.plans import model as m
 from marlstone.registry import query
 
@@ -270,6 +270,31 @@ def ann_gate(spark, sf) -> DataFrame:
     lexical = vectors.join(F.broadcast(queries), (F.col("query_id") + F.col("doc_id")) % 37 == 0).select("query_id", "doc_id")
     return fusion.gate(fusion.union_pinned(lexical, tiers.dense(queries, vectors, 20), 0.3), 0.3, 3, 12, 8)
 
+#: A query's vector is that of its own number; the lexical pool are its best twenty by BM25.
+LED = f"""qv AS (SELECT item_id AS query_id, embedding AS q FROM benchmark JOIN embeddings ON vec_id = item_id), de AS (SELECT query_id, vec_id AS doc_id, {COS} AS score FROM embeddings, qv),
+    dn AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM de) WHERE rank <= 20), lex AS (SELECT query_id, doc_id FROM bmr WHERE rank <= 20)"""
+GATE = """u AS (SELECT coalesce(l.query_id, n.query_id) AS query_id, coalesce(l.doc_id, n.doc_id) AS doc_id, round_even(coalesce(score, 0.3 - 0.01), 6) AS score, score IS NOT NULL AS is_dense FROM lex l FULL JOIN dn n ON l.query_id = n.query_id AND l.doc_id = n.doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM u),
+    k AS (SELECT *, (score >= 0.3 OR rank <= 3) AND rank <= 12 AS kept FROM r),
+    h AS (SELECT *, sum((kept AND is_dense)::INT) OVER (PARTITION BY query_id) AS have, row_number() OVER (PARTITION BY query_id, kept, is_dense ORDER BY rank) AS spare FROM k)
+    SELECT query_id, doc_id, score, rank, NOT kept AS appended FROM h WHERE kept OR (is_dense AND spare <= 8 - have)"""
+
+
+@query("ann_topk", f"WITH {DENSE} SELECT query_id, doc_id, score, rank FROM der WHERE rank <= 10")
+def ann_topk(spark, sf) -> DataFrame:
+    """The nearest ten by the inverted file, its exact way."""
+    vectors, queries = _vectors(spark, sf)
+    return ann.search(queries, ann.build(vectors), 10, exact=True)
+
+
+@query("ann_led", f"WITH {BM25}, {LED}, {GATE}")
+def ann_led(spark, sf) -> DataFrame:
+    """Lexical and dense recall side by side, united, gated by the threshold."""
+    vectors, _ = _vectors(spark, sf)
+    queries = vectors.join(m.table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    lexical = tiers.top(_bm25(spark, sf), 20).select("query_id", "doc_id")
+    return fusion.gate(fusion.union_pinned(lexical, ann.search(queries, ann.build(vectors), 20, exact=True), 0.3), 0.3, 3, 12, 8)
+
 
 # --- fusion -----------------------------------------------------------------------------------
 
