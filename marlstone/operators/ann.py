@@ -61,8 +61,12 @@ def build(vectors: DataFrame, cells: int | None = None, sample: int = SAMPLE, se
     spark, id_type = vectors.sparkSession, vectors.schema["doc_id"].dataType.simpleString()
     if n == 0:
         return Index(spark.createDataFrame([], "cell int, center array<double>, radius double, parts int"), spark.createDataFrame([], f"cell int, part int, doc_id {id_type}, unit array<double>"))
-    model = KMeans(k=k, seed=seed, maxIter=ROUNDS, featuresCol="features").fit(few.select(array_to_vector("unit").alias("features")))
-    centers = np.array(model.clusterCenters())  # at most MOST_CELLS rows
+    different = few.select("unit").distinct().limit(k + 1).collect()
+    if len(different) <= k:  # each its own centroid
+        centers = np.array(sorted(r.unit for r in different))
+    else:
+        model = KMeans(k=k, seed=seed, maxIter=ROUNDS, featuresCol="features").fit(few.select(array_to_vector("unit").alias("features")))
+        centers = np.array(model.clusterCenters())  # at most MOST_CELLS rows
     shared = spark.sparkContext.broadcast(centers)
 
     def assign(batches):

@@ -52,13 +52,14 @@ _MARKS = {
     False: re.compile(r"""(?P<open>\"{3}|'{3})|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\#.*"""),
 }
 _CLOSERS = {"/*": "*/", "`": "`", '"""': '"""', "'''": "'''"}
+_QUOTED, _BRACKETS = re.compile(r"[\"'#/`]"), re.compile(r"[()\[\]{}]")
 _LINES = re.compile(r"[^\n]*\n|[^\n]+")
 _CALL = re.compile(r"(\w+)\s*\(")
 _BASES = re.compile(r"class\s+\w+\s*\(([^)]*)\)")
 _KEYWORDS = frozenset("if elif while for in and or not return yield with assert print lambda def class del raise except import from await switch catch function".split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A line and what is nested below it: ``text[start:end]``."""
 
@@ -100,20 +101,21 @@ def outline(text: str, lang: str) -> tuple[Node, list[tuple[str, int]], list[tup
     for line in _LINES.findall(text):
         start, at = at, at + len(line)
         goes_on = inside is not None or (not braced and depth > 0)
-        bare, inside = _bare(line, inside, braced)
+        bare, inside = _bare(line, inside, braced) if inside or _QUOTED.search(line) else (line, None)
         code = bare.strip()
         if not code and not goes_on:
             continue
-        opened = sum(map(bare.count, "([{")) - sum(map(bare.count, ")]}"))
         closing = len(code) - len(code.lstrip(")]}"))
-        level = depth - closing if braced else len(bare.expandtabs(8)) - len(bare.expandtabs(8).lstrip())
-        depth = max(0, depth + opened)
+        level = depth - closing if braced else _indent(bare)
+        if found := _BRACKETS.findall(code):
+            depth = max(0, depth + sum(map("([{".count, found)) - sum(map(")]}".count, found)))
         m = pattern.match(code) if not goes_on else None
         name = (m["name"] or m.groupdict().get("name2")) if m else None
         kind = ((m["function"] or "function").rstrip("*") if m else None) if name else None
         if name is None and lang in ("javascript", "typescript", "tsx") and len(stack) > 1 and (m := _METHOD.match(code)):
             name, kind = m["name"], "method"
-        used += [(x, start) for x in _references(code, name) if lang == "python"]
+        if lang == "python" and "(" in code:
+            used += [(x, start) for x in _references(code, name)]
         if name:
             defined.append((name, start))
         if goes_on or (closing and len(stack) > 1):
@@ -137,6 +139,12 @@ def outline(text: str, lang: str) -> tuple[Node, list[tuple[str, int]], list[tup
     return root, defined, used
 
 
+def _indent(line: str) -> int:
+    if "\t" in line:
+        line = line.expandtabs(8)
+    return len(line) - len(line.lstrip())
+
+
 def _pop(stack: list[Node]) -> None:
     node = stack.pop()
     stack[-1].end = max(stack[-1].end, node.end)
@@ -144,7 +152,7 @@ def _pop(stack: list[Node]) -> None:
 
 def _references(code: str, name: str | None) -> list[str]:
     """Names that a line calls, and the plain base classes of one it defines."""
-    bases = _BASES.match(code)
+    bases = _BASES.match(code) if code.startswith("class") else None
     if bases:
         return [x.strip() for x in bases[1].split(",") if re.fullmatch(r"\s*[A-Za-z_]\w*\s*", x)]
     return [x for x in _CALL.findall(code) if x != name and x not in _KEYWORDS and not x[0].isdigit()]
