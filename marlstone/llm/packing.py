@@ -4,11 +4,13 @@
 2. The histogram of lengths (at most ``capacity`` rows, however many documents) goes to the driver.
 3. There the configuration LP (fewest sequences whose fillings cover the histogram) is solved by
    multiplicative weights until every length is covered: prices of lengths fall as they are covered,
-   and a knapsack dynamic program over the capacity finds the fillings of the highest price. Each
-   program gives many fillings, and its prices give a lower bound by duality.
-4. The solution is rounded in a few ways; what is left over is packed best fit, longest first, over
-   the histogram. The plan of the fewest sequences counts, plain best fit among them, so the result
-   never needs more sequences than best fit does.
+   and a knapsack dynamic program over the capacity finds the fillings of the highest price. Steps
+   shrink with what is left, so that all lengths are used up together. Each program gives many
+   fillings, and its prices give a lower bound by duality.
+4. The solution is rounded along its fillings in order, so that alike fillings keep their number. Those
+   that the counts allow are taken whole; of the others only the longest pieces, and what is left over
+   goes into their rooms best fit, longest first. The plan of the fewest sequences counts. Plain best
+   fit is tried too, so the result never needs more sequences than it.
 5. The plan says for every length which ordinals go to which sequence and offset. Pieces that fill a
    sequence need no ordinal. The others get theirs within (length, salt) groups of about ``GROUP_ROWS``
    rows, as many groups as it takes, so a frequent length is no hot key.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,9 @@ from .common import release, small, written
 from .tokenise import LibraryIds, Pieces, blocks, encode_block
 
 CAPACITY = 2048
-#: Fillings taken from a knapsack program; the share of a length that one filling covers at most.
-FILLINGS, STEP = 64, 0.1
+#: Least fillings taken from a knapsack program; the share of what is left that one filling covers at most, and
+#: the least such share; the rate of the weights.
+FILLINGS, STEP, LEAST_STEP, RATE = 256, 0.03, 1e-4, 0.5
 #: Pieces of one length in a group that numbers them.
 GROUP_ROWS = 500
 
@@ -67,35 +70,40 @@ def _fillings(lengths: np.ndarray, prices: np.ndarray, capacity: int, most: int)
     return out, float(best[capacity])
 
 
-def solve_lp(counts: dict[int, int], capacity: int = CAPACITY, eta: float = 20.0) -> tuple[dict[tuple[int, ...], float], float]:
+def solve_lp(counts: dict[int, int], capacity: int = CAPACITY, rate: float = RATE, step: float = STEP) -> tuple[dict[tuple[int, ...], float], float]:
     """({filling: number}, bound): fillings that cover the histogram fractionally, none beyond its counts.
 
-    Ends when every length is covered: a filling either covers ``STEP`` of some length's count or what
-    is left of it. ``bound`` is the best dual bound met: no packing, fractional or not, has fewer sequences.
+    ``left`` is the open share of each length's count. A length's weight is exp(``rate`` * (its share /
+    the mean share)), its price the weight times the length. A filling covers at most ``step`` of the
+    mean share, so the rounds needed grow with the logarithm of the precision, and no length is used up
+    long before the others. ``bound`` is the best dual bound met: no packing, fractional or not, has
+    fewer sequences.
     """
     lengths = np.array(sorted(counts))
     if not len(lengths):
         return {}, 0.0
     total = np.array([counts[int(x)] for x in lengths], float)
+    volume = total * lengths
     place = {int(x): i for i, x in enumerate(lengths)}
-    left, out, bound = total.copy(), Counter(), float((total * lengths).sum() / capacity)
-    while (open_ := left > 1e-9 * total).any():
-        covered = 1 - left / total
-        prices = lengths * np.exp(-eta * (covered - covered[open_].mean()))
-        found, most = _fillings(lengths[open_], prices[open_], capacity, FILLINGS)
-        bound = max(bound, float((total * np.where(open_, prices, 0)).sum() / most))
+    left, out, bound = np.ones(len(lengths)), Counter(), float(volume.sum() / capacity)
+    while (open_ := left > 0).any():
+        mean = float((left * volume).sum() / volume[open_].sum())
+        prices = np.where(open_, lengths * np.exp(np.clip(rate * (left / mean - 1), -3, 3)), 0)
+        found, most = _fillings(lengths[open_], prices[open_], capacity, max(FILLINGS, len(lengths) // 3))
+        bound = max(bound, float((total * prices).sum() / most))
+        share = max(step * mean, LEAST_STEP)
         for filling in found:
-            number = min(min(left[place[x]], STEP * total[place[x]]) / n for x, n in filling.items())
+            number = min(min(left[place[x]], share) * total[place[x]] / n for x, n in filling.items())
             if number > 0:
                 for x, n in filling.items():
-                    left[place[x]] -= number * n
+                    left[place[x]] -= number * n / total[place[x]]
                 out[tuple(sorted(filling.elements(), reverse=True))] += number
-        left[left < 1e-9 * total] = 0
+        left[left < 1e-9] = 0
     return dict(out), bound
 
 
-def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
-    """Best fit, longest first, over a histogram: (number, lengths) groups of equal sequences."""
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY, begun: Iterable[tuple[int, tuple[int, ...]]] = ()) -> list[tuple[int, tuple[int, ...]]]:
+    """Best fit, longest first, over a histogram: (number, lengths) groups of equal sequences, those ``begun`` among them."""
     rooms: list[int] = []
     groups: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
 
@@ -105,6 +113,8 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
             insort(rooms, room)
         groups[room].append((number, parts))
 
+    for number, parts in begun:
+        add(capacity - sum(parts), number, parts)
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
@@ -130,29 +140,47 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
     return [(n, parts) for room in rooms for n, parts in groups[room]]
 
 
-def _rounded(fillings: list[tuple[tuple[int, ...], float]], counts: dict[int, int], up: float, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """The fillings taken a whole number of times, ``up`` added before rounding down, and best fit for the rest."""
-    left, out = dict(counts), []
-    for parts, number in fillings:
+def _rounded(solved: dict[tuple[int, ...], float], counts: dict[int, int], kept: int, capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """The solution in whole numbers. Of a filling that the counts don't allow the ``kept`` longest pieces stay together.
+
+    Numbers are rounded by a running sum over the fillings in order of their pieces, so every run of
+    alike fillings keeps its number to within one. The fullest fillings then come first.
+    """
+    drawn, due = [], 0.5
+    for parts, number in sorted(solved.items()):
+        due += number
+        if n := int(due):
+            due -= n
+            drawn.append((n, parts))
+    left, begun = dict(counts), []
+    for n, parts in sorted(drawn, key=lambda x: (-sum(x[1]), x[1])):
         need = Counter(parts)
-        n = min(int(number + up), *(left[x] // k for x, k in need.items()))
-        if n > 0:
-            out.append((n, parts))
+        whole = min(n, *(left[x] // k for x, k in need.items()))
+        if whole:
+            begun.append((whole, parts))
             for x, k in need.items():
-                left[x] -= n * k
-    return out + best_fit({x: n for x, n in left.items() if n}, capacity)
+                left[x] -= whole * k
+        for _ in range(n - whole):
+            have = []
+            for x in parts:
+                if left[x] and len(have) < kept:
+                    left[x] -= 1
+                    have.append(x)
+            if not have:  # none of its pieces is left, nor will be
+                break
+            begun.append((1, tuple(have)))
+    return best_fit({x: n for x, n in left.items() if n}, capacity, begun)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, tuple[int, ...]]]:
     """(number, lengths) groups that hold every length exactly as often as the histogram has it.
 
-    The fullest fillings come first where numbers are rounded up: a full sequence is never one too many.
+    The program's rounded solution counts where plain best fit does not need fewer sequences.
     """
     left = {x: n for x, n in counts.items() if n and x != capacity}
     whole = [(counts[capacity], (capacity,))] if counts.get(capacity) else []
     solved, _ = solve_lp(left, capacity)
-    most, fullest = sorted(solved.items(), key=lambda x: (-x[1], x[0])), sorted(solved.items(), key=lambda x: (-sum(x[0]), -x[1], x[0]))
-    plans = [_rounded(most, left, 0, capacity), _rounded(most, left, 0.5, capacity), _rounded(fullest, left, 0.999, capacity), best_fit(left, capacity)]
+    plans = [*(_rounded(solved, left, kept, capacity) for kept in (1, 2, capacity)), best_fit(left, capacity)]
     return whole + min(plans, key=lambda p: sum(n for n, _ in p))
 
 
