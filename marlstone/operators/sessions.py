@@ -75,6 +75,23 @@ def presence(beats: DataFrame, now: float, active: float = 120.0, idle: float =
     return beats.groupBy("session_id").agg(F.max("ts").alias("last_seen")).where(age <= delete).withColumn("status", status)
 
 
+def presence_changes(beats: DataFrame, until_us: Column | int, active: float = 120.0, idle: float = 240.0, gone: float = 86400.0, delete: float = 7 * 86400.0) -> DataFrame:
+    """Every change of status before ``until_us``: (session_id, at_us, status), from heartbeats (session_id, us).
+
+    A run of heartbeats at most ``active`` seconds apart begins with the change to active; each later status
+    follows when the last heartbeat is more than its age old and no heartbeat has come before. Rows without
+    a session or a time are dropped, equal heartbeats count once.
+    """
+    by = Window.partitionBy("session_id").orderBy("us")
+    ages = F.array(*(F.struct(F.lit(int(age * 1e6)).cast("long").alias("age"), F.lit(name).alias("status")) for age, name in ((active, "idle"), (idle, "stale"), (gone, "gone"), (delete, "deleted"))))
+    near = beats.where("session_id IS NOT NULL AND us IS NOT NULL").select("session_id", "us").distinct()
+    near = near.withColumn("before", F.lag("us").over(by)).withColumn("after", F.lead("us").over(by))
+    begins = F.col("before").isNull() | (F.col("us") - F.col("before") > int(active * 1e6))
+    start = F.when(begins, F.array(F.struct(F.lit(0).cast("long").alias("age"), F.lit("active").alias("status")))).otherwise(F.array().cast("array<struct<age:bigint,status:string>>"))
+    rest = F.filter(ages, lambda x: F.col("after").isNull() | (F.col("after") > F.col("us") + x.age))
+    return near.select("session_id", "us", F.explode(F.concat(start, rest)).alias("x")).select("session_id", (F.col("us") + F.col("x.age")).alias("at_us"), F.col("x.status").alias("status")).where(F.col("at_us") < until_us)
+
+
 def elide(deliveries: DataFrame) -> DataFrame:
     """``repeat`` and the time of the first delivery of each document in its session."""
     w = Window.partitionBy("session_id", "doc_id").orderBy("ts", "event_id")

@@ -85,6 +85,26 @@ def presence_status(spark, sf) -> DataFrame:
     return s.presence(log, log.agg(F.max("ts")).first()[0], 3600.0, 14400.0, 86400.0)
 
 
+def changes_sql(until: str) -> str:
+    """The changes of presence before ``until``, an expression over the heartbeats ``b``."""
+    ages = "(VALUES (3600000000, 'idle'), (14400000000, 'stale'), (86400000000, 'gone'), (604800000000, 'deleted')) a(age, status)"
+    return f"""WITH b AS (SELECT DISTINCT user_id AS session_id, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+g AS (SELECT *, lag(us) OVER w AS before, lead(us) OVER w AS after FROM b WINDOW w AS (PARTITION BY session_id ORDER BY us)),
+c AS (SELECT session_id, us AS at_us, 'active' AS status FROM g WHERE before IS NULL OR us - before > 3600000000
+UNION ALL SELECT session_id, us + age, status FROM g, {ages} WHERE after IS NULL OR after > us + age)
+SELECT session_id, at_us, status FROM c WHERE at_us < (SELECT {until} FROM b)"""
+
+
+AGES = (3600.0, 14400.0, 86400.0, 604800.0)
+
+
+@query("presence_changes", changes_sql("max(us) + 1"))
+def presence_changes(spark, sf) -> DataFrame:
+    """All changes of status up to the last heartbeat."""
+    beats = m.table(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return s.presence_changes(beats, (beats.agg(F.max("us")).first()[0] or 0) + 1, *AGES)
+
+
 @query(
     "hitl_stats",
     f"WITH {m.LOG} SELECT session_id, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS of_kind, round_even(avg(value) FILTER (WHERE event_type = 'error'), 6) AS mean_value, round_even(CASE WHEN max(ts) - min(ts) > 0 THEN count(*) FILTER (WHERE event_type = 'error') * 3600.0 / (max(ts) - min(ts)) END, 6) AS per_hour FROM ev GROUP BY 1",

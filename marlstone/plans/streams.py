@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.plans import model as m
+from marlstone.plans import sessions
 from marlstone.registry import query
 from marlstone.streaming import events as ev
 
@@ -45,3 +46,9 @@ def stream_requeries(spark, sf) -> DataFrame:
 def stream_last_seen(spark, sf) -> DataFrame:
     out = ev.run_available(ev.last_seen(_stream(spark, sf)), "update", ["session_id"])
     return out.select("session_id", F.bround("last_seen", 3).alias("last_seen"), "held", "total")
+
+
+@query("stream_presence_changes", sessions.changes_sql("max(us) // 1000 * 1000 - 86400000000"))
+def stream_presence_changes(spark, sf) -> DataFrame:
+    """Changes of status by timers, up to the watermark, a day behind the last heartbeat."""
+    return ev.run_available(ev.presence_changes(_stream(spark, sf), *sessions.AGES, "1 day"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -103,3 +104,87 @@ def last_seen(stream: DataFrame, keep: int = 100, late: str = "60 days", idle_ms
         yield pd.DataFrame({"session_id": [key[0]], "last_seen": [stamps[-1]], "held": [len(stamps)], "total": [total]})
 
     return stream.withWatermark("ts", late).groupBy("session_id").applyInPandasWithState(update, "session_id long, last_seen double, held long, total long", "stamps array<double>, total long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
+class Presence(StatefulProcessor):
+    """Changes of a session's status by event time, each emitted once the watermark has passed it.
+
+    State is a list of runs of heartbeats (first, last) whose gaps keep the session active. Runs that a later
+    one before the watermark has ended are dropped, so a session holds at most one run and those within the
+    lateness, however many heartbeats it has. A timer stands at the next change; with the last, the deletion,
+    the state goes. Heartbeats behind the watermark are dropped.
+    """
+
+    def __init__(self, active: float, idle: float, gone: float, delete: float) -> None:
+        self.active, *self.ends = (int(x * 1e6) for x in (active, idle, gone, delete))
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getListState("runs", "first long, last long")
+        self.done = handle.getValueState("done", "until long")
+
+    def _changes(self, runs: list[tuple[int, int]]) -> Iterator[tuple[int, str]]:
+        """The changes in order, as if no more heartbeats came."""
+        for (first, last), (after, _) in zip(runs, [*runs[1:], (None, None)], strict=True):
+            yield first, "active"
+            for wait, status in zip((self.active, *self.ends), ("idle", "stale", "gone", "deleted"), strict=True):
+                if after is None or after > last + wait:
+                    yield last + wait, status
+
+    def _advance(self, key: tuple, runs: list[tuple[int, int]], now: int) -> Iterator[pd.DataFrame]:
+        """Emits the changes before ``now`` (microseconds) that were not emitted yet, and keeps what can still change."""
+        done = self.done.get()[0] if self.done.exists() else None
+        changes = list(self._changes(runs))
+        new = [x for x in changes if (done is None or x[0] >= done) and x[0] < now]
+        due = [at for at, _ in changes if at >= now]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if due:
+            begun = sum(first < now for first, _ in runs)
+            self.runs.put(runs[max(begun - 1, 0) :])
+            self.done.update((now,))
+            self.handle.registerTimer(due[0] // 1000 + 1)
+        else:
+            self.runs.clear()
+            self.done.clear()
+        if new:
+            yield pd.DataFrame({"session_id": [key[0]] * len(new), "at_us": [at for at, _ in new], "status": [status for _, status in new]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        spans = [tuple(x) for x in self.runs.get()] if self.runs.exists() else []
+        for batch in rows:
+            stamps = batch["us"].to_numpy()
+            spans += [(x, x) for x in stamps[stamps >= now].tolist()]
+            spans = self._joined(spans)
+        if spans:
+            yield from self._advance(key, spans, now)
+
+    def _joined(self, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        for first, last in sorted(spans):
+            if out and first <= out[-1][1] + self.active:
+                out[-1] = (out[-1][0], max(out[-1][1], last))
+            else:
+                out.append((first, last))
+        return out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.runs.exists():
+            yield from self._advance(key, [tuple(x) for x in self.runs.get()], timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+def presence_changes(stream: DataFrame, active: float = 120.0, idle: float = 240.0, gone: float = 86400.0, delete: float = 7 * 86400.0, late: str = "1 hour") -> DataFrame:
+    """Every change of a session's status before the watermark: (session_id, at_us, status), in append mode.
+
+    A heartbeat makes a session active; it is idle, stale, gone and deleted when its last one is more than
+    so many seconds old, and active again with the next. The times are those of the events (microseconds),
+    not of the triggers. Equals ``operators.sessions.presence_changes`` up to the watermark. Rows without a
+    session or a time are dropped. Timers need the RocksDB state store, which is set for the session.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    beats = stream.where("session_id IS NOT NULL AND ts IS NOT NULL").select("session_id", "ts", F.unix_micros("ts").alias("us")).withWatermark("ts", late)
+    return beats.groupBy("session_id").transformWithStateInPandas(Presence(active, idle, gone, delete), "session_id long, at_us long, status string", "Append", "EventTime")
