@@ -272,3 +272,57 @@ def evidence_rays(seeds: DataFrame, adjacency: DataFrame, rays: int = 200, bounc
         return pd.DataFrame(rows, columns=["query_id", "node", "energy", "visits", "overtone"])
 
     return seeds.groupBy("query_id").cogroup(adjacency.groupBy("query_id")).applyInPandas(run, "query_id long, node long, energy double, visits long, overtone double")
+
+
+def theta_rays(
+    seeds: DataFrame, edges: DataFrame, vectors: DataFrame, velocity: DataFrame, rays: int = 200, bounces: int = 3, decay: float = 0.7, absorb: float = 0.01, theta: float = 1.0, cap: float = 2.0, seed: int = 0
+) -> DataFrame:
+    """Monte-Carlo rays biased by direction: (query_id, node, energy, visits, boost).
+
+    ``seeds(query_id, node)``, ``edges(a, b, weight)`` taken both ways, ``vectors(node, vector)``,
+    ``velocity(query_id, vector)``. Ray i starts at the query's seed i modulo their number with energy 1.
+    At each bounce it goes to a neighbour with chance proportional to exp(sign * ``theta`` * cosine of the
+    neighbour's vector and the query's velocity), sign + on even bounces and - on odd ones; without a
+    vector, a velocity or a length the cosine is 0. Energy falls by ``decay`` and the edge's weight (a null
+    weight counts as 1, of several for a pair the largest counts). A ray ends below ``absorb``, after
+    ``bounces`` or where there is no neighbour, and leaves its energy there, but not at a seed it came
+    back to. ``boost`` is the energy over the query's highest, times ``cap``.
+
+    Random numbers are hashes of (seed, query, ray, bounce, neighbour): a neighbour wins by the least
+    exponential waiting time, which is a ``min_by`` combined before the shuffle. So no neighbourhood is
+    gathered or cut, and the result does not depend on the partitioning.
+    """
+    held = seeds.where("query_id IS NOT NULL AND node IS NOT NULL").select("query_id", "node").distinct()
+    ends = edges.select("a", "b", F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"))
+    ends = checkpointed(ends.union(ends.select("b", "a", "weight")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b").groupBy("a", "b").agg(F.max("weight").alias("weight")))
+    length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    dot = F.aggregate(F.zip_with("vector", "way", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    to = vectors.groupBy(F.col("node").alias("b")).agg(F.max(F.col("vector").cast("array<double>")).alias("vector"))
+    along = velocity.groupBy("query_id").agg(F.max(F.col("vector").cast("array<double>")).alias("way"))
+    order = Window.partitionBy("query_id").orderBy("node")
+    starts = held.withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
+    alive = starts.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1)))).where("ray % n = k")
+    alive = checkpointed(alive.select("query_id", F.col("ray").cast("long").alias("ray"), F.col("node").alias("at"), F.lit(1.0).alias("energy"), F.lit(0).alias("bounced")))
+    ended = None
+    for bounce in range(bounces):
+        front = alive.select("query_id", F.col("at").alias("a")).distinct()
+        near = front.join(ends, "a").join(to, "b", "left").join(along, "query_id", "left")
+        sizes = length(F.col("vector")) * length(F.col("way"))
+        cosine = F.coalesce(F.when((sizes > 0) & (F.size("vector") == F.size("way")), dot / sizes), F.lit(0.0))
+        ways = checkpointed(near.select("query_id", F.col("a").alias("at"), "b", "weight", F.exp((1 if bounce % 2 == 0 else -1) * theta * cosine).alias("rate")))
+        mark = F.xxhash64(F.lit(seed).cast("long"), "query_id", "ray", F.lit(bounce), "b")
+        wait = -F.log((F.pmod(mark, F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("rate")
+        pick = F.min_by(F.struct("b", "weight"), F.struct(wait, F.col("b")))
+        moved = alive.join(ways, ["query_id", "at"]).groupBy("query_id", "ray", "energy").agg(pick.alias("to"))
+        moved = checkpointed(moved.select("query_id", "ray", F.col("to.b").alias("at"), (F.col("energy") * F.col("to.weight") * decay).alias("energy"), F.lit(bounce + 1).alias("bounced")))
+        stuck = alive.join(front.join(ends.select("a").distinct(), "a", "left_anti").withColumnRenamed("a", "at"), ["query_id", "at"], "left_semi").select(*alive.columns)
+        left = stuck.union(moved.where(F.col("energy") < absorb))
+        ended = left if ended is None else ended.union(left)
+        alive = moved.where(F.col("energy") >= absorb)
+    ended = alive if ended is None else ended.union(alive)
+    back = held.select("query_id", F.col("node").alias("at"), F.lit(True).alias("seeded"))
+    kept = ended.join(back, ["query_id", "at"], "left").where("seeded IS NULL OR bounced = 0")
+    found = kept.groupBy("query_id", F.col("at").alias("node")).agg(F.sum("energy").alias("energy"), F.count("*").alias("visits"))
+    top = found.groupBy("query_id").agg(F.max("energy").alias("top"))
+    boost = F.when(F.col("top") > 0, fx.round6(F.least(F.lit(cap), F.col("energy") / F.col("top") * cap)))
+    return found.join(top, "query_id").select("query_id", "node", fx.round6("energy").alias("energy"), "visits", boost.alias("boost"))

@@ -159,3 +159,17 @@ def evidence_rays(spark, sf) -> DataFrame:
         near = step if near is None else near.union(step)
         front = step.select("query_id", F.col("b").alias("node")).distinct()
     return graph.evidence_rays(seeds, near.distinct())
+
+
+@query("theta_rays")
+def theta_rays(spark, sf) -> DataFrame:
+    """Rays of each seed along its own vector and against it, by random numbers that SQL lacks; tested against exact transition powers.
+
+    An edge's weight is its share of the heaviest one.
+    """
+    e = graph.checkpointed(m.edges(spark, sf))
+    seeds = graph.checkpointed(_seeds(spark, sf).select(F.col("node").alias("query_id"), "node"))
+    vectors = m.table(spark, sf, "embeddings").select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector"))
+    top = e.agg(F.max("weight")).first()[0] or 1.0
+    way = vectors.join(seeds, "node", "left_semi").select(F.col("node").alias("query_id"), "vector")
+    return graph.theta_rays(seeds, e.withColumn("weight", F.col("weight") / top), vectors, way)
