@@ -298,7 +298,9 @@ def theta_rays(
     length = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     dot = F.aggregate(F.zip_with("vector", "way", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     to = vectors.groupBy(F.col("node").alias("b")).agg(F.max(F.col("vector").cast("array<double>")).alias("vector"))
+    to = checkpointed(to.withColumn("size", length(F.col("vector")))).where("size > 0")
     along = velocity.groupBy("query_id").agg(F.max(F.col("vector").cast("array<double>")).alias("way"))
+    along = checkpointed(along.withColumn("reach", length(F.col("way")))).where("reach > 0")
     order = Window.partitionBy("query_id").orderBy("node")
     starts = held.withColumn("k", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
     alive = starts.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1)))).where("ray % n = k")
@@ -306,10 +308,10 @@ def theta_rays(
     ended = None
     for bounce in range(bounces):
         front = alive.select("query_id", F.col("at").alias("a")).distinct()
-        near = front.join(ends, "a").join(to, "b", "left").join(along, "query_id", "left")
-        sizes = length(F.col("vector")) * length(F.col("way"))
-        cosine = F.coalesce(F.when((sizes > 0) & (F.size("vector") == F.size("way")), dot / sizes), F.lit(0.0))
-        ways = checkpointed(near.select("query_id", F.col("a").alias("at"), "b", "weight", F.exp((1 if bounce % 2 == 0 else -1) * theta * cosine).alias("rate")))
+        near = checkpointed(front.join(ends, "a"))
+        aimed = near.select("query_id", "b").distinct().join(along, "query_id").join(to, "b").where(F.size("vector") == F.size("way")).select("query_id", "b", (dot / F.col("size") / F.col("reach")).alias("cosine"))
+        rate = F.exp((1 if bounce % 2 == 0 else -1) * theta * F.coalesce("cosine", F.lit(0.0)))
+        ways = checkpointed(near.join(aimed, ["query_id", "b"], "left").select("query_id", F.col("a").alias("at"), "b", "weight", rate.alias("rate")))
         mark = F.xxhash64(F.lit(seed).cast("long"), "query_id", "ray", F.lit(bounce), "b")
         wait = -F.log((F.pmod(mark, F.lit(1 << 52)) + 0.5) / float(1 << 52)) / F.col("rate")
         pick = F.min_by(F.struct("b", "weight"), F.struct(wait, F.col("b")))
