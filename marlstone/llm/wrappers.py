@@ -49,7 +49,7 @@ TASK_HOSTS, BROADCAST_RULES = 2000, 20_000
 # Fixed values of HTML: elements without content, elements whose content is no markup, blocks, and
 # which open elements a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea svg math iframe object select canvas title".split())
+RAW = frozenset("script style noscript template textarea svg annotation annotation-xml iframe object select canvas title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -65,6 +65,9 @@ FURNITURE_NAMES = frozenset(
 #: Words that make a name like "entry-header" that of a part of the text; and what even the slot text can't make text.
 CONTENT_NAMES = frozenset("article content entry main page post story title".split())
 READERS = frozenset("comment comments disqus replies reply respond".split())
+#: Names that say little of a paragraph or heading inside the text: what it holds decides.
+DOUBTFUL = frozenset("notice notices related feedback header banner banners".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption b i em strong span code".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[/a-zA-Z][^>]*(?:>|\Z)|([^<]+|<)", re.S)
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
@@ -446,13 +449,65 @@ class Places:
         return out
 
 
+def _doubtful(label: str) -> bool:
+    """Whether the names that call an element furniture may be about its subject: "notice" of a paragraph, "health-related" of anything."""
+    tag, *names = label.split(".")
+    for words in (_SPLIT.split(name) for name in names if _telling(name)):
+        found = [w for w in words if w in FURNITURE_NAMES]
+        adjective = found == ["related"] and words[-1] == "related" and len(words) > 1 and words[-2] not in CONTENT_NAMES
+        if not adjective and not (tag in PARAGRAPHS and DOUBTFUL.issuperset(found)):
+            return False
+    return True
+
+
+def _stays(p: Places) -> list[bool]:
+    """Elements that names or tags call furniture, but not where they stand.
+
+    In the text: those of doubtful names unless most of their text is links. In a main element: a header
+    with a heading of its page's own. Texts that all pages have there still go as template.
+    """
+    n = len(p.node)
+    main, article, text, stays = [False] * n, [False] * n, [False] * n, [False] * n
+    for k in range(1, n):
+        x, up = p.node[k], p.parent[k]
+        tag, *names = x[0].split(".")
+        main[k], article[k] = main[up] or tag == "main", article[up] or tag == "article"
+        text[k] = text[up] or main[k] or article[k] or not p.kinds[k] and any([w in CONTENT_NAMES for name in names for w in _SPLIT.split(name)])
+        if p.kinds[k] == 1:
+            stays[k] = text[up] and p.own[k] > p.linked[k] and _doubtful(x[0])
+        elif tag == "header" and main[up] and not article[up]:
+            todo, heading = list(x[7]), False
+            while todo and not heading:
+                y = todo.pop()
+                if y[0] == "#" or _kind(y[0]) == 2:
+                    continue
+                if y[0].split(".")[0] in ("h1", "h2"):
+                    heading = _of_page(y)
+                else:
+                    todo.extend(y[7])
+            stays[k] = heading
+    return stays
+
+
+def _of_page(x: list) -> bool:
+    """Whether some text below differs from page to page, or too few pages have it to tell."""
+    todo = [x]
+    while todo:
+        y = todo.pop()
+        if y[0] == "#" and y[4][1] < max(TEMPLATE_PAGES, TEMPLATE_LEAD * y[3]):
+            return True
+        todo.extend(y[7])
+    return False
+
+
 def _votes(p: Places) -> list[bool]:
-    """Which elements are furniture: by tag, by name unless outvoted by slot text, or as lists of links."""
+    """Which elements are furniture: by tag, by name unless outvoted by slot text or by where they stand, or as lists of links."""
     n = len(p.node)
-    gone = [x > 0 for x in p.kinds]
+    stays = _stays(p)
+    gone = [x > 0 and not y for x, y in zip(p.kinds, stays, strict=True)]
     rest = p.content(gone)[0]
     for k in range(1, n):  # parents first: an element that stays lets those inside it be judged against it
-        if p.kinds[k] == 1:
+        if p.kinds[k] == 1 and gone[k]:
             tag, *names = p.node[k][0].split(".")
             if tag not in ("html", "body", "main", "article") and any([w in READERS for name in names for w in _SPLIT.split(name)]):
                 continue
@@ -524,7 +579,7 @@ def rule(w: list) -> dict:
                 break
     return {
         "main": str(p.place[steps[-1][1]]) if steps else None, "fixed": fixed,
-        "kept": [str(p.place[k]) for k in range(1, len(p.node)) if p.kinds[k] == 1 and not gone[k]],
+        "kept": [str(p.place[k]) for k in range(1, len(p.node)) if p.kinds[k] and not gone[k]],
         "gone": [str(p.place[k]) for k in range(1, len(p.node)) if not p.kinds[k] and gone[k]],
     }
 
@@ -541,7 +596,7 @@ class _Rule:
         self.kept, self.gone = set(map(int, found["kept"])), set(map(int, found["gone"]))
 
     def furniture(self, x: Node, at: int) -> bool:
-        return x.furniture == 2 or x.furniture == 1 and at not in self.kept or at in self.gone
+        return x.furniture > 0 and at not in self.kept or at in self.gone
 
 
 def extract(html: str, found: dict | _Rule | None) -> str:
