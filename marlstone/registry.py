@@ -24,5 +24,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _module in ("retrieval", "relational", "graphs", "sessions", "evidence", "maintenance", "scalars", "streams", "rescue", "ingest", "knowledge", "spectra"):
+for _module in ("retrieval", "relational", "graphs", "sessions", "evidence", "maintenance", "scalars", "streams", "rescue", "ingest", "knowledge", "spectra", "confidence"):
     import_module(f"marlstone.plans.{_module}")
