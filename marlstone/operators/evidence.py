@@ -166,10 +166,17 @@ def know_or_miss(found: Column, conf: Column, abstain: Column, denatured: Column
     return out.when(superseded, "superseded").when(stale, "stale").when((conf < floor) & cold, "cold").when(conf < floor, "sparse").otherwise("know")
 
 
+def iso_time(text: Column) -> Column:
+    """Seconds since 1970 of an ISO 8601 date or time with hyphens; UTC without an offset, null if it is none."""
+    t = F.trim(text)
+    full = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit("T00:00:00Z"))).when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ].*(Z|[+-]\d{2}:\d{2})$"), t).when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"), F.concat(t, F.lit("Z")))
+    return F.unix_micros(full.try_cast("timestamp")) / 1e6
+
+
 def calibration_age(fitted_at: Column, now: float, most_days: int = 30) -> Column:
-    """(age in days, stale) of a calibration; stale beyond ``most_days``, or where its time is unknown."""
-    days = (F.lit(now) - fitted_at) / 86400.0
-    return F.struct(fx.round6(days).alias("age_days"), F.coalesce(days > most_days, F.lit(True)).alias("stale"))
+    """(age in whole days, stale) of a calibration: no age and no warning where its time is unknown; one of the future is 0 days old."""
+    days = F.greatest(F.floor((F.lit(now) - fitted_at) / 86400.0), F.when(fitted_at.isNotNull(), F.lit(0)))
+    return F.struct(days.cast("long").alias("age_days"), F.coalesce(days > most_days, F.lit(False)).alias("stale"))
 
 
 def monotonicity_violations(betas: dict[str, float]) -> list[str]:

@@ -151,9 +151,12 @@ def context_health(spark, sf) -> DataFrame:
     return e.health(rows.select("query_id", (F.col("doc_id") % 2).cast("double").alias("covered"), F.least(F.col("n_chars") / 4000.0, F.lit(1.0)).alias("dense"), "fresh"))
 
 
-@query("calibration_age", f"WITH {META} SELECT doc_id, round_even(({m.NOW}::DOUBLE - verified_at) / 86400.0, 6) AS age_days, coalesce(({m.NOW}::DOUBLE - verified_at) / 86400.0 > 30, true) AS stale FROM me")
+AGE = f"CASE WHEN verified_at IS NOT NULL THEN greatest(floor(({m.NOW}::DOUBLE - verified_at) / 86400.0), 0)::BIGINT END"
+
+
+@query("calibration_age", f"WITH {META} SELECT doc_id, {AGE} AS age_days, coalesce({AGE} > 30, false) AS stale FROM me")
 def calibration_age(spark, sf) -> DataFrame:
-    """Age of fits made at each document's time; unknown times are stale."""
+    """Age of fits made at each document's time; unknown times give no age and no warning."""
     return m.documents(spark, sf).select("doc_id", e.calibration_age(F.col("verified_at"), m.NOW).alias("c")).select("doc_id", "c.age_days", "c.stale")
 
 

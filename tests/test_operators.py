@@ -269,3 +269,15 @@ def test_path_key_compaction_and_text(spark):
     assert index.compact_path_keys(keys, 4).count() == 1
     df = spark.createDataFrame([("/Src/Foo_Bar.test.PY",), (None,), ("C:\\x\\y.md",)], "p string")
     assert [r.s for r in df.select(fx.filename_stem(F.col("p")).alias("s")).collect()] == ["foo_bar.test", None, "y"]
+
+
+def test_calibration_age(spark):
+    day, now = 86400.0, 1_710_000_000.0
+    texts = ["2024-03-09T16:00:00Z", "2024-03-09T16:00:00", "2024-03-09 18:00:00+02:00", "2024-03-09T16:00:00.500", "2024-03-09", "soon", "2024-13-40", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.s for r in rows.select("i", evidence.iso_time(F.col("t")).alias("s")).orderBy("i").collect()]
+    assert got == [now, now, now, now + 0.5, now - 16 * 3600, None, None, None, None]
+    ages = [(now - 30.9 * day, 30, False), (now - 31 * day, 31, True), (now + day, 0, False), (None, None, False)]
+    rows = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(ages)], "i int, t double")
+    found = [tuple(r.c) for r in rows.select("i", evidence.calibration_age(F.col("t"), now).alias("c")).orderBy("i").collect()]
+    assert found == [x[1:] for x in ages]

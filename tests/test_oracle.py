@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = [
     "flagship_retrieval", "bm25_topk", "tier_tag_prefix", "tier_path_key", "dense_topk", "ann_gate", "fusion_rrf_gated", "rerank_fused_tier", "shard_merge", "successor_representation",
     "entity_auto_links", "edge_evidence", "supersedes_chain", "path_key_compaction", "packet_status", "live_truth", "query_classes", "tier_edge_boost", "tenant_visibility", "stream_last_seen", "presence_changes", "stream_presence_changes", "bucket_gap", "feature_correlations", "sliding_access_rate", "evidence_packet", "know_miss", "spectrum_resonance",
-    "eval_auc", "document_upsert", "snapshot_merge_newest", "symbol_graph", "claim_edges", "stream_requeries", "stream_tumbling_sessions", "path_functions", "attribution_join", "head_rerank", "sentence_groups", "phrase_hits", "ann_topk", "ann_led", "seed_across_shards", "query_surface", "flux_rank", "flux_rank_circular", "interference_trim", "tier_histories", "query_confidence",
+    "eval_auc", "document_upsert", "snapshot_merge_newest", "symbol_graph", "claim_edges", "stream_requeries", "stream_tumbling_sessions", "path_functions", "attribution_join", "head_rerank", "sentence_groups", "phrase_hits", "ann_topk", "ann_led", "seed_across_shards", "query_surface", "flux_rank", "flux_rank_circular", "interference_trim", "tier_histories", "query_confidence", "calibration_age",
 ]
 NAMES = sorted(registry.ORACLE) if os.environ.get("MARLSTONE_ALL") else SOME
 
