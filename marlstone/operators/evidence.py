@@ -234,7 +234,9 @@ def circular_w1(a: Column, b: Column) -> Column:
     norm = lambda x: F.transform(x, lambda v: v / F.greatest(F.aggregate(x, F.lit(0.0), lambda s, y: s + y), F.lit(1e-12)))
     diff = F.zip_with(norm(a), norm(b), lambda x, y: x - y)
     run = F.aggregate(diff, F.array().cast("array<double>"), lambda acc, d: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + d)))
-    from_median = lambda c: F.aggregate(F.transform(c, lambda v: F.abs(v - (F.get(F.array_sort(c), F.lit(127)) + F.get(F.array_sort(c), F.lit(128))) / 2)), F.lit(0.0), lambda s, y: s + y)
+    middle = lambda c: F.element_at(F.transform(F.array(F.array_sort(c)), lambda o: (F.get(o, F.lit(127)) + F.get(o, F.lit(128))) / 2), 1)
+    about = lambda c, m: F.aggregate(c, F.lit(0.0), lambda s, v: s + F.abs(v - m))
+    from_median = lambda c: F.element_at(F.transform(F.array(middle(c)), lambda m: about(c, m)), 1)  # noqa: E731  sorted once
     return F.element_at(F.transform(F.array(run), lambda c: fx.round6(1 / (1 + from_median(c)))), 1)
 
 
