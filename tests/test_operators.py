@@ -281,3 +281,17 @@ def test_calibration_age(spark):
     rows = spark.createDataFrame([(i, a) for i, (a, _, _) in enumerate(ages)], "i int, t double")
     found = [tuple(r.c) for r in rows.select("i", evidence.calibration_age(F.col("t"), now).alias("c")).orderBy("i").collect()]
     assert found == [x[1:] for x in ages]
+
+
+def test_dense_by_matrices_with_ties_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(tiers, "SCORES_AT_ONCE", 300)
+    rng = np.random.default_rng(3)
+    few = [[float(x) for x in rng.normal(size=5)] for _ in range(9)]
+    rows = [(int(i), few[i % 9]) for i in rng.permutation(400)] + [(500, None), (501, [0.0] * 5)]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    q = v.where("doc_id % 40 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    for least in (None, 0.3):
+        found = tiers.dense(q, v, 60, least)
+        scored = v.crossJoin(q).select("query_id", "doc_id", fx.round6(tiers.cosine(F.col("embedding"), F.col("q"))).alias("score"))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tiers.top(scored if least is None else scored.where(F.col("score") >= least), 60).collect()))
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
