@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
+from marlstone.operators import tiers
 from marlstone.operators.running import running
 
 # Time constants by volatility (seconds), authority and specificity scores.
@@ -273,3 +278,46 @@ def random_pair_threshold(pairs: DataFrame, k: float = 3.0) -> DataFrame:
     mu, sd = F.avg("score"), F.stddev_samp("score")
     return pairs.agg(fx.round6(mu).alias("mu"), fx.round6(sd).alias("sigma"), fx.round6(mu + k * sd).alias("threshold"), F.count("*").alias("pairs"))
 
+
+#: Pairs up to which each one's cosine is taken and rounded; beyond, their moments come from those of the vectors.
+EXACT_PAIRS = 20_000_000
+
+
+def _moments(vectors: DataFrame) -> DataFrame:
+    """(kind, at, value) of unit vectors ``v``: their number (kind 0), sum (1) and sum of outer products (2), a place each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, parts = 0, None
+        for batch in batches:
+            n += len(batch)
+            x = tiers.unit_rows(batch.column(0))
+            if x.shape[1]:
+                own = [x.sum(0), (x.T @ x).ravel()]
+                parts = own if parts is None else [a + b for a, b in zip(parts, own, strict=True)]
+        for kind, value in enumerate([np.array([float(n)]), *(parts or [])]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), kind, np.int32)), pa.array(np.arange(len(value), dtype=np.int32)), pa.array(value)], names=["kind", "at", "value"])
+
+    return vectors.mapInArrow(run, "kind int, at int, value double").groupBy("kind", "at").agg(F.sum("value").alias("value"))
+
+
+def random_vector_threshold(vectors: DataFrame, queries: DataFrame, k: float = 3.0) -> DataFrame:
+    """``random_pair_threshold`` of all pairs of ``vectors(doc_id, embedding)`` and ``queries(query_id, q)`` of different ids.
+
+    Over all pairs the sum of x.y is the product of the sums of x and y, and that of (x.y)^2 the product of their sums of
+    outer products; pairs of one id are taken off. So no pair is left out, and work and memory follow the vectors.
+    Up to ``EXACT_PAIRS`` pairs each cosine is rounded to six decimals on its own, which moments can't do: by
+    them the mean differs by what those roundings leave, under 1e-9 for pairs that are mostly different.
+    """
+    x = vectors.where("doc_id IS NOT NULL").select("doc_id", "embedding")
+    y = queries.where("query_id IS NOT NULL").select("query_id", "q")
+    score = tiers.cosine(F.col("embedding"), F.col("q"))
+    if x.count() * y.count() <= EXACT_PAIRS:
+        return random_pair_threshold(x.join(tiers.terms_side(y, 20_000), F.col("doc_id") != F.col("query_id")).select(fx.round6(score).alias("score")), k)
+    every = _moments(x.select("embedding")).join(_moments(y.select("q")).withColumnRenamed("value", "other"), ["kind", "at"])
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("value") * F.col("other"))), F.lit(0.0))
+    every = every.agg(*(of(i).alias(f"all_{i}") for i in range(3)))
+    same = x.join(y, F.col("doc_id") == F.col("query_id")).select(score.alias("s"))
+    same = same.agg(F.count("*").alias("own_0"), F.coalesce(F.sum("s"), F.lit(0.0)).alias("own_1"), F.coalesce(F.sum(F.col("s") * F.col("s")), F.lit(0.0)).alias("own_2"))
+    n, one, two = (F.col(f"all_{i}") - F.col(f"own_{i}") for i in range(3))
+    mu, sd = F.try_divide(one, n), F.sqrt(F.greatest(F.try_divide(two - F.try_divide(one * one, n), n - 1), F.lit(0.0)))
+    return every.join(F.broadcast(same)).select(fx.round6(mu).alias("mu"), fx.round6(sd).alias("sigma"), fx.round6(mu + k * sd).alias("threshold"), F.round(n).cast("long").alias("pairs"))

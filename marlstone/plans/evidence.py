@@ -259,6 +259,5 @@ def eval_mrr_recall(spark, sf) -> DataFrame:
 @query("random_pair_threshold", f"WITH qv AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 25 = 0), p AS (SELECT {COS} AS score FROM embeddings, qv WHERE vec_id <> query_id) SELECT round_even(avg(score), 6) AS mu, round_even(stddev_samp(score), 6) AS sigma, round_even(avg(score) + 3 * stddev_samp(score), 6) AS threshold, count(*) AS pairs FROM p")
 def random_pair_threshold(spark, sf) -> DataFrame:
     v = m.table(spark, sf, "embeddings")
-    q = tiers.terms_side(v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 20_000)
-    pairs = v.join(q, F.col("vec_id") != F.col("query_id")).select(fx.round6(tiers.cosine(F.col("embedding"), F.col("q"))).alias("score"))
-    return e.random_pair_threshold(pairs)
+    q = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return e.random_vector_threshold(v.select(F.col("vec_id").alias("doc_id"), "embedding"), q)

@@ -295,3 +295,17 @@ def test_dense_by_matrices_with_ties_and_nulls(spark, monkeypatch):
         scored = v.crossJoin(q).select("query_id", "doc_id", fx.round6(tiers.cosine(F.col("embedding"), F.col("q"))).alias("score"))
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tiers.top(scored if least is None else scored.where(F.col("score") >= least), 60).collect()))
         assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_random_pairs_by_moments_equal_each_pair(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i // 2 if i < 20 else i, [float(x) for x in rng.normal(0.4, 1, size=6)]) for i in range(300)] + [(900, [0.0] * 6), (None, [1.0] * 6)]
+    v = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    q = v.where("doc_id % 5 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    want = evidence.random_vector_threshold(v, q).first()
+    monkeypatch.setattr(evidence, "EXACT_PAIRS", 0)
+    found = evidence.random_vector_threshold(v, q)
+    got = found.first()
+    assert got.pairs == want.pairs and all(abs(got[c] - want[c]) <= 1.1e-6 for c in ("mu", "sigma", "threshold"))
+    assert "NOT (" not in found._jdf.queryExecution().optimizedPlan().toString()  # no join by unequal ids
+    assert evidence.random_vector_threshold(v.limit(0), q.limit(0)).first().pairs == 0
