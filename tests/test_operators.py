@@ -309,3 +309,18 @@ def test_random_pairs_by_moments_equal_each_pair(spark, monkeypatch):
     assert got.pairs == want.pairs and all(abs(got[c] - want[c]) <= 1.1e-6 for c in ("mu", "sigma", "threshold"))
     assert "NOT (" not in found._jdf.queryExecution().optimizedPlan().toString()  # no join by unequal ids
     assert evidence.random_vector_threshold(v.limit(0), q.limit(0)).first().pairs == 0
+
+
+def test_edge_boost_meets_words_of_queries(spark):
+    rng = random.Random(8)
+    cand = {(rng.choice([-7, 0, 3, *range(1000, 1150)]), rng.randrange(60)) for _ in range(1500)}
+    edges = {tuple(sorted(rng.sample(range(70), 2))) for _ in range(250)}
+    c, e = spark.createDataFrame(list(cand), "query_id long, doc_id long"), spark.createDataFrame(list(edges), "a long, b long")
+    want = {}
+    for q, d in cand:
+        n = sum((a == d and (q, b) in cand) or (b == d and (q, a) in cand) for a, b in edges)
+        if n:
+            want[q, d] = min(float(n), 3.0)
+    found = tiers.edge_boost(c, e)
+    assert {(r.query_id, r.doc_id): r.score for r in found.collect()} == want and len({q for q, _ in want}) > 128
+    assert "(other" not in found._jdf.queryExecution().optimizedPlan().toString()
