@@ -70,3 +70,12 @@ def test_replaced_files_give_new_answers(spark, tmp_path):
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{m.shared_folder(spark)}/index")
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     assert m.lengths(spark, sf).count() == 7
+
+
+def test_tasks_of_a_bucket_follow_its_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(maintained, "TASK_BYTES", 100)
+    df = spark.createDataFrame([(i % 90, f"word{i} of text number {i % 7}") for i in range(120)], "doc_id long, content string")
+    found, _ = maintained.sync(df, f"file://{tmp_path}/index", index.postings, ["term"], buckets=4)
+    assert rows(found) == rows(index.postings(df))
+    files = list((tmp_path / "index/rows/version=1").glob("bucket=*/*.parquet"))
+    assert len(files) > 4 and maintained.text_bytes(df.limit(0)) == 0
