@@ -258,20 +258,47 @@ def _arrays(found: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return t, one_hot(m)
 
 
+#: Rows whose margins are taken at a time, and how far a margin may lie off by rounding between two passes.
+BLOCK, SLACK = 1024, 1e-9
+
+
+def _view_margin(model: Logistic, view: int, column: pa.Array) -> np.ndarray:
+    """Margins by a view of its features as ``features`` gives them."""
+    out = np.empty(len(column))
+    for low in range(0, len(column), BLOCK):
+        raw = b"".join(column.slice(low, BLOCK).to_pylist())
+        x = one_hot(np.frombuffer(raw, np.int16).reshape(-1, 4)) if view else np.frombuffer(raw, np.float32).reshape(-1, TEXT)
+        out[low : low + BLOCK] = model.margin(x)
+    return out
+
+
 def searcher(held: DataFrame, sure: float = SURE) -> Search:
-    """The search over all unlabelled rows of ``held``, a features table: two top-k queries a view."""
+    """The search over all unlabelled rows of ``held``, a features table: margins of all first, then the features of the surest alone."""
     least = float(np.log(sure / (1 - sure)))
+    open_ = held.where("y IS NULL")
 
     def search(view: int, model: Logistic, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(_view_margin(model, view, batch.column(0))), batch.column(1)], names=["margin", "at"])
+            release()
+
+        every = written(open_.select("tm"[view], "at").mapInArrow(margins, "margin double, at long"), "margins")
+        from_ = {}
+        for sign in (1, -1):
+            best = every.where((F.abs("margin") >= least) & (F.col("margin") * sign > 0)).orderBy(F.col("margin") * -sign, "at").limit(most).select("margin").toArrow()
+            from_[sign] = max(least, sign * best["margin"][-1].as_py() - SLACK) if best.num_rows and best.num_rows == most else least
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                margin = model.margin(_arrays(pa.Table.from_batches([batch]))[view])
-                keep = np.flatnonzero(np.abs(margin) >= least)
+                margin = _view_margin(model, view, batch.column(view))
+                keep = np.flatnonzero(((margin > 0) & (margin >= from_[1])) | ((margin < 0) & (-margin >= from_[-1])))
                 if len(keep):
                     order = pa.array(keep)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(order) for c in (0, 1, 3)), pa.array(margin[keep])], names=["t", "m", "at", "margin"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(order) for c in range(3)), pa.array(margin[keep])], names=["t", "m", "at", "margin"])
+            release()
 
-        rows = held.where("y IS NULL").select("t", "m", "y", "at").mapInArrow(run, "t binary, m binary, at long, margin double")
+        rows = written(open_.select("t", "m", "at").mapInArrow(run, "t binary, m binary, at long, margin double"), "surest")
         parts = [rows.where(f"{sign} * margin > 0").orderBy(F.col("margin") * -sign, "at", "t", "m").limit(most).toArrow() for sign in (1, -1)]
         both = [_arrays(x) if x.num_rows else (np.zeros((0, TEXT), np.float32), np.zeros((0, METADATA), np.float32)) for x in parts]
         return np.vstack([x[0] for x in both]), np.vstack([x[1] for x in both]), np.r_[np.ones(len(both[0][0]), int), np.zeros(len(both[1][0]), int)]

@@ -179,3 +179,20 @@ def test_classifier_odd_rows(spark):
     assert all(r.kept and r.quality_score is None for r in none)
     assert qc.score(docs.limit(0), qc.fit(docs, labels)).count() == 0
     assert qc.fit(docs.limit(0), labels) is None
+
+
+def test_search_hands_on_the_surest_alone(spark, monkeypatch):
+    """However many rows are sure, the features of no more than the surest are written."""
+    sizes, real = {}, qc.written
+
+    def counted(df, name):
+        out = real(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(qc, "written", counted)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.union(docs.withColumn("doc_id", F.col("doc_id") + 10_000).withColumn("text", F.concat("text", F.lit(" x"))))
+    model = qc.fit(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), exchange=5)
+    assert model.exchanged[-1][0] > 0
+    assert set(sizes["margins"]) == {docs.count() - 399} and max(sizes["surest"]) <= 2 * 15 + 20  # copies of the last one may be beyond
