@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import spectra as sp
 from marlstone.operators import tiers
+from marlstone.operators.graph import checkpointed
 from marlstone.plans import model as m
 from marlstone.plans.retrieval import BM25, _bm25
 from marlstone.registry import query
@@ -69,7 +70,7 @@ SELECT query_id, doc_id, score, how, position FROM (SELECT *, row_number() OVER
 
 
 def _ranked(spark, sf, metric: str) -> DataFrame:
-    pool = _pool(spark, sf, POOL)
+    pool = checkpointed(_pool(spark, sf, POOL))  # POOL rows a query
     some = pool.select("doc_id").distinct()
     docs = m.documents(spark, sf).join(some, "doc_id", "left_semi").select("doc_id", (F.col("access_count") / 22.0).alias("decay"), _fragments("content").alias("fragments"))
     spectra = sp.document_spectra(docs, m.tags(spark, sf).join(some, "doc_id", "left_semi"), WIDTH)

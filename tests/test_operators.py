@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -324,3 +325,20 @@ def test_dense_by_matrices_with_ties_and_nulls(spark, monkeypatch):
         scored = v.crossJoin(q).select("query_id", "doc_id", fx.round6(tiers.cosine(F.col("embedding"), F.col("q"))).alias("score"))
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, tiers.top(scored if least is None else scored.where(F.col("score") >= least), 60).collect()))
         assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_are_summed_where_their_document_lies(spark, monkeypatch):
+    """BM25 and sparse dots are grouped behind one deal by document, in as many tasks as there are pairs for."""
+    monkeypatch.setattr(tiers, "PAIRS", 10)
+    docs = spark.createDataFrame([(i, f"alpha word{i % 3} " + "beta " * (i % 4)) for i in range(40)], "doc_id long, content string")
+    terms = spark.createDataFrame([(q, t) for q in (1, 2) for t in ("alpha", "beta", f"word{q}", "none")], "query_id long, term string")
+    vectors = index.postings(docs).select("doc_id", "term", F.col("tf").cast("double").alias("weight"))
+    asked = terms.withColumn("q", F.lit(2.0))
+    for found in (tiers.bm25(terms, docs), tiers.sparse(asked, vectors), tiers.sparse(asked, vectors, most_df=0.5, total=40)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" not in plan and "hashpartitioning(doc_id" in plan
+        assert int(re.search(r"hashpartitioning\(doc_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)[1]) >= 8
+    words = {i: ["alpha", f"word{i % 3}"] + ["beta"] * (i % 4) for i in range(40)}
+    common = {"alpha"} | {t for t in ("beta", "word1", "word2") if sum(t in w for w in words.values()) > 20}
+    want = {(q, i): x for q in (1, 2) for i, w in words.items() if (x := sum(2.0 * w.count(t) for t in {"alpha", "beta", f"word{q}"} - common))}
+    assert {(r.query_id, r.doc_id): r.score for r in tiers.sparse(asked, vectors, most_df=0.5, total=40).collect()} == want
