@@ -1,10 +1,11 @@
 """Indexes in step with their documents, however these change; answers after files were replaced."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from marlstone.operators import index, maintained
+from marlstone.operators import dealing, index, maintained
 from marlstone.plans import model as m
 
 DOCS = "doc_id long, content string"
@@ -79,3 +80,18 @@ def test_tasks_of_a_bucket_follow_its_text(spark, tmp_path, monkeypatch):
     assert rows(found) == rows(index.postings(df))
     files = list((tmp_path / "index/rows/version=1").glob("bucket=*/*.parquet"))
     assert len(files) > 4 and maintained.text_bytes(df.limit(0)) == 0
+
+
+def test_texts_are_dealt_through_files(spark, tmp_path, monkeypatch):
+    """Beyond the tasks that Spark deals to through files, a reader does not hold its whole part of the table."""
+    monkeypatch.setattr(dealing, "FILE_TASKS", 3)
+    monkeypatch.setattr(maintained, "TASK_BYTES", 100)
+    df = spark.createDataFrame([(i % 90 if i else None, f"word{i} of text number {i % 7}") for i in range(120)], "doc_id long, content string")
+    plan = dealing.dealt(df, 8, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"hashpartitioning\(doc_id#\d+L, 8\)", plan)) == 1 and len(re.findall(r"hashpartitioning\(_deal#\d+L, 3\)", plan)) == 1
+    assert "_deal" not in dealing.dealt(df, 8, "doc_id").columns and "_deal" not in dealing.dealt(df, 3, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    make = lambda docs: (seen.append(docs._jdf.queryExecution().executedPlan().toString()), index.postings(docs))[1]
+    found, _ = maintained.sync(df, f"file://{tmp_path}/index", make, ["term"], buckets=4)
+    assert any("hashpartitioning(_deal" in p for p in seen)
+    assert rows(found) == rows(index.postings(df))
