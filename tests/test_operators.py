@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
-from marlstone.operators import evidence, fusion, graph, index, maintenance, sessions, tiers
+from marlstone.operators import dealing, evidence, fusion, graph, index, maintenance, sessions, tiers
 
 
 def rows(df, *order):
@@ -342,3 +342,17 @@ def test_pairs_are_summed_where_their_document_lies(spark, monkeypatch):
     common = {"alpha"} | {t for t in ("beta", "word1", "word2") if sum(t in w for w in words.values()) > 20}
     want = {(q, i): x for q in (1, 2) for i, w in words.items() if (x := sum(2.0 * w.count(t) for t in {"alpha", "beta", f"word{q}"} - common))}
     assert {(r.query_id, r.doc_id): r.score for r in tiers.sparse(asked, vectors, most_df=0.5, total=40).collect()} == want
+
+
+def test_pairs_of_a_task_stay_bounded_however_many(spark, monkeypatch):
+    """Beyond the tasks dealt to through files a task still sums ``MOST_PAIRS`` pairs, and hits are dealt twice."""
+    monkeypatch.setattr(tiers, "PAIRS", 2)
+    monkeypatch.setattr(tiers, "MOST_PAIRS", 5)
+    docs = spark.createDataFrame([(i, f"alpha word{i % 3} " + "beta " * (i % 4)) for i in range(40)], "doc_id long, content string")
+    terms = spark.createDataFrame([(q, t) for q in (1, 2) for t in ("alpha", "beta", f"word{q}", "none")], "query_id long, term string")
+    want = sorted(map(tuple, tiers.bm25(terms, docs).collect()))
+    monkeypatch.setattr(dealing, "FILE_TASKS", 3)
+    found = tiers.bm25(terms, docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(doc_id#\d+L, 16\), REPARTITION_BY_NUM", plan) and re.search(r"hashpartitioning\(_deal#\d+L, 3\), REPARTITION_BY_NUM", plan)
+    assert "hashpartitioning(query_id" not in plan and len(want) == 80 and sorted(map(tuple, found.collect())) == want
