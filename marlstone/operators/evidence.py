@@ -76,9 +76,12 @@ def action_risk(fresh: Column, task: str, literal: Column) -> Column:
 
 
 def density(tags: Column, keys: Column, chars: Column, accesses: Column, summary: Column) -> Column:
-    """.4 tags/k + .3 keys/k + .2 min(accesses/10, 1) + .1 for a summary, k thousands of characters (one at least)."""
+    """.4 tags/k + .3 keys/k + .2 min(accesses/10, 1) + .1 for a summary, k thousands of characters (one at least).
+
+    Tenths of counts are divided out of whole numbers: .4 as a double is more than .4, and so might its products be.
+    """
     k = F.greatest(chars / 1000.0, F.lit(1.0))
-    return 0.4 * tags / k + 0.3 * keys / k + 0.2 * F.least(accesses / 10.0, F.lit(1.0)) + F.when(summary, 0.1).otherwise(0.0)
+    return 4 * tags / 10.0 / k + 3 * keys / 10.0 / k + 0.2 * F.least(accesses / 10.0, F.lit(1.0)) + F.when(summary, 0.1).otherwise(0.0)
 
 
 def density_gate(score: Column, denied: Column, accesses: Column, rate: Column) -> Column:

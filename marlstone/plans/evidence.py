@@ -85,11 +85,12 @@ def evidence_packet(spark, sf) -> DataFrame:
     SELECT doc_id, round_even(density::DOUBLE, 6) AS density, CASE WHEN access_count >= 20 THEN 0 WHEN contains(source_id, '/fr/') THEN 2 WHEN density >= 1.0 THEN 0 WHEN density >= 0.5 THEN 1 ELSE 2 END AS lifecycle FROM s""",
 )
 def density_gate(spark, sf) -> DataFrame:
+    """Gated before it is rounded. Ties are those of the double, as in the SQL: 16.7015625 lies above one, ``round6`` takes its digits for one."""
     n = m.tags(spark, sf).groupBy("doc_id").agg(F.count("*").alias("tags"))
     d = m.documents(spark, sf).join(n, "doc_id")
-    score = fx.round6(e.density(F.col("tags"), F.col("doc_id") % 4, F.col("n_chars"), F.col("access_count"), F.col("doc_id") % 2 == 0))
+    score = e.density(F.col("tags"), F.col("doc_id") % 4, F.col("n_chars"), F.col("access_count"), F.col("doc_id") % 2 == 0)
     busy = F.when(F.col("access_count") >= 20, 5).otherwise(0)
-    return d.select("doc_id", score.alias("density"), e.density_gate(score, F.col("source_id").contains("/fr/"), busy, F.lit(0)).alias("lifecycle"))
+    return d.select("doc_id", (F.rint(score * 1e6) / 1e6).alias("density"), e.density_gate(score, F.col("source_id").contains("/fr/"), busy, F.lit(0)).alias("lifecycle"))
 
 
 @query(
