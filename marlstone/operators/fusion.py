@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as fx
+from marlstone.operators.graph import checkpointed
+
+#: Rows that a task of ``ranks_of`` sorts at a time.
+ROWS_AT_ONCE = 500_000
 
 
 def ranked(tier: DataFrame, by: str = "query_id") -> DataFrame:
@@ -37,8 +45,47 @@ def rrf(tiers: dict[str, DataFrame], weights: dict[str, float] | None = None, k:
         used = {n: t.where(F.col("rank") <= top_m) for n, t in used.items()}
     if least is not None:
         used = {n: t.where(F.col("score") >= least) for n, t in used.items()}
-    wide = _wide(used, "rank")
-    return wide.select("query_id", "doc_id", fx.round6(_sum([F.coalesce(F.lit(float(weights.get(n, 1.0))) / (k + F.col(n)), F.lit(0.0)) for n in used])).alias("score"))
+    return by_ranks(used, weights, k)
+
+
+def by_ranks(ranks: dict[str, DataFrame], weights: dict[str, float], k: int = 60) -> DataFrame:
+    """The sum of weight / (k + rank) over tables (query_id, doc_id, rank), in their order."""
+    wide = _wide(ranks, "rank")
+    return wide.select("query_id", "doc_id", fx.round6(_sum([F.coalesce(F.lit(float(weights.get(n, 1.0))) / (k + F.col(n)), F.lit(0.0)) for n in ranks])).alias("score"))
+
+
+def ranks_of(tier: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ranks that ``ranked`` gives the rows of ``tier`` that are in ``wanted(query_id, doc_id)``, ids being numbers.
+
+    They are counted, not sorted: ``wanted`` (a depth of each query) is broadcast, each task counts its rows before
+    each of them, and the counts are summed. So no row of the tier is shuffled for its rank, and a query is no single task.
+    """
+    own = checkpointed(tier.join(F.broadcast(wanted.select("query_id", "doc_id")), ["query_id", "doc_id"]).select("query_id", "doc_id", "score"))
+    kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+    mark = [c.to_numpy() for c in own.orderBy("query_id", F.desc("score"), "doc_id").toArrow().combine_chunks().columns]
+    shared = tier.sparkSession.sparkContext.broadcast(mark)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, doc, score = shared.value
+        found, held, rows = np.zeros(len(query), np.int64), [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                rows += len(batch)
+            if held and (batch is None or rows >= ROWS_AT_ONCE):
+                q, d, s = (np.concatenate([x.column(c).to_numpy(zero_copy_only=False) for x in held]) for c in ("query_id", "doc_id", "score"))
+                held, rows = [], 0
+                order = np.lexsort((np.r_[np.zeros(len(q), bool), np.ones(len(query), bool)], np.r_[d, doc], -np.r_[s, score], np.r_[q, query]))
+                is_mark = order >= len(q)
+                ahead = np.cumsum(~is_mark)[is_mark]  # of all queries up to this one
+                found[order[is_mark] - len(q)] += ahead - np.searchsorted(np.sort(q), query[order[is_mark] - len(q)])
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(query[some]), pa.array(doc[some]), pa.array(found[some])], names=["query_id", "doc_id", "n"])
+
+    if not len(mark[0]):
+        return own.select("query_id", "doc_id", F.lit(0).cast("long").alias("rank"))
+    counts = tier.select("query_id", "doc_id", "score").mapInArrow(count, f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, n long")
+    return checkpointed(counts.groupBy("query_id", "doc_id").agg(F.sum("n").alias("rank")))
 
 
 def additive(tiers: dict[str, DataFrame], caps: dict[str, tuple[float, float]] | None = None) -> DataFrame:
